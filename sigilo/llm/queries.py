@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import chat, mixing, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,21 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("g1", "g2", "none")
 
 
-QUERIES = {f.__name__: f for f in (op8_hilbert_shards,)}
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+#: Blocks of each source in a round of 64 slots: src0 a quarter, three others an eighth each, the rest evenly.
+QUOTAS = {"src0": 16, "src1": 8, "src2": 8, "src3": 8} | {f"src{k}": 1 for k in range(4, 12)} | {f"src{k}": 2 for k in range(12, 20)}
+
+
+def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), QUOTAS)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op7_pfair_mix, op8_hilbert_shards)}
 SQL: dict[str, str] = {}
