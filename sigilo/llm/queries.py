@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, simhash
+from . import chat, html_text, minhash, mixing, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_html_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 #: Blocks of each source in a round of 64 slots: src0 a quarter, three others an eighth each, the rest evenly.
 QUOTAS = {"src0": 16, "src1": 8, "src2": 8, "src3": 8} | {f"src{k}": 1 for k in range(4, 12)} | {f"src{k}": 2 for k in range(12, 20)}
 
@@ -32,5 +40,5 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), QUOTAS)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op7_pfair_mix, op8_hilbert_shards)}
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op5_minhash_fingerprints, op7_pfair_mix, op8_hilbert_shards, op10_html_text_density)}
 SQL: dict[str, str] = {}
