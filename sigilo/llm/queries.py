@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, minhash, mixing, sharding, simhash
+from . import chat, decontaminate, html_text, minhash, mixing, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_html_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -40,5 +44,5 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), QUOTAS)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op5_minhash_fingerprints, op7_pfair_mix, op8_hilbert_shards, op10_html_text_density)}
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op5_minhash_fingerprints, op7_pfair_mix, op8_hilbert_shards, op9_bm25_decontamination, op10_html_text_density)}
 SQL: dict[str, str] = {}
