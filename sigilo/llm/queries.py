@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, minhash, mixing, sharding, simhash
+from . import chat, decontaminate, html_text, minhash, mixing, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op10_html_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.fold(F.col("doc_id")) == 0
+    scored = toxicity.score(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: Blocks of each source in a round of 64 slots: src0 a quarter, three others an eighth each, the rest evenly.
 QUOTAS = {"src0": 16, "src1": 8, "src2": 8, "src3": 8} | {f"src{k}": 1 for k in range(4, 12)} | {f"src{k}": 2 for k in range(12, 20)}
 
@@ -44,5 +51,5 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), QUOTAS)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op5_minhash_fingerprints, op7_pfair_mix, op8_hilbert_shards, op9_bm25_decontamination, op10_html_text_density)}
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op5_minhash_fingerprints, op6_toxicity_deobfuscated, op7_pfair_mix, op8_hilbert_shards, op9_bm25_decontamination, op10_html_text_density)}
 SQL: dict[str, str] = {}
