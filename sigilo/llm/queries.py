@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lines, minhash, mixing, sharding, simhash, toxicity
+from . import chat, decontaminate, html_text, language, lines, minhash, mixing, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), ["de", "en", "es", "fr"])
+    return found.select("page_id", "url", "host", "suffix", "declared", "text_lang", "lang", F.round("probability", 6).alias("probability"))
+
+
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
@@ -55,5 +60,5 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), QUOTAS)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op4_fuzzy_lines, op5_minhash_fingerprints, op6_toxicity_deobfuscated, op7_pfair_mix, op8_hilbert_shards, op9_bm25_decontamination, op10_html_text_density)}
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op3_language_fusion, op4_fuzzy_lines, op5_minhash_fingerprints, op6_toxicity_deobfuscated, op7_pfair_mix, op8_hilbert_shards, op9_bm25_decontamination, op10_html_text_density)}
 SQL: dict[str, str] = {}
