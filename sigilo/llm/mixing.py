@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, with_rank
+from .common import settle, spread, with_rank
 
 OTHER = "(other)"
 ADDED = ("stream", "block", "mix_slot", "mix_offset")
@@ -89,3 +89,16 @@ def mix(docs: DataFrame, quotas: dict[str, int], block_docs: int = 16) -> DataFr
     out = at.join(F.broadcast(plan), same)  # rows of the plan: (2m+1) rounds of sum(quotas) slots, both given
     slot = F.col("base") + (F.col("_round") - F.col("first")) * F.col("width") + F.col("slot")
     return out.select("_row.*", "stream", "block", slot.cast("long").alias("mix_slot"), "mix_offset")
+
+
+def in_order(docs: DataFrame, quotas: dict[str, int], block_docs: int = 16) -> DataFrame:
+    """docs, in the columns given, dealt and sorted by their places in the mix, so that files hold it in order.
+
+    Rows of one doc_id go together to its first place; those without one come first.
+    """
+    placed = mix(docs.select("doc_id", "source"), quotas, block_docs).where("doc_id is not null")
+    places = settle(placed.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("mix_slot", "mix_offset")).alias("_at")))
+    known = docs.where("doc_id is not null").join(places, F.col("doc_id") == F.col("_id")).drop("_id")
+    rest = docs.where("doc_id is null").withColumn("_at", F.lit(None).cast(known.schema["_at"].dataType))
+    out = known.unionByName(rest).repartitionByRange(spread(docs.sparkSession), "_at").sortWithinPartitions("_at")
+    return out.drop("_at")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, with_rank
+from .common import settle, spread, with_rank
 
 
 def let(value: Column, body) -> Column:
@@ -100,3 +100,18 @@ def _cut(rows: DataFrame, shards: int) -> DataFrame:
     first = at.groupBy("shard").agg(F.min("rank").alias("_start"))  # a row for each shard
     out = at.join(F.broadcast(first), "shard")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("_start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", "g1", "g2", "none")
+
+
+def laid_out(docs: DataFrame, shards: int = 16, bits: int = 6) -> DataFrame:
+    """docs with shard and slot (columns of those names are replaced), dealt and sorted by them for the writer."""
+    key = ["doc_id", "g1", "g2", "none"]
+    twin = Window.partitionBy(*key).orderBy("slot")
+    places = settle(shard(docs, shards, bits).select(*[F.col(k).alias(f"_{k}") for k in key], "shard", "slot", F.row_number().over(twin).alias("_twin")))
+    kept = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
+    own = kept.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("g1"), F.xxhash64(F.lit(7), "text").alias("g2"), F.col("text").isNull().alias("none"))
+    own = own.withColumn("twin", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    same = F.col("twin") == F.col("_twin")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = own.join(places, same).select("_row.*", "shard", "slot")
+    return out.repartitionByRange(spread(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
