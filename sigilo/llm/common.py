@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +107,56 @@ def components(edges: DataFrame) -> DataFrame:
         moved = e.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         e = settle(moved.where("a < b").distinct())
     return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, pivot) of the keys that several ids share, from rows sorted by key and id; pivot is the first id of the key."""
+    held: tuple[int, int] | None = None  # the row before, and whether it shared its key with one before it
+    pivot, shared = 0, False
+    for b in batches:
+        k, v = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        if held is not None:
+            k, v = np.concatenate([[held[0]], k]), np.concatenate([[held[1]], v])
+        fresh = np.ones(len(k), dtype=bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
+        k, v = k[fresh], v[fresh]
+        start = np.ones(len(k), dtype=bool)
+        start[1:] = k[1:] != k[:-1]
+        first = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))
+        pivots = v[first]
+        if held is not None:
+            pivots[: int(np.argmax(start[1:])) + 1 if start[1:].any() else len(k)] = pivot
+        several = np.zeros(len(k), dtype=bool)
+        several[:-1] |= ~start[1:]
+        several[1:] |= ~start[1:]
+        several[0] |= held is not None and shared
+        held, pivot, shared = (int(k[-1]), int(v[-1])), int(pivots[-1]), bool(several[-1])
+        several[-1] = False
+        if several.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (k, v, pivots)], names=["key", "id", "pivot"])
+    if held is not None and shared:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*held, pivot)], names=["key", "id", "pivot"])
+
+
+def buckets(keys: DataFrame) -> DataFrame:
+    """(key, id, pivot) of every id in a key that several ids share, from (key, id); repeats fall away. Rows stream by, sorted; no key is held."""
+    dealt = keys.select("key", "id").repartition(spread(keys.sparkSession), "key").sortWithinPartitions("key", "id")
+    return settle(dealt.mapInArrow(_shared, "key long, id long, pivot long"))
+
+
+def spanning_links(shared: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified links (a, b) that join all ids which similar pairs within a key join, without a row for every pair of a key.
+
+    First each id of a key is held against the key's pivot. Then, only in keys whose ids are not yet in one
+    component, the pairs over two components are held against each other: no pair that could join
+    components is left out, and pairs that could not are never made.
+    """
+    star = settle(verify(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
+    member = components(star)
+    labelled = shared.select("key", "id").join(member.withColumnRenamed("node", "id"), "id", "left")
+    labelled = settle(labelled.select("key", "id", F.coalesce("component", "id").alias("label")))
+    several = settle(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
+    rest = settle(labelled.join(several, "key"))
+    left, right = rest.toDF("key", "a", "label_a"), rest.toDF("key", "b", "label_b")
+    across = left.join(right, "key").where("label_a < label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return star.union(settle(verify(across)))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, settle, spread
+from .common import bounded_batches, buckets, components, settle, spanning_links
 
 #: Characters of a shingle, bins of the signature, bands of how many bins, least Jaccard similarity.
 CHARS, BANDS, ROWS, SIMILAR = 5, 16, 6, 0.8
@@ -69,7 +69,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         keys = band_keys(lines).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(ids, dtype=np.int64), BANDS))], names=["key", "line"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.array(ids, dtype=np.int64), BANDS))], names=["key", "id"])
 
     for b in batches:
         for i, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -88,35 +88,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line, pivot) of the keys that several lines share, from rows sorted by key and line; pivot is the first line of the key."""
-    held: tuple[int, int] | None = None  # the row before, and whether it shared its key with one before it
-    pivot, shared = 0, False
-    for b in batches:
-        k, v = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        if held is not None:
-            k, v = np.concatenate([[held[0]], k]), np.concatenate([[held[1]], v])
-        fresh = np.ones(len(k), dtype=bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-        k, v = k[fresh], v[fresh]
-        start = np.ones(len(k), dtype=bool)
-        start[1:] = k[1:] != k[:-1]
-        first = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))
-        pivots = v[first]
-        if held is not None:
-            pivots[: int(np.argmax(start[1:])) + 1 if start[1:].any() else len(k)] = pivot
-        several = np.zeros(len(k), dtype=bool)
-        several[:-1] |= ~start[1:]
-        several[1:] |= ~start[1:]
-        several[0] |= held is not None and shared
-        held, pivot, shared = (int(k[-1]), int(v[-1])), int(pivots[-1]), bool(several[-1])
-        several[-1] = False
-        if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (k, v, pivots)], names=["key", "line", "pivot"])
-    if held is not None and shared:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*held, pivot)], names=["key", "line", "pivot"])
-
-
 def jaccard(a: str, b: str) -> float:
     x, y = ({t[i : i + CHARS] for i in range(max(1, len(t) - CHARS + 1))} for t in (a, b))
     return len(x & y) / len(x | y)
@@ -143,16 +114,14 @@ def line_classes(docs: DataFrame) -> DataFrame:
     Null and empty texts have no line; null doc_id comes first; repeated rows repeat their lines, of which one stays.
     An empty table gives none. Extra columns are not looked at. Lines of any length are read whole.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark, 4000)
+    bounded_batches(docs.sparkSession, 4000)
     cut = docs.select("doc_id", F.posexplode(split_lines(F.coalesce("text", F.lit("")))).alias("line_no", "said")).where("said <> ''")
     places = settle(cut.select("doc_id", "line_no", F.xxhash64("said").alias("line")))
     said = cut.select(F.xxhash64("said").alias("line"), "said")
-    keys = said.mapInArrow(_keys, "key long, line long").repartition(spread(spark), "key").sortWithinPartitions("key", "line")
-    buckets = settle(keys.mapInArrow(_buckets, "key long, line long, pivot long"))
-    involved = settle(buckets.select("line").distinct())
+    shared = buckets(said.mapInArrow(_keys, "key long, id long"))
+    involved = settle(shared.select(F.col("id").alias("line")).distinct())
     texts = settle(said.join(involved, "line", "left_semi").groupBy("line").agg(F.first("said").alias("said")))
-    links = _links(buckets, texts)
+    links = spanning_links(shared, _verify(texts))
 
     member = components(links)
     seen = settle(places.groupBy("line").agg(F.min(_place()).alias("first")))
@@ -166,27 +135,9 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNotNull().alias("given"), F.col("doc_id"), F.col("line_no"))
 
 
-def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links that join all lines which similar pairs of a key join, without a row for every pair of a key.
-
-    First each line of a key is held against the key's pivot. Then, only in keys whose lines are not yet in one
-    component, the pairs over two components are held against each other: no link between them is lost, and
-    pairs that could not change a component are never made.
-    """
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x, y = texts.select(F.col("line").alias("a"), F.col("said").alias("x")), texts.select(F.col("line").alias("b"), F.col("said").alias("y"))
-        return settle(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"))
-
-    star = verified(buckets.where("line <> pivot").select(F.col("pivot").alias("a"), F.col("line").alias("b")).distinct())
-    member = components(star)
-    labelled = buckets.select("key", "line").join(member.withColumnRenamed("node", "line"), "line", "left")
-    labelled = settle(labelled.select("key", "line", F.coalesce("component", "line").alias("label")))
-    mixed_keys = settle(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-    rest = settle(labelled.join(mixed_keys, "key"))
-    a, b = rest.toDF("key", "a", "label_a"), rest.toDF("key", "b", "label_b")
-    across = a.join(b, "key").where("label_a < label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return star.union(verified(across))
+def _verify(texts: DataFrame):
+    x, y = texts.select(F.col("line").alias("a"), F.col("said").alias("x")), texts.select(F.col("line").alias("b"), F.col("said").alias("y"))
+    return lambda pairs: pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

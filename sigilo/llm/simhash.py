@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, settle
+from . import minhash
+from .common import bounded_batches, buckets, components, settle, spanning_links
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Generator of the binary Golay code of length 23: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -160,12 +161,81 @@ def near_copies(docs: DataFrame, distance: int = 3) -> DataFrame:
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """The documents whose doc_id stands for their class, in the columns given.
+#: Word fingerprints of a text for the filter, their largest distance, bytes of the signature and the least similarity.
+SEEDS, NEAR, SIMILAR = 3, 8, 0.8
+
+
+def word_fingerprints(text: str) -> tuple[list[int], bytes]:
+    """SEEDS SimHashes of the set of distinct words, and the packed MinHash of the five-word shingles.
+
+    A changed word changes one feature of the set but five shingles, so copies with a few edits lie within few bits.
+    """
+    words = set(text.lower().encode("utf-8", "surrogatepass").split())
+    if not words:
+        return [0] * SEEDS, b""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out = []
+    for seed in range(SEEDS):
+        bits = np.unpackbits(minhash.mixed(h + np.uint64(seed)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h)).tobytes(), "big"))
+    return out, minhash.fingerprint(text)
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [word_fingerprints(t or "") for t in b.column(2).to_pylist()]
+        fps = np.array([r[0] for r in rows], dtype=np.uint64).reshape(-1, SEEDS).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(fps), pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "id", "fps", "signature"])
+
+
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        fps = np.array(b.column(1).to_pylist(), dtype=np.int64).reshape(-1, SEEDS).view(np.uint64)
+        for at in range(0, len(ids), 2048):
+            for seed in range(SEEDS):
+                row, key = keys_of(fps[at : at + 2048, seed])
+                yield pa.RecordBatch.from_arrays([pa.array(key | np.int64(seed) << np.int64(31)), pa.array(ids[at : at + 2048][row])], names=["key", "id"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    least = SIMILAR - (SIMILAR * (1 - SIMILAR) / minhash.BINS) ** 0.5  # less the estimate's standard error
+    for b in batches:
+        ok = [minhash.likeness(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, component_id): classes of texts whose five-word shingles have a similarity of 0.8 or more.
+
+    Candidates share a key of one of three word fingerprints: two within 3 bits always do, others may. They are
+    verified by the distance of the fingerprints and by the similarity that 256-bin MinHash signatures tell (standard
+    error 0.025). Equal texts count once (id: their 64-bit hash). Null texts are empty; empty texts are copies of each other.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), "text")
+    rows = settle(rows.mapInArrow(_word_rows, "doc_id long, id long, fps array<long>, signature binary"))
+    texts = settle(rows.groupBy("id").agg(F.first("fps").alias("fps"), F.first("signature").alias("signature"), F.min("doc_id").alias("least")))
+    x, y = (texts.select(F.col("id").alias(i), F.col("fps").alias(f"f{i}"), F.col("signature").alias(f"s{i}")) for i in "ab")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        apart = F.array_min(F.zip_with("fa", "fb", lambda p, q: F.bit_count(p.bitwiseXOR(q))))
+        near = pairs.join(x, "a").join(y, "b").where(apart <= NEAR)
+        return near.select("a", "b", "sa", "sb").mapInArrow(_similar, "a long, b long")
+
+    member = components(spanning_links(buckets(texts.select("id", "fps").mapInArrow(_word_keys, "key long, id long")), verify))
+    named = settle(texts.select("id", "least").join(member.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class"), "least"))
+    least = settle(named.groupBy("class").agg(F.min("least").alias("component_id")))
+    classes = settle(named.join(least, "class").select("id", "component_id"))
+    return rows.select("doc_id", "id").join(classes, "id").select("doc_id", "id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents whose doc_id stands for their class of similar texts, in the columns given.
 
     A doc_id that repeats is one document and stays once. Rows without a doc_id can't be told apart by it: they stay.
     """
-    found = near_copies(docs, distance)
+    found = similar_texts(docs)
     best = settle(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")))
     kept = docs.join(best.select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
     if not best.where("_n > 1").isEmpty():
