@@ -33,7 +33,7 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches of a literal pattern as array<struct<ini, fim, valor, v_ini, v_fim>>, offsets from 0 in code points.
 
     The pieces between matches and the matches themselves alternate, so the offsets are running sums of their
-    lengths. valor is the group if it matched, else the match. The pattern must not match the empty string.
+    lengths. valor is the group if it matched, else the match; it is looked for at the match's end, then anywhere. The pattern must not match the empty string.
     Matches are folded in groups of FOLD, and the groups then, so that many matches don't cost their square.
     """
     p = F.lit(pattern)
@@ -46,7 +46,8 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     def step(acc: Column, r: Column) -> Column:
         ini = acc["at"] + F.length(r["g"])
         kept = F.when(r["v"] == "", r["m"]).otherwise(r["v"])
-        v_ini = ini + (F.instr(r["m"], kept) - 1 if group else F.lit(0))
+        inside = F.when(F.endswith(r["m"], kept), F.length(r["m"]) - F.length(kept)).otherwise(F.instr(r["m"], kept) - 1)
+        v_ini = ini + (inside if group else F.lit(0))
         span = F.struct(ini.alias("ini"), (ini + F.length(r["m"])).alias("fim"), kept.alias("valor"), v_ini.alias("v_ini"), (v_ini + F.length(kept)).alias("v_fim"))
         return let(span, lambda s: F.struct(s["fim"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out")))
 
