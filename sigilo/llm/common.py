@@ -31,18 +31,27 @@ def forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there and lost executors cost nothing.
 
-    Tables live until the session ends, for the result that reads them is lazy.
+    parts: tasks that write it, for a table known to be small; each takes several shuffle partitions. Tables live
+    until the session ends, for the result that reads them is lazy.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     atexit.register(forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task takes of tables whose size was counted.
+TASK_ROWS = 100_000
+
+
+def tasks_for(rows: int, spark: SparkSession) -> int:
+    return max(1, min(spread(spark), -(-rows // TASK_ROWS)))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of bounded rows and bytes, so that very long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -93,19 +102,21 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     labels = None
-    while not e.isEmpty():
+    while n := e.count():
+        parts = tasks_for(2 * n, edges.sparkSession)  # nodes are twice the edges at most
+        e = e.coalesce(parts)
         both = e.union(e.select("b", "a"))
-        up = settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
+        up = settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), parts)
         further = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        up = settle(up.join(further, "up").select("node", F.col("top").alias("up")))
+        up = settle(up.join(further, "up").select("node", F.col("top").alias("up")), parts)
         if labels is None:
-            labels = up.select("node", F.col("up").alias("component"))
+            labels, most = up.select("node", F.col("up").alias("component")), parts
         else:
             step = up.select(F.col("node").alias("component"), "up")
-            labels = settle(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+            labels = settle(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")), most)
         left, right = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
         moved = e.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        e = settle(moved.where("a < b").distinct())
+        e = settle(moved.where("a < b").distinct(), parts)
     return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -151,12 +162,16 @@ def spanning_links(shared: DataFrame, verify: Callable[[DataFrame], DataFrame])
     component, the pairs over two components are held against each other: no pair that could join
     components is left out, and pairs that could not are never made.
     """
-    star = settle(verify(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
+    pairs = settle(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    star = settle(verify(pairs))
     member = components(star)
     labelled = shared.select("key", "id").join(member.withColumnRenamed("node", "id"), "id", "left")
     labelled = settle(labelled.select("key", "id", F.coalesce("component", "id").alias("label")))
     several = settle(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
     rest = settle(labelled.join(several, "key"))
+    parts = tasks_for(rest.count(), shared.sparkSession)
+    rest = rest.coalesce(parts)
     left, right = rest.toDF("key", "a", "label_a"), rest.toDF("key", "b", "label_b")
     across = left.join(right, "key").where("label_a < label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = settle(across)
     return star.union(settle(verify(across)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, buckets, components, settle, spanning_links
 
 #: Characters of a shingle, bins of the signature, bands of how many bins, least Jaccard similarity.
-CHARS, BANDS, ROWS, SIMILAR = 5, 16, 6, 0.8
+CHARS, BANDS, ROWS, SIMILAR = 5, 18, 8, 0.8
 #: Lines that a task remembers, so as not to sign a frequent line again and again.
 REMEMBERED = 300_000
 BINS = BANDS * ROWS
