@@ -52,6 +52,13 @@ def tasks_for(rows: int, spark: SparkSession) -> int:
     return max(1, min(spread(spark), -(-rows // TASK_ROWS)))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, or a longer one if a column of df has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of bounded rows and bytes, so that very long texts don't pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

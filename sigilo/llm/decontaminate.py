@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, fresh
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach to be retrieved.
@@ -178,12 +178,12 @@ def indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator:
 HIT = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
 
 
-def _annotator(index):
+def _annotator(index, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
-            hits = [[dict(zip(("item_id", "score", "question", "answer"), h)) for h in x] for x in index.value.leaks(texts)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hits, pa.list_(HIT))], names=[*b.schema.names[:-1], "hits"])
+            found = [[dict(zip(("item_id", "score", "question", "answer"), h)) for h in x] for x in index.value.leaks(texts)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(HIT))], names=[*b.schema.names[:-1], name])
 
     return run
 
@@ -198,11 +198,12 @@ def annotate(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> Data
     bounded_batches(spark)
     kept = [c for c in docs.columns if c != name]
     out = docs.select(*kept, F.expr("cast(null as array<struct<item_id: bigint, score: double, question: double, answer: double>>)").alias(name))
+    hits, text = fresh("_hits", out), fresh("_text", out)
     first = True
     for index in indexes(spark, benchmark):
-        fields = ", ".join(f"`{n}` {t}" for n, t in out.dtypes) + ", hits array<struct<item_id: bigint, score: double, question: double, answer: double>>"
-        found = out.select("*", F.col("text").alias("_text")).mapInArrow(_annotator(index), fields)
-        out = found.withColumn(name, F.col("hits") if first else F.concat(name, "hits")).drop("hits")
+        fields = ", ".join(f"`{n}` {t}" for n, t in out.dtypes) + f", `{hits}` array<struct<item_id: bigint, score: double, question: double, answer: double>>"
+        found = out.select("*", F.col("text").alias(text)).mapInArrow(_annotator(index, hits), fields)
+        out = found.withColumn(name, F.col(hits) if first else F.concat(name, hits)).drop(hits)
         first = False
     return out
 
@@ -215,4 +216,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, in the columns given."""
-    return annotate(docs, benchmark, "_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+    name = fresh("_leaks", docs)
+    return annotate(docs, benchmark, name).where(F.size(name) == 0).drop(name)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, buckets, components, settle, spanning_links
+from .common import bounded_batches, buckets, components, fresh, settle, spanning_links
 
 #: Characters of a shingle, bins of the signature, bands of how many bins, least Jaccard similarity.
 CHARS, BANDS, ROWS, SIMILAR = 5, 18, 8, 0.8
@@ -149,8 +149,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the lines taken out of their texts that another place keeps. Blank lines and order stay, columns as given."""
-    gone = settle(dedup(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias("_id"), "dropped"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    key, drop = fresh("_id", docs), fresh("dropped", docs)
+    gone = settle(dedup(docs).where(F.size("dropped") > 0).select(F.col("doc_id").alias(key), F.col("dropped").alias(drop)))
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)), "left")
     numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    left = F.transform(F.filter(numbered, lambda x: ~F.array_contains("dropped", x["i"])), lambda x: x["line"])
-    return out.withColumn("text", F.when(F.col("dropped").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))).select(*docs.columns)
+    left = F.transform(F.filter(numbered, lambda x: ~F.array_contains(drop, x["i"])), lambda x: x["line"])
+    return out.withColumn("text", F.when(F.col(drop).isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))).select(*docs.columns)

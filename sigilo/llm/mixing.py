@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, spread, with_rank
+from .common import fresh, settle, spread, with_rank
 
 OTHER = "(other)"
 ADDED = ("stream", "block", "mix_slot", "mix_offset")
@@ -97,8 +97,9 @@ def in_order(docs: DataFrame, quotas: dict[str, int], block_docs: int = 16) -> D
     Rows of one doc_id go together to its first place; those without one come first.
     """
     placed = mix(docs.select("doc_id", "source"), quotas, block_docs).where("doc_id is not null")
-    places = settle(placed.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("mix_slot", "mix_offset")).alias("_at")))
-    known = docs.where("doc_id is not null").join(places, F.col("doc_id") == F.col("_id")).drop("_id")
-    rest = docs.where("doc_id is null").withColumn("_at", F.lit(None).cast(known.schema["_at"].dataType))
-    out = known.unionByName(rest).repartitionByRange(spread(docs.sparkSession), "_at").sortWithinPartitions("_at")
-    return out.drop("_at")
+    key, at = fresh("_id", docs), fresh("_at", docs)
+    places = settle(placed.groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("mix_slot", "mix_offset")).alias(at)))
+    known = docs.where("doc_id is not null").join(places, F.col("doc_id") == F.col(key)).drop(key)
+    rest = docs.where("doc_id is null").withColumn(at, F.lit(None).cast(known.schema[at].dataType))
+    out = known.unionByName(rest).repartitionByRange(spread(docs.sparkSession), at).sortWithinPartitions(at)
+    return out.drop(at)

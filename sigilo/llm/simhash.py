@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import bounded_batches, buckets, components, settle, spanning_links
+from .common import bounded_batches, buckets, components, fresh, settle, spanning_links
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Generator of the binary Golay code of length 23: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -236,8 +236,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A doc_id that repeats is one document and stays once. Rows without a doc_id can't be told apart by it: they stay.
     """
     found = similar_texts(docs)
-    best = settle(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")))
-    kept = docs.join(best.select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
+    at = fresh("_id", docs)
+    best = settle(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(at)).agg(F.count(F.lit(1)).alias("_n")))
+    kept = docs.join(best.select(at), F.col("doc_id") == F.col(at), "left_semi")
     if not best.where("_n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
