@@ -61,4 +61,16 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op3_language_fusion, op4_fuzzy_lines, op5_minhash_fingerprints, op6_toxicity_deobfuscated, op7_pfair_mix, op8_hilbert_shards, op9_bm25_decontamination, op10_html_text_density)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_chat_rotation": """
+WITH t AS (SELECT conv_id, turn, coalesce(nullif(regexp_replace(lower(trim(role)), '[^0-9a-z_-]', '_', 'g'), ''), 'unknown') AS name, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name, said) - 1 AS k FROM t),
+p AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> 'system'),
+x AS (SELECT r.conv_id, k // 512 AS part, perspective, k, said || '<|end|>' AS body, name = perspective AS own,
+  CASE WHEN name = 'system' THEN '<|system|>' WHEN name = perspective THEN '<|assistant|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS head
+  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
+y AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, perspective ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM x)
+SELECT conv_id, CAST(part AS INTEGER) AS part, perspective, CAST(count(*) AS INTEGER) AS n_turns, CAST(count(*) FILTER (WHERE own) AS INTEGER) AS n_trained,
+  string_agg(head || body || chr(10), '' ORDER BY k) AS rendered, coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT) || ';', '' ORDER BY k) FILTER (WHERE own), '') AS loss_spans
+FROM y GROUP BY conv_id, part, perspective""",
+}

@@ -2,11 +2,12 @@
 
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from sigilo.llm import chat, mixing, sharding
 from sigilo.llm.common import with_rank
-from sigilo.llm.queries import QUOTAS, SQL
+from sigilo.llm.queries import QUERIES, QUOTAS, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,4 +121,13 @@ def test_pipeline_stages(spark):
     none = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
-    assert SQL is not None and QUOTAS
+    assert QUOTAS
+
+
+def test_chat_equals_sql(spark):
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    out = c.execute(SQL["op1_chat_rotation"])
+    names = [d[0] for d in out.description]
+    got = QUERIES["op1_chat_rotation"](spark, SF).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(out.fetchall())
