@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigilo.functions import rules as R
 from sigilo.functions import text as T
 from sigilo.operators import allowlist as A
-from sigilo.operators import audit, context, dataset, detect, evaluate, geometry, spans, transform
+from sigilo.operators import api, audit, context, dataset, detect, evaluate, geometry, review, spans, transform
 from sigilo.sources import files
 from sigilo.streaming import progress
 
@@ -552,9 +552,7 @@ def font_fit(spark, sf):
 
 @query(f"SELECT CASE tipo WHEN 'PESSOA' THEN 'Pessoas' WHEN 'CPF' THEN 'Documentos' ELSE 'Contato' END AS grupo, count(*) AS n FROM ({FINDING}) GROUP BY 1")
 def ui_buckets(spark, sf):
-    t = F.col("tipo")
-    group = F.when(t == "PROC_CNJ", "Processo CNJ").when(t == "PESSOA", "Pessoas").when(t.isin("CPF", "CNPJ", "RG", "OAB"), "Documentos").when(t.isin("EMAIL", "TELEFONE", "ENDERECO", "CEP"), "Contato").otherwise("Outros")
-    return findings(spark, sf).groupBy(group.alias("grupo")).agg(F.count(F.lit(1)).alias("n"))
+    return review.grouped(findings(spark, sf))
 
 
 @query("SELECT event_id FROM events WHERE epoch(ts) < (SELECT max(floor(epoch(ts))) FROM events) - 86400")
@@ -614,3 +612,99 @@ def file_sizes(spark, sf):
 def signature_clusters(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_partkey % 40 AS doc_id", "CAST(p_size % 3 AS INT) AS pagina", "p_partkey AS seq", "CAST(p_partkey * 37 % 900 AS INT) AS x", "CAST(p_partkey * 91 % 700 AS INT) AS y", "10 AS largura", "8 AS altura")
     return geometry.clusters(p)
+
+
+@query(f"SELECT job_id, seq, tipo, substr(valor, 1, 3) || '***' AS valor, x0 AS x, y0 AS y, x0 AS width, y0 + 1 AS height FROM ({FINDING})")
+def api_answer(spark, sf):
+    f = findings(spark, sf).withColumn("x1", F.col("x0") * 2).withColumn("y1", F.col("y0") * 2 + 1)
+    return review.answer(f).select("job_id", "seq", "tipo", "valor", "posicao.x", "posicao.y", "posicao.width", "posicao.height")
+
+
+@query(f"SELECT job_id AS doc_id, tipo, count(*) AS n, count(*) FILTER (WHERE y0 > 0.8) AS seguras, min(seq) AS primeiro FROM ({FINDING}) GROUP BY job_id, tipo")
+def entities_by_type(spark, sf):
+    e = findings(spark, sf).selectExpr("job_id AS doc_id", "tipo", "valor", "seq AS ini", "seq + 1 AS fim", "y0 AS score")
+    return review.by_type(e).select("doc_id", "tipo", "n", "seguras", F.col("entidades")[0]["ini"].alias("primeiro"))
+
+
+@query(f"SELECT job_id, string_agg(tipo, ',' ORDER BY tipo) AS regras FROM (SELECT DISTINCT job_id, tipo FROM ({FINDING}) UNION SELECT DISTINCT job_id, 'OUTRO' FROM ({FINDING}) WHERE job_id % 3 = 0) GROUP BY job_id")
+def applied_rules(spark, sf):
+    f = findings(spark, sf)
+    return review.applied_rules(f, f.where("job_id % 3 = 0")).select("job_id", F.array_join("regras", ",").alias("regras"))
+
+
+@query(f"SELECT job_id, count(*) + count(*) FILTER (WHERE pagina = 1) AS identificados, count(*) FILTER (WHERE seq % 3 = 0) + count(*) FILTER (WHERE pagina = 1) AS aprovados FROM ({FINDING}) GROUP BY job_id")
+def review_summary(spark, sf):
+    f = findings(spark, sf)
+    return review.summary(f, f.select("job_id", "seq", (F.col("seq") % 3 == 0).alias("selected")), f.where("pagina = 1"))
+
+
+@query(f"SELECT tipo, count(DISTINCT (job_id, valor)) AS n FROM ({FINDING}) GROUP BY tipo")
+def mapping_report(spark, sf):
+    return transform.mapping_report(transform.mapping(findings(spark, sf))).select("tipo", F.size("itens").cast("bigint").alias("n"))
+
+
+@query("SELECT page_id, regexp_replace(coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), 'upload'), '\\.[^.]*$', '') || CASE WHEN page_id % 2 = 0 THEN '_pseudonimizado.pdf' ELSE '_anonimizado.pdf' END AS nome FROM pages")
+def output_names(spark, sf):
+    name = F.coalesce(F.nullif(F.regexp_extract("url", "([^/]*)$", 1), F.lit("")), F.lit("upload"))
+    mode = F.when(F.col("page_id") % 2 == 0, "pseudonimizacao").otherwise("anonimizacao")
+    return table(spark, sf, "pages").select("page_id", review.output_name(name, mode).alias("nome"))
+
+
+@query(f"SELECT doc_id, seq, greatest(ini - 20, 0) AS x0, least(fim - 20, 50) AS x1 FROM ({RANGE_A}) WHERE least(fim - 20, 50) > greatest(ini - 20, 0)")
+def clip_boxes(spark, sf):
+    b = ranges(spark, sf, RANGE_A).select("doc_id", "seq", (F.col("ini") - 20).alias("x0"), (F.col("fim") - 20).alias("x1"), F.lit(1).alias("y0"), F.lit(2).alias("y1"))
+    return geometry.clipped(b, F.lit(50), F.lit(50)).select("doc_id", "seq", "x0", "x1")
+
+
+@query("SELECT p_partkey AS k FROM part WHERE p_size * 20 BETWEEN 50 AND 50000 AND 4 * 3.141592653589793::DOUBLE * p_size * 20 / ((p_partkey % 90 + 20) * (p_partkey % 90 + 20)) < 0.5")
+def signature_contours(spark, sf):
+    p = table(spark, sf, "part")
+    return p.where(geometry.signature_like((F.col("p_size") * 20).cast("double"), (F.col("p_partkey") % 90 + 20).cast("double"))).select(F.col("p_partkey").alias("k"))
+
+
+@query("SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'PESSOA' WHEN 1 THEN 'CPF' ELSE 'OUTRO' END AS tipo FROM customer")
+def label_map(spark, sf):
+    e = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.lit("gliner").alias("engine"), F.expr("CASE c_custkey % 3 WHEN 0 THEN 'First Name' WHEN 1 THEN 'tax id' ELSE 'unknown' END").alias("label"))
+    known = spark.createDataFrame([("gliner", "first_name", "PESSOA"), ("gliner", "tax_id", "CPF")], "engine string, label string, tipo string")
+    return detect.mapped_labels(e, known).select("k", "tipo")
+
+
+@query("SELECT c_custkey AS k, CAST(CASE WHEN c_custkey % 4 = 3 THEN 0 ELSE 1 END AS INTEGER) AS n, CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE c_name END AS texto FROM customer")
+def llm_salvage(spark, sf):
+    body = F.concat(F.lit('[{"texto": "'), F.col("c_name"), F.lit('", "tipo": "pessoa"}]'))
+    k = F.col("c_custkey") % 4
+    said = F.when(k == 0, body).when(k == 1, F.concat(F.lit('{"entidades": '), body, F.lit("}"))).when(k == 2, F.concat(F.lit("Aqui: "), body, F.lit(" fim"))).otherwise("nada")
+    out = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), detect.salvaged_json(said).alias("e"))
+    return out.select("k", F.size("e").alias("n"), F.get("e", F.lit(0))["texto"].alias("texto"))
+
+
+@query("SELECT vec_id, CAST(floor(list_min(list_transform(range(1, 5), lambda i: embedding[i * 2 - 1])) * 1000) AS BIGINT) AS x, CAST(floor(list_min(list_transform(range(1, 5), lambda i: embedding[i * 2])) * 1000) AS BIGINT) AS y FROM embeddings")
+def polygon_bbox(spark, sf):
+    e = F.col("embedding")
+    box = geometry.polygon_box(F.array(*[F.array(e[2 * i], e[2 * i + 1]) for i in range(4)]))
+    return table(spark, sf, "embeddings").select("vec_id", F.floor(box["x"] * 1000).alias("x"), F.floor(box["y"] * 1000).alias("y"))
+
+
+@query(f"SELECT tipo, count(*) AS n, count(*) FILTER (WHERE ativo) AS ativos FROM (SELECT * FROM ({LIST}) WHERE seq <> (SELECT min(seq) FROM ({LIST}) WHERE lower(trim(nome)) = 'silva nome 4') UNION ALL SELECT 0, 'Nova Pessoa', 'juiz', true) GROUP BY tipo")
+def allow_edit(spark, sf):
+    new = spark.createDataFrame([("Nova Pessoa", "juiz", True, 0), (" silva nome 1 ", "advogado", True, 0)], "nome string, tipo string, ativo boolean, seq long")
+    out = A.delete(A.insert(listed(spark, sf), new), "SILVA nome 4")
+    return out.groupBy("tipo").agg(F.count(F.lit(1)).alias("n"), F.count_if("ativo").alias("ativos"))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '{R.REDACTED}', 'g') AS texto FROM documents WHERE regexp_matches(text, '{EMAIL}') AND doc_id IN (SELECT doc_id FROM ({span_sql(EMAIL, 'EMAIL')}))")
+def anonymise_emails_selected(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    f = detect.find_by_type(docs, "EMAIL").select(F.col("doc_id").alias("job_id"), F.col("ini").alias("seq"), "tipo", "valor", "ini", "fim")
+    out = api.anonymise_selected(docs, f, review.select_all(f.select("job_id", "seq")), spark.createDataFrame([], "termo string, tipo string"))
+    return out.join(f.select(F.col("job_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+
+@query()
+def anonymise_documents(spark, sf):
+    return api.anonymise(table(spark, sf, "documents"))
+
+
+@query()
+def pseudonymise_documents(spark, sf):
+    return api.anonymise(table(spark, sf, "documents"), "pseudonimizacao")
