@@ -162,7 +162,7 @@ def near_copies(docs: DataFrame, distance: int = 3) -> DataFrame:
 
 
 #: Word fingerprints of a text for the filter, their largest distance, bytes of the signature and the least similarity.
-SEEDS, NEAR, SIMILAR = 3, 8, 0.8
+SEEDS, NEAR, SIMILAR = 3, 5, 0.8
 
 
 def word_fingerprints(text: str) -> tuple[list[int], bytes]:
@@ -218,12 +218,15 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     texts = settle(rows.groupBy("id").agg(F.first("fps").alias("fps"), F.first("signature").alias("signature"), F.min("doc_id").alias("least")))
     x, y = (texts.select(F.col("id").alias(i), F.col("fps").alias(f"f{i}"), F.col("signature").alias(f"s{i}")) for i in "ab")
 
+    def near(p: Column, q: Column) -> Column:
+        return F.array_min(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v)))) <= NEAR
+
     def verify(pairs: DataFrame) -> DataFrame:
-        apart = F.array_min(F.zip_with("fa", "fb", lambda p, q: F.bit_count(p.bitwiseXOR(q))))
-        near = pairs.join(x, "a").join(y, "b").where(apart <= NEAR)
-        return near.select("a", "b", "sa", "sb").mapInArrow(_similar, "a long, b long")
+        found = pairs.join(x, "a").join(y, "b").where(near(F.col("fa"), F.col("fb")))
+        return found.select("a", "b", "sa", "sb").mapInArrow(_similar, "a long, b long")
 
-    member = components(spanning_links(buckets(texts.select("id", "fps").mapInArrow(_word_keys, "key long, id long")), verify))
+    shared = buckets(texts.select("id", "fps").mapInArrow(_word_keys, "key long, id long"))
+    member = components(spanning_links(shared, verify, texts.select("id", F.col("fps").alias("load")), near))
     named = settle(texts.select("id", "least").join(member.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class"), "least"))
     least = settle(named.groupBy("class").agg(F.min("least").alias("component_id")))
     classes = settle(named.join(least, "class").select("id", "component_id"))
