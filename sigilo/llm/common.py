@@ -162,14 +162,13 @@ def buckets(keys: DataFrame) -> DataFrame:
     return settle(dealt.mapInArrow(_shared, "key long, id long, pivot long"))
 
 
-def spanning_links(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], loads: DataFrame | None = None, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def spanning_links(shared: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Verified links (a, b) that join all ids which similar pairs within a key join, without a row for every pair of a key.
 
     First each id is held against one pivot, the one it shares most keys with: a row for each id. Ids in keys that
     still have several components are held against one id of another component there, likewise. What is left over two
     components in a key is held against each other, pair by pair: no pair that could join components is left out,
-    and pairs that could not are never made. With loads (id, load) and near, such pairs must also be near, which the
-    join itself tests.
+    and pairs that could not are never made.
     """
     links = settle(verify(_most_shared(shared.select(F.col("pivot").alias("a"), F.col("id").alias("b")).where("a <> b"))))
     several = _several(shared.select("key", "id"), links)
@@ -177,16 +176,9 @@ def spanning_links(shared: DataFrame, verify: Callable[[DataFrame], DataFrame],
     other = several.join(settle(ends), "key").select(F.when(F.col("label") == F.col("lo.label"), F.col("hi.id")).otherwise(F.col("lo.id")).alias("a"), F.col("id").alias("b"))
     links = links.union(settle(verify(_most_shared(other))))
     rest = _several(several.select("key", "id"), links)
-    if loads is not None:
-        rest = settle(rest.join(loads, "id").select("key", "id", "label", "load"))
     rest = rest.coalesce(tasks_for(rest.count(), shared.sparkSession))
-    load = ["load"] if loads is not None else []
-    left = rest.select("key", F.col("id").alias("a"), F.col("label").alias("label_a"), *[F.col(c).alias("load_a") for c in load])
-    right = rest.select("key", F.col("id").alias("b"), F.col("label").alias("label_b"), *[F.col(c).alias("load_b") for c in load])
-    apart = F.col("label_a") < F.col("label_b")
-    if near is not None:
-        apart = apart & near(F.col("load_a"), F.col("load_b"))
-    across = settle(left.join(right, "key").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left, right = rest.toDF("key", "a", "label_a"), rest.toDF("key", "b", "label_b")
+    across = settle(left.join(right, "key").where("label_a < label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return links.union(settle(verify(across)))
 
 

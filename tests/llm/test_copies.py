@@ -105,6 +105,50 @@ def test_keep_one_joins_edited_copies(spark):
     assert all(4 * g in ids for g in range(20)) and len(ids) <= 20 + 1 + 6 and len(set(ids)) == len(ids)
 
 
+def edited(rnd, words, kind, share):
+    """A copy: single words changed, or one block of words added, put in, cut or replaced."""
+    n = len(words)
+    new = lambda k: [f"new{rnd.randrange(10**6)}" for _ in range(k)]
+    k, at = max(1, round(n * share)), rnd.randrange(n // 2)
+    if kind == "scattered":
+        out = list(words)
+        for i in rnd.sample(range(n), max(1, k // 5)):
+            out[i] = new(1)[0]
+        return out
+    return {"appended": words + new(k), "put in": words[:at] + new(k) + words[at:], "cut": words[: n - k], "replaced": words[:at] + new(k) + words[at + k :]}[kind]
+
+
+def similarity(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+KINDS = ("scattered", "appended", "put in", "cut", "replaced")
+
+
+def test_band_keys_meet_at_the_threshold():
+    rnd, met, pairs = random.Random(11), 0, 0
+    while pairs < 400:
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(100, 600))]
+        copy = edited(rnd, base, KINDS[pairs % 5], rnd.uniform(0.05, 0.25))
+        if 0.8 <= similarity(base, copy) < 0.85:
+            row, key = simhash.band_keys([minhash.fingerprint(" ".join(t)) for t in (base, copy)])
+            met += bool(set(key[row == 0].tolist()) & set(key[row == 1].tolist()))
+            pairs += 1
+    assert met >= 398
+
+
+def test_copies_with_edited_blocks_come_together(spark):
+    rnd, rows = random.Random(12), []
+    while len(rows) < 200:
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(100, 400))]
+        copy = edited(rnd, base, KINDS[len(rows) // 2 % 5], rnd.uniform(0.03, 0.15))
+        if similarity(base, copy) >= 0.87:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(200)}
+
+
 def test_lines_equal_brute_force(spark, docs):
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "ab\n\n  ab \ncd"), (None, "ab"), (-4, "z" * 300_000), (-5, "z" * 300_001)], "doc_id long, text string")
     both = docs.where("doc_id < 120").select("doc_id", "text").unionByName(odd)
