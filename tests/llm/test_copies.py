@@ -167,6 +167,20 @@ def test_lines_equal_brute_force(spark, docs):
     assert lines.dedup(odd.where("false")).count() == 0
 
 
+def test_line_bands_meet_at_the_threshold():
+    rnd, pairs = random.Random(13), []
+    while len(pairs) < 800:
+        base = [chr(rnd.randrange(97, 123)) for _ in range(rnd.randint(1000, 1500))]
+        copy = list(base)
+        for at in rnd.sample(range(len(base)), len(base) * 23 // 1000):
+            copy[at] = chr(rnd.randrange(65, 91))
+        a, b = "".join(base), "".join(copy)
+        if 0.8 <= lines.jaccard(a, b) < 0.82:
+            pairs.append((a, b))
+    x, y = (lines.band_keys([p[i] for p in pairs]) for i in (0, 1))
+    assert (x == y).any(axis=1).mean() >= 0.985
+
+
 def test_fingerprints(spark, docs):
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "é😀 x"), (10_000, "tail words " * 20_000), (10_001, "dup"), (10_001, "dup")], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(odd)
