@@ -19,6 +19,8 @@ DROPPED = frozenset(
     "script style noscript template iframe object embed svg math canvas audio video head title nav footer aside form "
     "button select option input textarea label fieldset dialog menu map noembed noframes xmp".split()
 )
+#: Of the dropped, those that may wrap a whole page, as words in class and id may.
+WRAPPERS = frozenset("form fieldset aside".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot "
@@ -49,35 +51,38 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 class Node:
     """An element: its children and texts in order, and the sums over its subtree that densities need."""
 
-    __slots__ = ("tag", "dropped", "items", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "named", "dropped", "items", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.items = tag, parent, dropped, []
+    def __init__(self, tag: str, parent: Node | None, named: str):
+        self.tag, self.parent, self.named, self.items = tag, parent, named, []
+        self.dropped = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.best: Node = self
 
 
-def boilerplate(tag: str, attributes: str, inside_main: bool) -> bool:
-    """Elements that are no article by their name, role, class or id. A header inside an article holds its heading and stays."""
-    if tag in DROPPED or tag == "header" and not inside_main:
-        return True
+def boilerplate(tag: str, attributes: str, inside_main: bool) -> str:
+    """"always" for elements that are no article by their name or role, "unless bulk" for those that may yet wrap the
+    page's text: forms and their like, and names in class or id. A header inside an article holds its heading and stays."""
+    found = "unless bulk" if tag in WRAPPERS else ""
+    if tag in DROPPED - WRAPPERS or tag == "header" and not inside_main:
+        return "always"
     if not attributes or tag in ("html", "body"):
-        return False
+        return found
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "always"
         if name == "role" and value.lower() in ROLES or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return "always"
         if name in ("class", "id") and tag not in ("article", "main") and BOILERPLATE.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
-    return False
+            found = "unless bulk"
+    return found
 
 
 def parse(page: str) -> Node:
     """A tree of the page, forgiving as browsers are: open paragraphs, items and cells are closed by what follows them."""
-    root = Node("html", None, False)
+    root = Node("html", None, "")
     at, here, main = 0, root, 0
     for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
@@ -95,7 +100,7 @@ def parse(page: str) -> Node:
                     main -= here.tag in ("article", "main")
                     here = here.parent
             elif tag == "br":
-                here.items.append(Node("br", here, False))
+                here.items.append(Node("br", here, ""))
             continue
         if tag == "html":
             continue
@@ -112,7 +117,7 @@ def parse(page: str) -> Node:
                 while here is not top.parent:
                     main -= here.tag in ("article", "main")
                     here = here.parent
-        node = Node(tag, here, here.dropped or boilerplate(tag, m[3], main > 0))
+        node = Node(tag, here, boilerplate(tag, m[3], main > 0))
         here.items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -123,9 +128,35 @@ def parse(page: str) -> Node:
             main += tag in ("article", "main")
     if at < len(page):
         here.items.append(page[at:])
+    drop(root)
     return root
 
 
+def drop(root: Node) -> None:
+    """Marks what is left out. A wrapper that is boilerplate only by a name stays if it holds more than half of the page's
+    text outside of links and, on a page with a marked article or main part, holds one or lies in one. What it holds is
+    judged likewise, so a form loses its controls only."""
+    order, stack, said, marked = [], [root], {}, set()
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(x for x in node.items if isinstance(x, Node) and x.named != "always")
+    for node in reversed(order):
+        own = sum(len("".join(x.split())) if isinstance(x, str) else said.get(x, 0) for x in node.items)
+        said[node] = 0 if node.tag == "a" else own
+        if own and node.tag in ("article", "main") or any(x in marked for x in node.items if isinstance(x, Node)):
+            marked.add(node)
+    stack = [(root, root not in marked)]
+    while stack:
+        node, free = stack.pop()
+        free = free or node.tag in ("article", "main")
+        for x in node.items:
+            if isinstance(x, Node):
+                bulk = 2 * said.get(x, 0) > said[root] and (free or x in marked)
+                x.dropped = node.dropped or x.named == "always" or x.named == "unless bulk" and not bulk
+                stack.append((x, free))
+
+
 def measure(root: Node) -> None:
     """Sums, densities and the best subtree of each node, from the leaves up; without recursion, for deep pages."""
     order, stack = [], [root]

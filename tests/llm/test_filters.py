@@ -122,6 +122,15 @@ def test_html_edges(page, text):
     assert html_text.main_text(page) == text
 
 
+STORY = "<h1>Head</h1><p>First long paragraph of the text, that goes on and on.</p><p>Second paragraph, as long as the one ahead of it.</p>"
+
+
+@pytest.mark.parametrize("start,end", [("<form action=x><input value=1><label>Name</label>", "<button>Send</button></form>"), ("<div class='layout with-sidebar'>", "<div class=sidebar>Side</div></div>"), ("<div class=no-sidebar>", "</div>"), ("<section id=search-results>", "</section>"), ("<form><div class='page has-widget'>", "</div></form>")])
+def test_html_wrappers_keep_their_text(start, end):
+    page = f"<html><body><nav><a href=x>Home</a></nav>{start}<div class=content>{STORY}</div>{end}<form><input>Send</form></body></html>"
+    assert html_text.main_text(page) == "Head First long paragraph of the text, that goes on and on. Second paragraph, as long as the one ahead of it."
+
+
 def test_html_deep_and_long():
     deep = "<div>" * 20_000 + "text" + "</div>" * 20_000
     assert html_text.main_text(deep) == "text"
