@@ -43,6 +43,7 @@ BOILERPLATE = re.compile(
     r"copyright|legal|disclaimer|toolbar|skip|hidden|tags)(?=$|[\s_-]|\d)",
     re.I,
 )
+HEADING = re.compile("h[1-6]")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -194,17 +195,19 @@ def measure(root: Node) -> None:
 def chosen(root: Node) -> list[Node]:
     """Subtrees of the article in page order: where the sum of child densities is largest, within every branch that is
     at least as dense as the thinnest node on the way from the page's best subtree up to the body. If that subtree lies
-    in a marked article (or, without one, in the marked main part), then this is it."""
-    node, threshold, marked = root.best, math.inf, {}
+    in a marked article (or, without one, in the marked main part), the way ends there: every outermost such element at
+    least as dense is taken, without the blocks of links in it that are thinner. Text and headings without a thin block stay."""
+    node, way = root.best, []
     while node is not None:
-        threshold = min(threshold, node.density)
-        marked[node.tag] = node
+        way.append(node)
         if node.tag == "body":
             break
         node = node.parent
     for tag in ("article", "main"):
-        if tag in marked:
-            return [marked[tag]]
+        tops = [i for i, x in enumerate(way) if x.tag == tag]
+        if tops:
+            return dense_parts(root, tag, min(x.density for x in way[: tops[-1] + 1]))
+    threshold = min(x.density for x in way)
     out, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -212,7 +215,34 @@ def chosen(root: Node) -> list[Node]:
             out.append(node)
         else:
             stack.extend(x for x in reversed(node.items) if isinstance(x, Node) and not x.dropped and x.chars and x.density >= threshold)
-    return out
+    return trimmed(out, threshold)
+
+
+def dense_parts(root: Node, tag: str, threshold: float) -> list[Node]:
+    """The outermost elements of the tag that are as dense as the threshold, in page order."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == tag:
+            if node.density >= threshold:
+                out.append(node)
+        else:
+            stack.extend(x for x in reversed(node.items) if isinstance(x, Node) and not x.dropped)
+    return trimmed(out, threshold)
+
+
+def trimmed(nodes: list[Node], threshold: float) -> list[Node]:
+    """The nodes, without the blocks in them that are mostly links and thinner than the threshold."""
+    stack = list(nodes)
+    while stack:
+        node = stack.pop()
+        for x in node.items:
+            if isinstance(x, Node) and not x.dropped and x.tag in BLOCKS and not HEADING.fullmatch(x.tag):
+                if x.link_chars and x.density < threshold and 2 * x.link_chars > x.chars:
+                    x.dropped = True
+                else:
+                    stack.append(x)
+    return nodes
 
 
 def blocks(nodes: list[Node]) -> list[str]:

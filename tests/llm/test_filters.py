@@ -131,6 +131,16 @@ def test_html_wrappers_keep_their_text(start, end):
     assert html_text.main_text(page) == "Head First long paragraph of the text, that goes on and on. Second paragraph, as long as the one ahead of it."
 
 
+def test_html_all_dense_articles_stay_and_link_columns_go():
+    part = lambda n: f"<article><p>Part {n} is a long paragraph of the text, that goes on and on without an end.</p><p>It has one more.</p></article>"
+    said = lambda n: f"Part {n} is a long paragraph of the text, that goes on and on without an end. It has one more."
+    thin = "<article><a href=x>More</a> <a href=y>of it</a></article>"
+    assert html_text.main_text(f"<body>{part(1)}{part(2)}{thin}{part(3)}</body>") == " ".join(map(said, (1, 2, 3)))
+    links = "<div><ul><li><a href=a>One teaser</a></li><li><a href=b>Another teaser</a></li></ul></div>"
+    page = f"<body><main>{links}<div>{STORY}<p>Short <a href=x>link</a> in a text.</p></div>{links}</main></body>"
+    assert html_text.main_text(page) == "Head First long paragraph of the text, that goes on and on. Second paragraph, as long as the one ahead of it. Short link in a text."
+
+
 def test_html_deep_and_long():
     deep = "<div>" * 20_000 + "text" + "</div>" * 20_000
     assert html_text.main_text(deep) == "text"
