@@ -61,7 +61,16 @@ MENDED = {
     "RG": Rule("RG", r"\b(?:R\.?G\.?|C\.?I\.?|Identidade|Registro\s+Geral)(?!\w)\s*[:º]?\s*([\w.-]*\d[\w.-]*)", True),
     "PLACA_VEICULO": Rule("PLACA_VEICULO", r"\b([A-Z]{3}[-\s]?(?:\d{4}|\d[A-Z]\d{2}))\b", False),
     "REGISTRO_PROFISSIONAL": Rule("REGISTRO_PROFISSIONAL", r"\b((?:CRM|CREA|CRP|CRO|COREN|CRF|CRC|CREFITO|CFM)[ /-]?(?:[A-Z]{2})?[ .]?\d{3,8}[A-Z]?)\b", True),
-    "PESSOA_CONTEXTO": Rule("PESSOA_CONTEXTO", RULES[24].pattern.replace(r"(?:\s+(?:d[aoe]s?|e|D[aoe]s?)\s+)?(?:\s+[A-ZÀ-Ú][a-zà-ú]+){1,6}", r"(?:\s+(?:(?:d[aoe]s?|e|D[aoe]s?)\s+)?[A-ZÀ-Ú][a-zà-ú]+){1,6}"), False),
+    "PESSOA_CONTEXTO": Rule(
+        "PESSOA_CONTEXTO",
+        r"(?:Autor(?:a)?|Réu|Ré|Requerente|Requerido(?:a)?|Indiciado(?:a)?|Vítima|Investigado(?:a)?|Apelante|Apelado(?:a)?|Agravante|"
+        r"Agravado(?:a)?|Impetrante|Impetrado(?:a)?|Reclamante|Reclamado(?:a)?|Exequente|Executado(?:a)?|Paciente|Denunciado(?:a)?|"
+        r"Querelante|Querelado(?:a)?|Testemunha|Depoente|Informante|Fiador(?:a)?|Avalista|Devedor(?:a)?|Credor(?:a)?|Herdeiro(?:a)?|"
+        r"Inventariante|Espólio\s+de|Terceiro(?:a)?(?:\s+Interessado(?:a)?)?|(?:Menor|Criança|Adolescente)|"
+        r"(?:Sr\.?|Sra\.?|Dr\.?|Dra\.?|Me\.?|Des\.?|Min\.?)|Nome(?:\s+completo)?|Genitor(?:a)?|Pai|Mãe|Filho(?:a)?|Cônjuge|Companheiro(?:a)?)"
+        r"\s*[:.]?\s*([A-ZÀ-Ú][a-zà-ú]+(?:\s+(?:(?:d[aoe]s?|e|D[aoe]s?)\s+)?[A-ZÀ-Ú][a-zà-ú]+){1,6})",
+        False,
+    ),
 }
 PUBLIC_BEFORE = (
     r"(?iU)(?:Juiz|Juíza|Desembargador|Desembargadora|Escrivã|Escrivão|Promotor|Promotora|Defensor|Defensora|Advogado|Advogada|Dr\.|Dra\.|"
@@ -84,10 +93,10 @@ PRIVATE_AFTER = (
     r"(?iU)(?:,\s*)?(?:autor[a]?\s*d[ao]|réu|ré\s*d[ao]|requerente|requerido|vítima\s*d[ao]|parte\s*(?:autora|ré|requerente)|"
     r"testemunha\s*d[ao]|qualificad[oa]\s*nos\s*autos)"
 )
-PUBLIC_BODIES = (
-    "ESTADO UNIÃO MUNICÍPIO MUNICIPIO MINISTÉRIO MINISTERIO TRIBUNAL DEFENSORIA POLÍCIA POLICIA PREFEITURA GOVERNO "
-    "CÂMARA CAMARA ASSEMBLEIA SENADO CONGRESSO INSS"
-).split() + ["PODER JUDICIÁRIO", "PODER LEGISLATIVO", "RECEITA FEDERAL"]
+PUBLIC_BODIES = [
+    "ESTADO", "UNIÃO", "MUNICÍPIO", "MUNICIPIO", "MINISTÉRIO", "MINISTERIO", "TRIBUNAL", "DEFENSORIA", "POLÍCIA", "POLICIA", "PREFEITURA", "GOVERNO",
+    "CÂMARA", "CAMARA", "ASSEMBLEIA", "SENADO", "CONGRESSO", "PODER JUDICIÁRIO", "PODER LEGISLATIVO", "RECEITA FEDERAL", "INSS",
+]
 HEADER_COMPAT = [r"(?iU)(?:Autor|Requerente|Impetrante|Exequente|Agravante)es?\s*[:.]\s*([^\n]+)", r"(?iU)(?:Réu|Ré|Requerido|Impetrado|Executado|Agravado)s?\s*[:.]\s*([^\n]+)"]
 HEADER = [r"(?iU)(?:Autor(?:a|es|as)?|Requerentes?|Impetrantes?|Exequentes?|Agravantes?)\s*[:.]\s*([^\n]+)", HEADER_COMPAT[1]]
 TOPICS = (
@@ -96,9 +105,9 @@ TOPICS = (
 ).split()
 NAME = r"\s*[:]\s*([A-ZÀ-Ú][a-zà-ú]+(?:\s+[A-ZÀ-Ú][a-zà-ú]+){1,5})"
 HINTS = [
-    "(?U)(?:Autor|Autora|Requerente|Reclamante|Impetrante|Apelante|Agravante)" + NAME,
-    "(?U)(?:Réu|Ré|Requerido|Requerida|Reclamado|Reclamada|Impetrado|Apelado|Agravado)" + NAME,
-    "(?U)(?:Vítima|Ofendido|Ofendida|Paciente|Interessado|Interessada)" + NAME,
+    "(?:Autor|Autora|Requerente|Reclamante|Impetrante|Apelante|Agravante)" + NAME,
+    "(?:Réu|Ré|Requerido|Requerida|Reclamado|Reclamada|Impetrado|Apelado|Agravado)" + NAME,
+    "(?:Vítima|Ofendido|Ofendida|Paciente|Interessado|Interessada)" + NAME,
 ]
 ENTITY_TYPES = [r.tipo for r in RULES] + ["PESSOA", "ORGANIZACAO", "OUTRO", "ROSTO", "ASSINATURA"]
 REDACTED = "[ANONIMIZADO]"

@@ -54,13 +54,15 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     def moved(s: Column, by: Column) -> Column:
         return F.struct((s["ini"] + by).alias("ini"), (s["fim"] + by).alias("fim"), s["valor"].alias("valor"), (s["v_ini"] + by).alias("v_ini"), (s["v_fim"] + by).alias("v_fim"))
 
-    def join(acc: Column, part: Column) -> Column:
-        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.transform(part["out"], lambda s: moved(s, acc["at"]))).alias("out"))
+    def ahead(parts: Column) -> Column:
+        """What lies ahead of each part: a running sum over parts, far fewer than matches."""
+        add = lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add, lambda acc: acc["out"])
 
     def folded(r: Column) -> Column:
         groups = F.sequence(F.lit(0), (F.size(r) - 1).cast("int"), F.lit(FOLD))
         parts = F.transform(groups, lambda k: F.aggregate(F.slice(r, k + 1, F.lit(FOLD)), begin, step))
-        return F.aggregate(parts, begin, join, lambda acc: acc["out"])
+        return let(parts, lambda ps: F.flatten(F.zip_with(ps, ahead(ps), lambda p, by: F.transform(p["out"], lambda s: moved(s, by)))))
 
     none = F.array().cast(f"array<{_SPAN}>")
     return let(rows, lambda r: F.when(r.isNull() | (F.size(r) <= 0), none).otherwise(folded(r)))

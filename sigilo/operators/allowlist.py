@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigilo.functions import scan
 from sigilo.functions import text as T
 
 TIPOS = ("advogado", "juiz", "promotor", "servidor")
@@ -23,13 +24,16 @@ def exact(names: DataFrame, allowlist: DataFrame) -> DataFrame:
 def subset(names: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Distinct names that share all tokens of the shorter side with an active entry, two tokens each side at least.
 
-    Tokens are joined by equality and counted, so no name meets every entry.
+    The shorter side's rarest token is on the other side too. So names and entries meet on the rarest token of either, not on
+    every common one, and are then compared.
     """
     a = names.select("nome").distinct().withColumn("t", tokens(F.col("nome"))).where(F.size("t") >= 2)
     b = allowlist.where("ativo").select(F.col("nome").alias("entry"), tokens(F.col("nome")).alias("u")).where(F.size("u") >= 2).distinct()
-    x, y = a.select("nome", F.size("t").alias("n"), F.explode("t").alias("token")), b.select("entry", F.size("u").alias("m"), F.explode("u").alias("token"))
-    both = x.join(y, "token").groupBy("nome", "n", "entry", "m").agg(F.count(F.lit(1)).alias("k"))
-    return both.where(F.col("k") >= F.least("n", "m")).select("nome").distinct()
+    x, y = a.select("nome", "t", F.explode("t").alias("token")), b.select("entry", "u", F.explode("u").alias("token"))
+    often = x.select("token").unionAll(y.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    rarest = lambda side, *keys: side.join(often, "token").groupBy(*keys).agg(F.min_by("token", F.struct("often", "token")).alias("token"))
+    met = rarest(x, "nome", "t").join(y, "token").select("nome", "t", "u").unionAll(rarest(y, "entry", "u").join(x, "token").select("nome", "t", "u"))
+    return met.where(F.size(F.array_intersect("t", "u")) >= F.least(F.size("t"), F.size("u"))).select("nome").distinct()
 
 
 def allowed(names: DataFrame, allowlist: DataFrame) -> DataFrame:
@@ -38,17 +42,28 @@ def allowed(names: DataFrame, allowlist: DataFrame) -> DataFrame:
 
 
 def match_first(names: DataFrame, allowlist: DataFrame) -> DataFrame:
-    """(nome, entry, tipo): the first active entry that holds the name or is held by it, by tipo then place in the list."""
-    b = allowlist.where("ativo").select(F.col("nome").alias("entry"), "tipo", "seq")
-    n, e = T.normal(F.col("nome")), T.normal(F.col("entry"))
-    hits = names.select("nome").distinct().join(b, F.contains(n, e) | F.contains(e, n))
-    w = Window.partitionBy("nome").orderBy("tipo", "seq")
-    return hits.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("nome", "entry", "tipo")
+    """(nome, entry, tipo): the first active entry that holds the name or is held by it, by tipo then place in the list.
+
+    Entries within names are found by one search for all of them, names within entries by equality with the pieces of
+    the entries that are as long as a name is. So no name meets every entry. Blank names and entries match nothing.
+    """
+    b = allowlist.where("ativo").select(F.col("nome").alias("entry"), "tipo", "seq", T.normal(F.col("nome")).alias("e"))
+    a = names.select("nome").distinct().withColumn("n", T.normal(F.col("nome")))
+    e = sorted(r["e"] for r in b.select("e").where("e <> ''").distinct().collect())  # the list, a dimension that people keep
+    holds = scan.literals(a.withColumn("text", F.col("n")), e, keep=["nome"]).select("nome", F.col("valor").alias("e")).distinct().join(b, "e")
+    starts = F.sequence(F.lit(1), F.length("e"))
+    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("e") - i + 1), lambda k: F.substr(F.col("e"), i, k))))
+    part = b.where("e <> ''").select("entry", "tipo", "seq", F.explode(F.array_distinct(pieces)).alias("n"))
+    every = holds.select("nome", "entry", "tipo", "seq").unionByName(a.join(part, "n").select("nome", "entry", "tipo", "seq"))
+    first = every.groupBy("nome").agg(F.min(F.struct("tipo", "seq", "entry")).alias("f"))
+    return first.select("nome", "f.entry", "f.tipo")
 
 
 def stats(allowlist: DataFrame) -> DataFrame:
-    """Active entries of each type, zero ones too."""
-    return allowlist.groupBy("tipo").agg(F.count_if("ativo").alias("ativos"))
+    """Active entries of each type: of the known ones without a row too, and of any other in the list."""
+    known = allowlist.sparkSession.createDataFrame([(t,) for t in TIPOS], "tipo string")
+    counted = allowlist.groupBy("tipo").agg(F.count_if("ativo").alias("ativos"))
+    return known.join(counted, "tipo", "full").select("tipo", F.coalesce("ativos", F.lit(0)).alias("ativos"))
 
 
 def route(findings: DataFrame, allowlist: DataFrame) -> DataFrame:
@@ -68,9 +83,9 @@ def insert(allowlist: DataFrame, new: DataFrame) -> DataFrame:
 
 def delete(allowlist: DataFrame, nome: str) -> DataFrame:
     """Takes out the first entry of that name, by tipo and place."""
-    hit = T.normal(F.col("nome")) == T.normal(F.lit(nome))
-    w = Window.partitionBy(hit).orderBy("tipo", "seq")
-    return allowlist.withColumn("_k", F.when(hit, F.row_number().over(w))).where("_k is null or _k > 1").drop("_k")
+    hit = F.coalesce(T.normal(F.col("nome")) == T.normal(F.lit(nome)), F.lit(False))
+    first = allowlist.where(hit).agg(F.min(F.struct("tipo", "seq")).alias("_first"))  # one row
+    return allowlist.join(F.broadcast(first), hit & F.struct("tipo", "seq").eqNullSafe(F.col("_first")), "left_anti")
 
 
 def of_tipo(allowlist: DataFrame, tipo: str | None = None) -> DataFrame:

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigilo.functions import text as T
 
 
 def last_write(log: DataFrame, order: str = "line_no") -> DataFrame:
-    """The last entry of each job."""
-    w = Window.partitionBy("job_id").orderBy(F.col(order).desc())
-    return log.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """The last entry of each job: an aggregate that is taken ahead of the shuffle, no sort. `order` is any column with an order."""
+    last = log.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "job_id"]), order).alias("_last"))
+    return last.select("job_id", "_last.*").select(*log.columns)
+
+
+def lookup(log: DataFrame, job_id: str, order: str = "line_no") -> DataFrame:
+    """The last entry of one job, or none."""
+    return last_write(log.where(F.col("job_id") == job_id), order)
+
+
+#: What the service tells of an entry. The hidden file's name, the digests and the time of work stay inside.
+TOLD = ("job_id", "timestamp", "arquivo_original", "hash_original", "hash_anonimizado", "total_redacoes", "regras_aplicadas", "usuario", "ip_origem")
+
+
+def told(log: DataFrame) -> DataFrame:
+    return log.select(*[c for c in TOLD if c in log.columns])
 
 
 def between(log: DataFrame, start: str, end: str) -> DataFrame:

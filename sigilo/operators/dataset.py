@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigilo.functions import text as T
 
+from . import spans
+
 LABELS = ["O", "B-PESSOA", "I-PESSOA", "B-ORGANIZACAO", "I-ORGANIZACAO", "B-LOCAL", "I-LOCAL"]
 KEPT = ("PESSOA", "ORGANIZACAO", "LOCAL")
 IGNORED = -100
 
 
 def words(docs: DataFrame) -> DataFrame:
-    """(doc_id, i, palavra, ini, fim) of the words between white space, with offsets."""
-    rows = docs.select("doc_id", F.posexplode(T.spans(F.col("text"), r"(?U)\S+")).alias("i", "s"))
-    return rows.select("doc_id", "i", F.col("s.valor").alias("palavra"), F.col("s.ini").alias("ini"), F.col("s.fim").alias("fim"))
+    """(doc_id, i, palavra, ini, fim) of the words between white space, with offsets; i counts a text's words from 0."""
+
+    def cut(batches):
+        for b in batches:
+            rows, at, said, start = [], [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                for i, m in enumerate(WORD(text or "")):
+                    rows.append(k)
+                    at.append(i)
+                    said.append(m[0])
+                    start.append(m.start())
+                if len(rows) > 100_000:
+                    yield _words(b, rows, at, said, start)
+                    rows, at, said, start = [], [], [], []
+            yield _words(b, rows, at, said, start)
+
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, i int, palavra string, ini int, fim int")
+
+
+WORD = re.compile(r"\S+").finditer
+
+
+def _words(b: pa.RecordBatch, rows: list[int], at: list[int], said: list[str], start: list[int]) -> pa.RecordBatch:
+    ini, said = pa.array(start, pa.int32()), pa.array(said, pa.string())
+    columns = [b.column(0).take(pa.array(rows, pa.int32())), pa.array(at, pa.int32()), said, ini, pc.add(ini, pc.utf8_length(said))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "i", "palavra", "ini", "fim"])
 
 
 def iob2(words_: DataFrame, entities: DataFrame) -> DataFrame:
@@ -49,7 +78,31 @@ def piece_labels(word_ids: Column, labels: Column) -> Column:
 def split(docs: DataFrame, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """Adds split by the hash of the id, so that a document never moves."""
     h = T.unit_hash(F.col("doc_id").cast("string"))
-    return docs.withColumn("split", F.when(h < train, "train").when(h < train + val, "validation").otherwise("test"))
+    return docs.withColumn("split", F.when(h < train, "train").when(h < train + val, "dev").otherwise("test"))
+
+
+def checked_split(docs: DataFrame, train: float = 0.70, val: float = 0.15) -> DataFrame:
+    """split, refused if no document is in train."""
+    out = split(docs, train, val)
+    if out.where("split = 'train'").isEmpty():
+        raise ValueError("no document in train")
+    return out
+
+
+def split_metadata(rows: DataFrame) -> DataFrame:
+    """(split, n, docs): how many rows and which documents each split has; the documents go to a file, not to the driver."""
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("doc_id")).alias("docs"))
+
+
+def preannotated(found: DataFrame) -> DataFrame:
+    """One entity (doc_id, ini, fim, ...) for each place, the first in seq, by start and end."""
+    w = Window.partitionBy("doc_id", "ini", "fim").orderBy("seq")
+    return found.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").orderBy("doc_id", "ini", "fim")
+
+
+def hints_beside(hints: DataFrame, entities: DataFrame) -> DataFrame:
+    """Hinted names that no entity of the document overlaps, with the entities. Hints among themselves aren't compared."""
+    return spans.ordered_union(entities, spans.overlap_anti(hints, entities))
 
 
 def label_counts(tokens: DataFrame) -> DataFrame:

@@ -8,41 +8,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigilo.functions import rules as R
+from sigilo.functions import scan
 from sigilo.functions import text as T
 
-SPAN = "array<struct<ini:int,fim:int,valor:string,v_ini:int,v_fim:int>>"
 CONFIDENCE = {"header": 0.95, "regex": 1.0, "ner": 0.85, "llm": 0.80, "hint": 0.70}
 
 
-def _found(text: Column, rule: R.Rule) -> Column:
-    group = min(1, re.compile(rule.pattern).groups)
-    found = T.spans(text, rule.java, group)
-    test = F.contains(F.lower(text), F.lit(rule.hint)) if rule.hint else text.rlike(rule.java)
-    return F.when(test, found).otherwise(F.array().cast(SPAN))
+def group_of(rule: R.Rule) -> int:
+    """The group that holds a rule's value: the first, or 0, the whole match, for a rule without one."""
+    return min(1, re.compile(rule.pattern).groups)
+
+
+def _pattern(rule: R.Rule) -> scan.Pattern:
+    return scan.Pattern(rule.pattern, rule.ignore_case, group_of(rule), rule.hint)
 
 
 def find_all(docs: DataFrame, compat: bool = False, tipos: list[str] | None = None) -> DataFrame:
     """(doc_id, rule_order, tipo, valor, ini, fim, v_ini, v_fim, confianca, fonte): every match of every rule, in one scan.
 
-    CPF and CNPJ need right check digits. The rules are one array of one projection, so the text is read once.
-    Order of a document's findings: ini, rule_order. Null texts have none.
+    CPF and CNPJ need right check digits. Every text is read once, for all rules. Order of a document's findings: ini,
+    rule_order. Null texts have none.
     """
     chosen = [(k, r) for k, r in enumerate(R.rules(compat)) if tipos is None or r.tipo in tipos]
-    rows = [F.transform(_found(F.col("text"), r), _tag(k, r.tipo)) for k, r in chosen]
-    out = docs.select("doc_id", F.explode(F.flatten(F.array(*rows))).alias("s")).select("doc_id", "s.*")
+    out = scan.patterns(docs, [(k, _pattern(r)) for k, r in chosen])
+    tipo = F.element_at(F.array(*[F.lit(r.tipo) for r in R.rules(compat)]), F.col("k") + 1)
+    out = out.select("doc_id", F.col("k").alias("rule_order"), tipo.alias("tipo"), "valor", "ini", "fim", "v_ini", "v_fim")
     valid = F.when(F.col("tipo") == "CPF", T.valid_cpf(F.col("valor"))).when(F.col("tipo") == "CNPJ", T.valid_cnpj(F.col("valor"))).otherwise(True)
     return out.where(valid).withColumn("confianca", F.lit(CONFIDENCE["regex"])).withColumn("fonte", F.lit("regex"))
 
 
-def _tag(order: int, tipo: str):
-    return lambda s: F.struct(F.lit(order).alias("rule_order"), F.lit(tipo).alias("tipo"), s["valor"].alias("valor"), s["ini"].alias("ini"), s["fim"].alias("fim"), s["v_ini"].alias("v_ini"), s["v_fim"].alias("v_fim"))
-
-
 def find_by_type(docs: DataFrame, tipo: str, compat: bool = False) -> DataFrame:
     """Matches of one rule without the test of check digits; an unknown type is an error."""
-    rule = R.rule(tipo, compat)
-    rows = docs.select("doc_id", F.explode(_found(F.col("text"), rule)).alias("s"))
-    return rows.select("doc_id", F.lit(tipo).alias("tipo"), "s.*")
+    found = scan.patterns(docs, [(0, _pattern(R.rule(tipo, compat)))])
+    return found.select("doc_id", F.lit(tipo).alias("tipo"), "ini", "fim", "valor", "v_ini", "v_fim")
 
 
 def header_parties(docs: DataFrame, compat: bool = False) -> DataFrame:
@@ -56,23 +54,16 @@ def header_parties(docs: DataFrame, compat: bool = False) -> DataFrame:
 
 def topic_keywords(docs: DataFrame, words: list[str] | None = None, around: int = 50) -> DataFrame:
     """(doc_id, palavra, ini, contexto) of every occurrence of a sensitive topic's word, in any case."""
-    lowered = F.lower("text")
-    found = [_hits(lowered, w) for w in (words or R.TOPICS)]
-    rows = docs.select("doc_id", "text", F.explode(F.flatten(F.array(*found))).alias("h")).select("doc_id", "text", "h.*")
+    rows = scan.literals(docs.withColumn("inteiro", F.col("text")), list(words or R.TOPICS), lower=True, keep=["doc_id", "inteiro"])
     start = F.greatest(F.col("ini") - around, F.lit(0))
-    context = F.substr(F.col("text"), start + 1, F.col("ini") + F.length("palavra") + around - start)
-    return rows.select("doc_id", "palavra", "ini", context.alias("contexto"))
-
-
-def _hits(lowered: Column, word: str) -> Column:
-    return F.transform(T.occurrences(lowered, word), lambda i: F.struct(F.lit(word).alias("palavra"), i.alias("ini")))
+    context = F.substr(F.col("inteiro"), start + 1, F.col("ini") + F.length("valor") + around - start)
+    return rows.select("doc_id", F.col("valor").alias("palavra"), "ini", context.alias("contexto"))
 
 
 def name_hints(docs: DataFrame) -> DataFrame:
     """Capitalised names after a role and a colon, with the offsets of the name."""
-    found = F.concat(*[T.spans(F.col("text"), p, 1) for p in R.HINTS])
-    rows = docs.select("doc_id", F.explode(found).alias("s"))
-    return rows.select("doc_id", F.lit("PESSOA").alias("tipo"), F.col("s.valor").alias("valor"), F.col("s.v_ini").alias("ini"), F.col("s.v_fim").alias("fim"), F.lit(CONFIDENCE["hint"]).alias("confianca"), F.lit("regex_hint").alias("fonte"))
+    found = scan.patterns(docs, [(k, scan.Pattern(p, group=1)) for k, p in enumerate(R.HINTS)])
+    return found.select("doc_id", F.lit("PESSOA").alias("tipo"), "valor", F.col("v_ini").alias("ini"), F.col("v_fim").alias("fim"), F.lit(CONFIDENCE["hint"]).alias("confianca"), F.lit("regex_hint").alias("fonte"))
 
 
 def entities_from(docs: DataFrame, extract, schema: str = "doc_id long, tipo string, valor string, ini int, fim int, score double") -> DataFrame:
@@ -80,6 +71,28 @@ def entities_from(docs: DataFrame, extract, schema: str = "doc_id long, tipo str
     return docs.select("doc_id", "text").mapInPandas(extract, schema)
 
 
+def of_type(entities: DataFrame, *tipos: str) -> DataFrame:
+    """The entities of these types: persons, places, organisations, or any other."""
+    return entities.where(F.col("tipo").isin(*tipos))
+
+
+def persons(entities: DataFrame) -> DataFrame:
+    return of_type(entities, "PESSOA")
+
+
+def locations(entities: DataFrame) -> DataFrame:
+    return of_type(entities, "LOCAL", "ENDERECO")
+
+
+def organizations(entities: DataFrame) -> DataFrame:
+    return of_type(entities, "ORGANIZACAO")
+
+
+def scored(entities: DataFrame, least: float) -> DataFrame:
+    """Detections of the least score or more; those without a score fall away."""
+    return entities.where(F.col("score") >= least)
+
+
 def mapped_labels(entities: DataFrame, label_map: DataFrame) -> DataFrame:
     """tipo from (engine, label) by a small map, unknown labels OUTRO. The map is a dimension table: the optimizer broadcasts it by its size."""
     label = F.replace(F.lower("label"), F.lit(" "), F.lit("_"))

@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST = 0.5
+# Types and label suffixes that count as one, and what a token that isn't scored is labelled.
+SAME_TIPO = {"ENDERECO": "LOCAL", "LOCAL": "LOCAL", "ORG": "ORGANIZACAO", "PER": "PESSOA"}
+SUFFIXES = {"PER": "PESSOA", "PESSOA": "PESSOA", "LOC": "LOCAL", "LOCAL": "LOCAL", "ORG": "ORGANIZACAO", "ORGANIZACAO": "ORGANIZACAO"}
+IGNORED = -100
+
+
+def comparable(tipo: Column) -> Column:
+    """The type by which truth and detections are compared."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in SAME_TIPO.items() for x in kv])[tipo], tipo)
 
 
 def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -18,11 +27,11 @@ def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def match(truth: DataFrame, found: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, gt, det): greedy one-to-one matches of spans (doc_id, seq, tipo, ini, fim).
 
-    In order of the truth, each takes the first free detection of its type that overlaps enough. The order
+    In order of the truth, each takes the first free detection of its type (ENDERECO and LOCAL are one) that overlaps enough. The order
     decides, so it is a fold over a document's candidates; only overlapping pairs are candidates.
     """
-    g = truth.select("doc_id", F.col("seq").alias("gt"), "tipo", F.col("ini").alias("g0"), F.col("fim").alias("g1"))
-    d = found.select("doc_id", F.col("seq").alias("det"), "tipo", F.col("ini").alias("d0"), F.col("fim").alias("d1"))
+    g = truth.select("doc_id", F.col("seq").alias("gt"), comparable(F.col("tipo")).alias("tipo"), F.col("ini").alias("g0"), F.col("fim").alias("g1"))
+    d = found.select("doc_id", F.col("seq").alias("det"), comparable(F.col("tipo")).alias("tipo"), F.col("ini").alias("d0"), F.col("fim").alias("d1"))
     near = (F.col("g0") < F.col("d1")) & (F.col("g1") > F.col("d0")) & (overlap_ratio(F.col("g0"), F.col("g1"), F.col("d0"), F.col("d1")) >= least)
     pairs = g.join(d, ["doc_id", "tipo"]).where(near)
     listed = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("gt").cast("long").alias("gt"), F.col("det").cast("long").alias("det")))).alias("p"))
@@ -59,7 +68,60 @@ def zero_leak(rows: DataFrame) -> DataFrame:
 def by_source(hits: DataFrame) -> DataFrame:
     """True positives of each detector and their share."""
     n = hits.groupBy("fonte").agg(F.count(F.lit(1)).alias("tp"))
-    return n.withColumn("pct", F.round(100 * F.col("tp") / F.sum("tp").over(Window.partitionBy()), 4))
+    return n.withColumn("pct", F.round(100 * F.col("tp") / F.sum("tp").over(Window.partitionBy()), 4)).orderBy(F.desc("tp"), "fonte")
+
+
+def with_truth(docs: DataFrame, truth: DataFrame) -> DataFrame:
+    """The documents that have a truth; others are not scored."""
+    return docs.join(truth.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def benchmark(docs: DataFrame, truth: DataFrame, found: DataFrame, times: DataFrame | None = None, least: float = LEAST) -> dict[str, DataFrame]:
+    """A run over documents (doc_id, text) with a truth: outcomes, measures in all and by type, the sources of the hits, and the summary.
+
+    found: (doc_id, seq, tipo, valor, fonte, ini, fim); a detection of the rules (fonte 'regex') counts at the first place
+    of its value in the text, others at their own. times: (doc_id, ms) of each document.
+    """
+    scored = with_truth(docs, truth)
+    text = scored.select("doc_id", "text")
+    at = F.expr("locate(valor, text)") - 1
+    placed = found.join(text, "doc_id").withColumn("ini", F.when(F.col("fonte") == "regex", at).otherwise(F.col("ini"))).where("ini >= 0")
+    placed = placed.withColumn("fim", F.when(F.col("fonte") == "regex", F.col("ini") + F.length("valor")).otherwise(F.col("fim"))).drop("text")
+    truth = truth.join(scored.select("doc_id"), "doc_id", "left_semi")
+    rows = outcomes(truth, placed, least)
+    hits = placed.join(match(truth, placed, least).select("doc_id", F.col("det").alias("seq")), ["doc_id", "seq"], "left_semi")
+    return {"outcomes": rows, "total": prf(rows), "by_type": prf(rows, "tipo").orderBy("tipo"), "by_source": by_source(hits), "summary": summary(scored, rows, times)}
+
+
+def summary(docs: DataFrame, rows: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Documents scored, those without a missed entity, their share, and the mean milliseconds (null without times)."""
+    lost = rows.where("outcome = 'FN'").select("doc_id").distinct().withColumn("_lost", F.lit(1))
+    per = docs.select("doc_id").distinct().join(lost, "doc_id", "left")
+    if times is not None:
+        per = per.join(times.groupBy("doc_id").agg(F.avg("ms").alias("ms")), "doc_id", "left")
+    ms = F.round(F.avg("ms"), 2) if times is not None else F.lit(None).cast("double")
+    clean = F.col("_lost").isNull()
+    return per.agg(F.count(F.lit(1)).alias("docs"), F.count_if(clean).alias("limpos"), F.round(F.avg(F.when(clean, 1.0).otherwise(0.0)), 4).alias("taxa"), ms.alias("media_ms"))
+
+
+def remapped(label: Column, target: list[str]) -> Column:
+    """Another model's label in the target scheme: itself if it is one, else prefix and mapped suffix, else O."""
+    suffix = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[F.substring(label, 3, 1000)]
+    moved = F.concat(F.substring(label, 1, 2), suffix)
+    return F.when(label.isin(target), label).when(moved.isin(target), moved).otherwise("O")
+
+
+def kept_labels(ids: Column, other: Column, names: list[str]) -> Column:
+    """Names of the label ids in `other` at the places where `ids` isn't IGNORED. With ids for both, the true labels."""
+    at = F.filter(F.arrays_zip(ids.alias("i"), other.alias("o")), lambda x: x["i"] != IGNORED)
+    return F.transform(at, lambda x: F.element_at(F.array(*[F.lit(n) for n in names]), x["o"] + 1))
+
+
+def predicted(rows: DataFrame, predict, names: list[str], schema: str = "doc_id long, janela int, labels array<int>, preds array<int>") -> DataFrame:
+    """(doc_id, janela, verdade, previsto): label sequences of batch prediction. predict: a mapInPandas function from rows (doc_id,
+    janela, input_ids, attention_mask, labels) to the schema, so that a model loads once in a worker; what is scored stays in the plan."""
+    out = rows.mapInPandas(predict, schema)
+    return out.select("doc_id", "janela", kept_labels(F.col("labels"), F.col("labels"), names).alias("verdade"), kept_labels(F.col("labels"), F.col("preds"), names).alias("previsto"))
 
 
 def decode_iob2(tokens: DataFrame, label: str) -> DataFrame:

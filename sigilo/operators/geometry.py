@@ -2,66 +2,110 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigilo.functions import text as T
 
+from .spans import ordered_union
+
 
 def band(y: Column, height: float = 5.0) -> Column:
     return F.bround(y / height) * height
 
 
+def in_order(words: DataFrame) -> DataFrame:
+    """(doc_id, pagina, seq, t, pos, page_first): normal words with their places in the page's reading order, from 1, and the page's smallest seq."""
+    page = Window.partitionBy("doc_id", "pagina")
+    order = page.orderBy(band(F.col("y0")), "x0", "seq")
+    return words.select("doc_id", "pagina", "seq", T.normal(F.col("texto")).alias("t"), F.row_number().over(order).alias("pos"), F.min("seq").over(page).alias("page_first"))
+
+
+def _asked(entities: DataFrame) -> DataFrame:
+    v = T.normal(F.col("valor"))
+    return entities.select("doc_id", "ent", v.alias("v"), F.split(v, r"(?U)\s+").alias("ws")).where("v <> ''")
+
+
 def multiword(words: DataFrame, entities: DataFrame) -> DataFrame:
-    """(doc_id, ent, pagina, seq) of every run of consecutive words of a page that reads as the entity.
+    """(doc_id, ent, pagina, run, seq) of every word of every run of consecutive words of a page that reads as an entity of
+    several words; run is the seq of its first word.
 
-    Runs of each length that entities have are built by a window in reading order and joined by equality.
+    The first word is joined by equality, which finds where a run may start; each word after it is joined by equality with its place.
     """
-    order = Window.partitionBy("doc_id", "pagina").orderBy(band(F.col("y0")), "x0", "seq")
-    phrase = T.normal(F.col("valor"))
-    asked = entities.select("doc_id", "ent", F.regexp_replace(phrase, r"\s+", " ").alias("phrase")).withColumn("n", F.size(F.split("phrase", " ")))
-    sizes = [r["n"] for r in asked.select("n").where("n > 1").distinct().orderBy("n").collect()]  # lengths in words, a handful
-    lowered = F.lower("texto")
-    runs = [F.struct(F.lit(n).alias("n"), F.concat_ws(" ", F.collect_list(lowered).over(order.rowsBetween(0, n - 1))).alias("phrase")) for n in sizes]
-    if not runs:
-        return asked.select("doc_id", "ent", F.lit(0).alias("pagina"), F.lit(0).cast("long").alias("seq")).where("false")
-    rows = words.select("doc_id", "pagina", "seq", F.array(*runs).alias("r")).select("doc_id", "pagina", "seq", F.explode("r").alias("r")).select("doc_id", "pagina", "seq", "r.n", "r.phrase")
-    return rows.join(asked, ["doc_id", "n", "phrase"]).select("doc_id", "ent", "pagina", "seq")
+    e = _asked(entities).where(F.size("ws") > 1)
+    w = in_order(words)
+    starts = w.join(e.withColumn("head", F.col("ws")[0]), ["doc_id"]).where(F.col("t") == F.col("head"))
+    return _runs(starts.select("doc_id", "ent", "ws", "pagina", "pos", "seq", "page_first"), w).select("doc_id", "ent", "pagina", "run", "seq")
+
+
+def _runs(starts: DataFrame, w: DataFrame) -> DataFrame:
+    """The starts whose further words follow, one row a word: doc_id, ent, pagina, run, page_first, pos (of the start), seq."""
+    further = starts.select("doc_id", "ent", "pagina", "page_first", "pos", F.col("seq").alias("run"), F.size("ws").alias("n"), F.posexplode("ws").alias("k", "word"))
+    then = w.select(F.col("doc_id").alias("_d"), F.col("pagina").alias("_p"), F.col("pos").alias("_pos"), F.col("t").alias("_t"), "seq")
+    same = (F.col("doc_id") == F.col("_d")) & F.col("pagina").eqNullSafe(F.col("_p")) & (F.col("pos") + F.col("k") == F.col("_pos")) & (F.col("word") == F.col("_t"))
+    run = ["doc_id", "ent", "pagina", "page_first", "pos", "run"]
+    found = further.join(then, same).groupBy(*run).agg(F.collect_list("seq").alias("seqs"), F.first("n").alias("n"))  # the words of one entity
+    return found.where(F.size("seqs") == F.col("n")).select(*run, F.explode("seqs").alias("seq"))
 
 
 def locate(words: DataFrame, entities: DataFrame, occurrence: str = "first") -> DataFrame:
-    """(doc_id, ent, tier, pagina, seq): where an entity stands among the words, by the first tier that has a place.
+    """(doc_id, ent, tier, pagina, seq): the words where an entity stands, by the first tier that has a place.
+
+    Tiers: a word that equals it; one that holds it; a run of consecutive words, of which every word is told, so that all
+    of the entity is covered; a word that equals its first word or begins with that and a blank.
+    occurrence 'first' gives the first place of the best tier (runs: the first page, then reading order), 'all' every place.
 
-    Tiers: an equal word; a word that holds it; consecutive words; a word that equals or begins with its first word.
-    occurrence 'first' gives one place, 'all' every place of the best tier.
+    Tiers 1, 3 and 4 start at a word whose first part is the entity's first word, one join by equality. Only what tier 1 has
+    not placed is looked for inside of words.
     """
-    e = entities.select("doc_id", "ent", T.normal(F.col("valor")).alias("v"), F.split(T.normal(F.col("valor")), r"\s+")[0].alias("head"))
-    w = words.select("doc_id", "pagina", "seq", T.normal(F.col("texto")).alias("t"))
-    tier = F.when(F.col("t") == F.col("v"), 1).when(F.contains("t", "v"), 2).when(F.startswith("t", "head"), 4)
-    single = e.join(w, "doc_id").withColumn("tier", tier).where("tier is not null").select("doc_id", "ent", "tier", "pagina", "seq")
-    runs = multiword(words, entities).select("doc_id", "ent", F.lit(3).alias("tier"), "pagina", "seq")
-    ranked = single.unionByName(runs)
-    by = Window.partitionBy("doc_id", "ent")
-    if occurrence == "first":
-        return ranked.withColumn("_k", F.row_number().over(by.orderBy("tier", "seq"))).where("_k = 1").drop("_k")
-    return ranked.withColumn("_b", F.min("tier").over(by)).where("tier = _b").drop("_b")
+    w = in_order(words)
+    e = _asked(entities).withColumn("head", F.col("ws")[0])
+    keyed = w.withColumn("head", F.split("t", " ", 2)[0])
+    begun = keyed.join(e, ["doc_id", "head"])
+    place = ["doc_id", "ent", "pagina", "seq"]
+    whole = begun.where(F.col("t") == F.col("v")).select(*place, F.lit(1).alias("tier"), F.lit(0).alias("r1"), F.col("seq").alias("r2"))
+    open_ = e.join(whole.select("doc_id", "ent").distinct(), ["doc_id", "ent"], "left_anti")
+    inside = w.join(open_.select("doc_id", "ent", "v"), "doc_id").where(F.contains("t", "v")).select(*place, F.lit(2).alias("tier"), F.lit(0).alias("r1"), F.col("seq").alias("r2"))
+    starts = begun.where((F.size("ws") > 1) & (F.col("t") == F.col("head"))).select("doc_id", "ent", "ws", "pagina", "pos", "seq", "page_first")
+    runs = _runs(starts, w).select(*place, F.lit(3).alias("tier"), F.col("page_first").alias("r1"), F.col("pos").alias("r2"))
+    first = begun.select(*place, F.lit(4).alias("tier"), F.lit(0).alias("r1"), F.col("seq").alias("r2"))
+    every = whole.unionByName(inside).unionByName(runs).unionByName(first)
+    best = F.struct("tier", "r1", "r2") if occurrence == "first" else F.col("tier")
+    return every.withColumn("_b", F.min(best).over(Window.partitionBy("doc_id", "ent"))).where(best == F.col("_b")).select("doc_id", "ent", "tier", "pagina", "seq")
 
 
 def lines(boxes: DataFrame, height: int = 20, apart: int = 15) -> DataFrame:
     """(doc_id, pagina, linha, texto): boxes in bands, a new line where the top is further from the line's start than `apart`.
 
-    The start of a line depends on the lines before it, so it is a fold over a page's boxes, which a page bounds.
+    The start of a line depends on the lines before it, so a page's boxes, which a page bounds, are read one after the other.
     """
-    page = boxes.groupBy("doc_id", "pagina").agg(F.sort_array(F.collect_list(F.struct(F.floor(F.col("y") / height).alias("band"), "x", "seq", "y", "texto"))).alias("b"))
-    begin = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"), F.lit(None).cast("int").alias("y"))
-
-    def step(acc: Column, b: Column) -> Column:
-        fresh = acc["y"].isNull() | (F.abs(b["y"] - acc["y"]) > apart)
-        opened = F.struct(F.when(acc["y"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))).alias("done"), b["texto"].alias("line"), b["y"].cast("int").alias("y"))
-        return F.when(fresh, opened).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["line"], F.lit(" "), b["texto"]).alias("line"), acc["y"].alias("y")))
-
-    read = F.aggregate("b", begin, step, lambda acc: F.concat(acc["done"], F.array(acc["line"])))
-    return page.select("doc_id", "pagina", F.posexplode(read).alias("linha", "texto"))
+    read = F.sort_array(F.collect_list(F.struct(F.floor(F.col("y") / height).alias("band"), "x", "seq", "y", "texto")))
+    page = boxes.groupBy("doc_id", "pagina").agg(read.alias("b"))
+    told = page.select("doc_id", "pagina", F.col("b.y").alias("y"), F.col("b.texto").alias("texto"))
+    types = dict(boxes.dtypes)
+
+    def cut(batches):
+        for b in batches:
+            rows, number, said = [], [], []
+            for k, (tops, texts) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                n, start, line = -1, None, []
+                for y, text in zip(tops, texts):
+                    if start is None or abs(y - start) > apart:
+                        if line:
+                            said.append(" ".join(line))
+                        n, start, line = n + 1, y, []
+                        rows.append(k)
+                        number.append(n)
+                    line.append(text or "")
+                if line:
+                    said.append(" ".join(line))
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), pa.array(said, pa.string())], names=["doc_id", "pagina", "linha", "texto"])
+
+    return told.mapInArrow(cut, f"doc_id {types['doc_id']}, pagina {types['pagina']}, linha int, texto string")
 
 
 def to_points(x: Column, y: Column, w: Column, h: Column, page_height: Column, dpi: float, flip: bool) -> Column:
@@ -78,6 +122,82 @@ def scaled(areas: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("doc_id", "pagina", "tipo", (F.col("x") * sx).alias("x0"), (F.col("y") * sy).alias("y0"), ((F.col("x") + F.col("largura")) * sx).alias("x1"), ((F.col("y") + F.col("altura")) * sy).alias("y1"))
 
 
+def visual_findings(detections: DataFrame, pages: DataFrame) -> DataFrame:
+    """Findings of detectors on page images (doc_id, pagina, tipo, x, y, largura, altura, confianca, fonte) in the page's points.
+
+    pages: doc_id, pagina, img_w, img_h, pdf_w, pdf_h. A detection without a type is a signature; pages that aren't there fall away.
+    """
+    typed = detections.withColumn("tipo", F.coalesce("tipo", F.lit("ASSINATURA")))
+    out = typed.join(pages, ["doc_id", "pagina"])
+    sx, sy = F.col("pdf_w") / F.col("img_w"), F.col("pdf_h") / F.col("img_h")
+    box = [(F.col("x") * sx).alias("x0"), (F.col("y") * sy).alias("y0"), ((F.col("x") + F.col("largura")) * sx).alias("x1"), ((F.col("y") + F.col("altura")) * sy).alias("y1")]
+    return out.select("doc_id", "pagina", "tipo", F.concat(F.lit("["), "tipo", F.lit(" DETECTADO]")).alias("valor"), *box, "confianca", "fonte")
+
+
+def detected(images: DataFrame, detectors: dict) -> DataFrame:
+    """Detections of several detectors on the same page images, one after the other. A detector is a mapInPandas function of
+    (doc_id, pagina, imagem); its name is the source. One that raises in a batch gives none for that batch, the others go on."""
+    schema = "doc_id long, pagina int, tipo string, x double, y double, largura double, altura double, confianca double"
+
+    def isolated(detector):
+        def run(frames):
+            import pandas as pd
+
+            for frame in frames:
+                try:
+                    found = list(detector(iter([frame])))
+                except Exception:  # a detector's failure is its own: pages stay, and other detectors see them
+                    found = []
+                yield from found or [pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])]
+
+        return run
+
+    parts = [images.mapInPandas(isolated(d), schema).withColumn("fonte", F.lit(name)) for name, d in detectors.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def with_visual(text_findings: DataFrame, visual: DataFrame) -> DataFrame:
+    """Text findings, already without repeats, and then the visual ones, all of them: those are not compared with anything."""
+    return ordered_union(text_findings, visual)
+
+
+def on_pages(areas: DataFrame, pages: DataFrame) -> DataFrame:
+    """Areas whose page is there."""
+    return areas.join(pages.select("doc_id", "pagina").distinct(), ["doc_id", "pagina"], "left_semi")
+
+
+def area_plan(areas: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, pagina, areas): what a writer covers on each page that is there, in a fixed order."""
+    listed = F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1", "tipo")))
+    return on_pages(areas, pages).groupBy("doc_id", "pagina").agg(listed.alias("areas"), F.count(F.lit(1)).alias("n"))
+
+
+def side_by_side(before: DataFrame, after: DataFrame, gap: int = 20) -> DataFrame:
+    """(doc_id, pagina, largura, antes, depois): pages that both sides have, next to each other."""
+    a = before.select("doc_id", "pagina", F.col("largura").alias("w"), F.col("texto").alias("antes"))
+    b = after.select("doc_id", "pagina", F.col("texto").alias("depois"))
+    return a.join(b, ["doc_id", "pagina"]).select("doc_id", "pagina", (2 * F.col("w") + gap).alias("largura"), "antes", "depois")
+
+
+def scrubbed(files: DataFrame, column: str = "metadados") -> DataFrame:
+    """Files with an empty map of metadata."""
+    return files.withColumn(column, F.map_filter(column, lambda k, v: F.lit(False)))
+
+
+def signature_score(aspect: Column, relative_y: Column, contours: Column, dark: Column) -> Column:
+    """Mean of four scores: shape, place on the page, strokes, share of dark pixels (left out of the mean where null)."""
+    shape = F.when(aspect.between(2.5, 5.5), 0.9).when(aspect.between(1.5, 7.0), 0.5).otherwise(0.2)
+    place = F.when(relative_y > 0.6, 0.8).when(relative_y > 0.4, 0.5).otherwise(0.3)
+    strokes = F.when(contours >= 8, 0.9).when(contours >= 5, 0.7).otherwise(0.4)
+    ink = F.when(dark.between(0.05, 0.4), 0.8).otherwise(0.3)
+    return F.when(dark.isNull(), (shape + place + strokes) / 3).otherwise((shape + place + strokes + ink) / 4)
+
+
+def dark_ratio(pixels: Column) -> Column:
+    """Share of grey values under 128; null for no pixel."""
+    return F.when(F.size(pixels) > 0, F.size(F.filter(pixels, lambda p: p < 128)) / F.size(pixels))
+
+
 def clipped(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
     """Boxes cut to the image; those with nothing left fall away."""
     cut = {"x0": F.greatest(F.col("x0"), F.lit(0)), "y0": F.greatest(F.col("y0"), F.lit(0)), "x1": F.least(F.col("x1"), width), "y1": F.least(F.col("y1"), height)}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path, PurePath
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +37,30 @@ def reviewer_type(tipo: Column) -> Column:
 
 def output_name(name: Column, mode: Column) -> Column:
     """The file's stem with the mode's ending."""
-    ending = F.when(mode == "pseudonimizacao", "_pseudonimizado.pdf").otherwise("_anonimizado.pdf")
+    ending = F.when(mode == "pseudonym", "_pseudonimizado.pdf").otherwise("_anonimizado.pdf")
     return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), ending)
 
 
+def config_json(config: dict, labels: list[str]) -> str:
+    """A training configuration as JSON, paths as text, with the labels."""
+    return json.dumps({k: str(v) if isinstance(v, PurePath) else v for k, v in config.items()} | {"labels": labels}, ensure_ascii=False, indent=2)
+
+
+def config_of(text: str, paths: tuple[str, ...] = ("output_dir", "dataset_dir", "annotations_dir")) -> dict:
+    """The configuration of the JSON, without its labels, with its paths."""
+    return {k: Path(v) if k in paths else v for k, v in json.loads(text).items() if k != "labels"}
+
+
+def deep_labels(standard: Column, extra: Column) -> Column:
+    """The standard labels and then the extra ones that aren't among them."""
+    return F.array_union(standard, extra)
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Whole milliseconds between two timestamps."""
+    return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000)
+
+
 def bucket(tipo: Column) -> Column:
     pairs = [c for k, v in BUCKETS.items() for c in (F.lit(k), F.lit(v))]
     return F.coalesce(F.create_map(*pairs)[tipo], F.lit("Outros"))

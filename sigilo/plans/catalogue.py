@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +12,7 @@ from sigilo.operators import api, audit, context, dataset, detect, evaluate, geo
 from sigilo.sources import files
 from sigilo.streaming import progress
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
+from .registry import query, table
 
 # Patterns in the other dialect, for ASCII data.
 EMAIL = R.rule("EMAIL").pattern
@@ -404,7 +386,7 @@ def token_windows(spark, sf):
     return dataset.windows(c).select("doc_id", "janela", "ini", F.size("ids").alias("n"))
 
 
-SPLIT = "SELECT doc_id, CASE WHEN h < 0.70 THEN 'train' WHEN h < 0.85 THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT AS DOUBLE) / 4294967295.0 AS h FROM documents)"
+SPLIT = "SELECT doc_id, CASE WHEN h < 0.70 THEN 'train' WHEN h < 0.85 THEN 'dev' ELSE 'test' END AS split FROM (SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT AS DOUBLE) / 4294967295.0 AS h FROM documents)"
 
 
 @query(SPLIT)
@@ -515,21 +497,34 @@ def asked(spark, sf) -> DataFrame:
 
 
 ASKED = f"(SELECT doc_id, 1 AS ent, texto AS valor FROM ({BOXES}) WHERE seq = 3 UNION ALL SELECT doc_id, 2, string_agg(texto, ' ' ORDER BY seq) FROM ({BOXES}) WHERE seq IN (3, 4) GROUP BY doc_id HAVING count(*) = 2)"
-RUNS = f"(SELECT doc_id, pagina, seq, lower(texto) || ' ' || lower(lead(texto) OVER (PARTITION BY doc_id, pagina ORDER BY seq)) AS phrase FROM ({BOXES}))"
+# A run of two words, with both places: the query's entities have two words at most.
+RUNS = f"(SELECT doc_id, pagina, seq AS run, min(seq) OVER (PARTITION BY doc_id, pagina) AS page_first, row_number() OVER (PARTITION BY doc_id, pagina ORDER BY round_even(y0 / 5, 0) * 5, x0, seq) AS pos, lower(texto) || ' ' || lower(lead(texto) OVER o) AS phrase, lead(seq) OVER o AS second FROM ({BOXES}) WINDOW o AS (PARTITION BY doc_id, pagina ORDER BY round_even(y0 / 5, 0) * 5, x0, seq))"
 
 
-@query(f"SELECT e.doc_id, e.ent, r.pagina, r.seq FROM {ASKED} e JOIN {RUNS} r ON e.doc_id = r.doc_id AND lower(e.valor) = r.phrase WHERE ent = 2")
+@query(f"SELECT e.doc_id, e.ent, r.pagina, r.run, unnest([r.run, r.second]) AS seq FROM {ASKED} e JOIN {RUNS} r ON e.doc_id = r.doc_id AND lower(e.valor) = r.phrase WHERE ent = 2")
 def locate_multiword(spark, sf):
     return geometry.multiword(boxes(spark, sf), asked(spark, sf))
 
 
-@query(f"""SELECT doc_id, ent, tier, pagina, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ent ORDER BY tier, seq) AS r FROM (
- SELECT e.doc_id, ent, CASE WHEN lower(texto) = lower(valor) THEN 1 WHEN contains(lower(texto), lower(valor)) THEN 2 WHEN starts_with(lower(texto), string_split(lower(valor), ' ')[1]) THEN 4 END AS tier, pagina, seq FROM {ASKED} e JOIN ({BOXES}) b ON e.doc_id = b.doc_id
- UNION ALL SELECT e.doc_id, e.ent, 3, r.pagina, r.seq FROM {ASKED} e JOIN {RUNS} r ON e.doc_id = r.doc_id AND lower(e.valor) = r.phrase WHERE ent = 2) WHERE tier IS NOT NULL) WHERE r = 1""")
+# The rule of each tier as it is defined, over all words of the document.
+CASCADE = f"""WITH e AS (SELECT *, lower(trim(valor)) AS v FROM {ASKED}), w AS (SELECT doc_id, pagina, seq, lower(texto) AS t FROM ({BOXES})),
+ p AS (SELECT e.doc_id, ent, 1 AS tier, 0 AS r1, seq AS r2, pagina, [seq] AS seqs FROM e JOIN w USING (doc_id) WHERE t = v
+  UNION ALL SELECT e.doc_id, ent, 2, 0, seq, pagina, [seq] FROM e JOIN w USING (doc_id) WHERE contains(t, v)
+  UNION ALL SELECT e.doc_id, ent, 3, page_first, pos, pagina, [run, second] FROM e JOIN {RUNS} r ON e.doc_id = r.doc_id AND v = phrase WHERE ent = 2
+  UNION ALL SELECT e.doc_id, ent, 4, 0, seq, pagina, [seq] FROM e JOIN w USING (doc_id) WHERE t = string_split(v, ' ')[1] OR starts_with(t, string_split(v, ' ')[1] || ' '))
+ SELECT doc_id, ent, tier, pagina, unnest(seqs) AS seq FROM (SELECT *, {{rank}} AS r FROM p) WHERE r = 1"""
+
+
+@query(CASCADE.format(rank="row_number() OVER (PARTITION BY doc_id, ent ORDER BY tier, r1, r2)"))
 def locate_cascade(spark, sf):
     return geometry.locate(boxes(spark, sf), asked(spark, sf))
 
 
+@query(CASCADE.format(rank="dense_rank() OVER (PARTITION BY doc_id, ent ORDER BY tier)"))
+def locate_all_places(spark, sf):
+    return geometry.locate(boxes(spark, sf), asked(spark, sf), "all")
+
+
 @query(f"SELECT doc_id, pagina, CAST(l AS INTEGER) AS linha, string_agg(texto, ' ' ORDER BY x0, seq) AS texto FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, pagina ORDER BY y0) - 1 AS l FROM (SELECT * REPLACE (y0 * 2 AS y0) FROM ({BOXES}))) GROUP BY doc_id, pagina, l")
 def line_assembly(spark, sf):
     return geometry.lines(boxes(spark, sf).select("doc_id", "pagina", F.col("x0").cast("int").alias("x"), (F.col("y0") * 2).cast("int").alias("y"), F.col("seq"), "texto"))
@@ -602,10 +597,15 @@ def logits_argmax(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", dataset.argmax(F.col("embedding")).alias("classe"))
 
 
-@query("SELECT event_id, CASE WHEN value * 1000 < 1024 THEN CAST(CAST(floor(value * 1000) AS BIGINT) AS VARCHAR) || ' B' ELSE printf('%.1f', floor(floor(value * 1000) / 1024.0 * 10 + 0.5) / 10) || ' KB' END AS tamanho FROM events WHERE value * 1000 < 1000000 AND value IS NOT NULL")
+SIZES = "SELECT event_id, CAST(floor(value * 1000 * (event_id % 5000)) AS BIGINT) AS n FROM events"
+TENTH = "printf('%.1f', floor(n / {0}.0 * 10 + 0.5) / 10)"
+
+
+@query(f"SELECT event_id, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1048576 THEN {TENTH.format(1024)} || ' KB' WHEN n IS NOT NULL THEN {TENTH.format(1048576)} || ' MB' END AS tamanho FROM ({SIZES})")
 def file_sizes(spark, sf):
-    e = table(spark, sf, "events").where("value * 1000 < 1000000 AND value IS NOT NULL")
-    return e.select("event_id", T.file_size(F.floor(F.col("value") * 1000)).alias("tamanho"))
+    """Bytes, kB and MB of all events; a missing size is none."""
+    n = F.floor(F.col("value") * 1000 * (F.col("event_id") % 5000))
+    return table(spark, sf, "events").select("event_id", T.file_size(n).alias("tamanho"))
 
 
 @query()
@@ -646,7 +646,7 @@ def mapping_report(spark, sf):
 @query("SELECT page_id, regexp_replace(coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), 'upload'), '\\.[^.]*$', '') || CASE WHEN page_id % 2 = 0 THEN '_pseudonimizado.pdf' ELSE '_anonimizado.pdf' END AS nome FROM pages")
 def output_names(spark, sf):
     name = F.coalesce(F.nullif(F.regexp_extract("url", "([^/]*)$", 1), F.lit("")), F.lit("upload"))
-    mode = F.when(F.col("page_id") % 2 == 0, "pseudonimizacao").otherwise("anonimizacao")
+    mode = F.when(F.col("page_id") % 2 == 0, "pseudonym").otherwise("redact")
     return table(spark, sf, "pages").select("page_id", review.output_name(name, mode).alias("nome"))
 
 
@@ -707,4 +707,4 @@ def anonymise_documents(spark, sf):
 
 @query()
 def pseudonymise_documents(spark, sf):
-    return api.anonymise(table(spark, sf, "documents"), "pseudonimizacao")
+    return api.anonymise(table(spark, sf, "documents"), "pseudonym")

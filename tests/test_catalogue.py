@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from sigilo.plans.catalogue import QUERIES, SQL
+from sigilo.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
