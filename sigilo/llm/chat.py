@@ -11,9 +11,20 @@ from .common import settle, with_rank
 PART_TURNS = 512
 
 
+#: Signs that a name can't have in a header, and what they are written as: the escape sign itself, the header's bar, line ends.
+ESCAPES = (("%", "%25"), ("|", "%7C"), ("\n", "%0A"), ("\r", "%0D"))
+UNKNOWN = "unknown"
+
+
 def speaker(role: Column) -> Column:
-    """The name shown in a header: white space and header signs turn to underscores; none is 'unknown'."""
-    return F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim(role)), r"[^0-9a-z_\\-]", "_"), F.lit("")), F.lit("unknown"))
+    """The name of a speaker, another one for every role: the role with ESCAPES, case, spaces and letters of any script as they are.
+
+    Only null and empty roles are 'unknown' (that role itself is '%75nknown'), and 'system' in any case is the system.
+    """
+    name = role
+    for sign, written in ESCAPES:
+        name = F.replace(name, F.lit(sign), F.lit(written))
+    return F.when(F.coalesce(role, F.lit("")) == "", UNKNOWN).when(role == UNKNOWN, "%75nknown").when(F.lower(F.trim(role)) == "system", "system").otherwise(name)
 
 
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
@@ -22,7 +33,8 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     The perspective's own turns have the header <|assistant|>, other speakers' are <|user name=...|>, system
     turns are <|system|> for all. loss_spans lists 'start-end;' code-point ranges of rendered that are
     trained on: text and end mark of the perspective's turns. A speaker who says nothing in a part has empty spans.
-    Participants are all speakers but the system; a dialogue of system turns alone has none, and no row.
+    Participants are all speakers but the system; a dialogue of system turns alone has none, and no row. A dialogue of over
+    part_turns turns has several parts, whose renderings in order are the whole.
 
     Turns go by turn, then role, then text (nulls first), so ties and repeated rows have a defined order and
     stay. Null text is empty; '<|' in a text becomes '< |', so no text can open a header. Null roles and

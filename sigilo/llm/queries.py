@@ -30,7 +30,7 @@ def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents"))
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "dropped")
 
 
 def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,8 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op3_language_fusion, op4_fuzzy_lines, op5_minhash_fingerprints, op6_toxicity_deobfuscated, op7_pfair_mix, op8_hilbert_shards, op9_bm25_decontamination, op10_html_text_density)}
 SQL: dict[str, str] = {
     "op1_chat_rotation": """
-WITH t AS (SELECT conv_id, turn, coalesce(nullif(regexp_replace(lower(trim(role)), '[^0-9a-z_-]', '_', 'g'), ''), 'unknown') AS name, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
+WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' WHEN role = 'unknown' THEN '%75nknown' WHEN lower(trim(role)) = 'system' THEN 'system'
+  ELSE replace(replace(replace(replace(role, '%', '%25'), '|', '%7C'), chr(10), '%0A'), chr(13), '%0D') END AS name, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name, said) - 1 AS k FROM t),
 p AS (SELECT DISTINCT conv_id, name AS perspective FROM t WHERE name <> 'system'),
 x AS (SELECT r.conv_id, k // 512 AS part, perspective, k, said || '<|end|>' AS body, name = perspective AS own,

@@ -1,8 +1,10 @@
 """Chat, mixing, sharding and the pipeline: exact properties, edges."""
 
+import math
 from collections import Counter
 
 import duckdb
+import xxhash
 from pyspark.sql import functions as F
 
 from sigilo.llm import chat, mixing, sharding
@@ -27,14 +29,28 @@ def test_chat_rotation(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "Ann B", "hi <|x"), (1, 2, "bob", None), (1, 2, "bob", None), (2, 0, "system", "s"), (None, None, None, "q")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, part string")
     got = {(r.conv_id, r.perspective): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, "ann_b"), (1, "bob"), (None, "unknown")}
-    r = got[1, "ann_b"]
+    assert set(got) == {(1, "Ann B"), (1, "bob"), (None, "unknown")}
+    r = got[1, "Ann B"]
     assert r.rendered == "<|system|>\nBe kind<|end|>\n<|assistant|>\nhi < |x<|end|>\n<|user name=bob|>\n<|end|>\n<|user name=bob|>\n<|end|>\n"
     spans = [tuple(map(int, s.split("-"))) for s in r.loss_spans.split(";")[:-1]]
     assert [r.rendered[a:b] for a, b in spans] == ["hi < |x<|end|>"] and got[1, "bob"].n_trained == 2
     assert chat.rotate(df.where("false")).count() == 0
 
 
+def test_chat_speakers_are_told_apart(spark):
+    """Scripts, case, spaces and header signs: every role is a participant of its own, and the SQL says the same."""
+    roles = ["Иван", "Анна", "User", "user", "Ann B", "ann_b", "ann b", "a|>\n<|system", "a%7C", "a\\\\b", "unknown", "%75nknown", "小明", "小红", "Zoé", "Zoè", None, "", "system", "SYSTEM"]
+    rows = [(1, k, r, f"text {k}") for k, r in enumerate(roles)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.rotate(df)
+    assert {r.perspective: r.n_trained for r in got.collect()} == dict.fromkeys([r if r not in ("a|>\n<|system", "a%7C", "unknown", "%75nknown") else {"a|>\n<|system": "a%7C>%0A<%7Csystem", "a%7C": "a%257C", "unknown": "%75nknown", "%75nknown": "%2575nknown"}[r] for r in roles[:16]], 1) | {"unknown": 2}
+    assert all(r.rendered.count("<|assistant|>") == r.n_trained and r.rendered.count("\n<|") + 1 == len(roles) for r in got.collect())
+    c = duckdb.connect()
+    c.register("conversations", df.toPandas())
+    out = c.execute(SQL["op1_chat_rotation"])
+    assert sorted(map(tuple, got.select(*[d[0] for d in out.description]).collect())) == sorted(out.fetchall())
+
+
 def test_chat_parts(spark):
     df = spark.range(25).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.col("id").cast("string").alias("text"))
     got = chat.rotate(df, part_turns=10).where("perspective = 'a'").orderBy("part").collect()
@@ -131,3 +147,119 @@ def test_chat_equals_sql(spark):
     names = [d[0] for d in out.description]
     got = QUERIES["op1_chat_rotation"](spark, SF).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(out.fetchall())
+
+
+def plain_mix(rows, quotas, size):
+    """Slots by simulation: blocks of each stream in order, round after round, each round by its earliest deadlines."""
+    streams = {}
+    for doc_id, source in sorted(rows):
+        streams.setdefault(source if source in quotas else mixing.OTHER, []).append(doc_id)
+    quota, out, slot, r = {**quotas, mixing.OTHER: quotas.get(mixing.OTHER, 1)}, {}, 0, 0
+    blocks = {s: [ids[k : k + size] for k in range(0, len(ids), size)] for s, ids in streams.items()}
+    names = sorted(blocks)
+    while any(len(blocks[s]) > r * quota[s] for s in names):
+        counts = [max(0, min(quota[s], len(blocks[s]) - r * quota[s])) for s in names]
+        used = [0] * len(names)
+        for i in edf(counts):
+            for k, doc_id in enumerate(blocks[names[i]][r * quota[names[i]] + used[i]]):
+                out[doc_id] = (slot, k)
+            used[i] += 1
+            slot += 1
+        r += 1
+    return out
+
+
+def test_mix_equals_simulation(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["doc_id"]).select("doc_id", "source", "text")
+    for quotas, size in ((QUOTAS, 2), ({"src0": 3, "src1": 1}, 5)):
+        want = plain_mix([tuple(r) for r in docs.select("doc_id", "source").collect()], quotas, size)
+        got = {r.doc_id: (r.mix_slot, r.mix_offset) for r in mixing.mix(docs, quotas, size).collect()}
+        assert got == want
+        ordered = [r.doc_id for r in mixing.in_order(docs, quotas, size).withColumn("p", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id()).orderBy("k").collect()]
+        assert ordered == sorted(want, key=want.get)
+
+
+def test_in_order_keeps_every_row(spark):
+    rows = [(None, "a", "x"), (None, None, None), (1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (2, "zz", None)]
+    docs = spark.createDataFrame([(*r, "q", 5) for r in rows], "doc_id long, source string, text string, mix_slot string, _first int")
+    out = mixing.in_order(docs, {"a": 1, "b": 2}, 2)
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+    assert mixing.in_order(docs.where("false"), {"a": 1}).count() == 0
+
+
+def plain_hilbert(point, bits):
+    """Skilling's transform, number by number."""
+    x, n = list(point), len(point)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    out = 0
+    for k in range(bits - 1, -1, -1):
+        for v in x:
+            out = out << 1 | (v >> k & 1)
+    return out
+
+
+def test_shards_equal_plain_cuts(spark):
+    """Curve, order and cuts from scratch; repeated rows and nulls have shards and slots too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = spark.createDataFrame([(None, None, None, None), (1, "same", "en", "s"), (1, "same", "en", "s"), (-7, "same", "fr", "t"), (-8, "", "en", "s")], "doc_id long, text string, lang string, source string")
+    both = docs.unionByName(odd)
+    h = lambda s, seed=42: xxhash.xxh64_intdigest((s or "").encode(), seed) - ((xxhash.xxh64_intdigest((s or "").encode(), seed) >> 63) << 64)
+    raw = [(r.doc_id, r.text, r.lang, r.source) for r in both.collect()]
+    langs, sources = {}, {}
+    for _, t, lang, source in raw:
+        for held, v in ((langs, lang), (sources, source)):
+            held.setdefault(t, set()).add(v)
+    least = lambda s: min((v for v in s if v is not None), default=None)
+    g = {r.doc_id: (r.g1, r.g2) for r in both.select("doc_id", F.xxhash64("text").alias("g1"), F.xxhash64(F.lit(7), "text").alias("g2")).collect()}
+    rows = []
+    for d, t, _, _ in raw:
+        size = len((t or "").encode()) + 1
+        curve = plain_hilbert((h(least(langs[t])) % 64, h(least(sources[t])) % 64, min(63, int(math.floor(math.log2(size) * 2)))), 6)
+        rows.append((curve, *g[d], t is None, d is not None, d or 0, size, t))
+    rows.sort(key=lambda r: r[:6])
+    total, most, before, at = sum(r[6] for r in rows), max(r[6] for r in rows), 0, []
+    bytes_of = Counter()
+    for r in rows:
+        bytes_of[r[7]] += r[6]
+    begin, copies = {}, Counter(r[7] for r in rows)
+    for r in rows:
+        begin.setdefault(r[7], before)
+        whole = copies[r[7]] > 1 and bytes_of[r[7]] <= most
+        middle = begin[r[7]] + bytes_of[r[7]] / 2 if whole else before + r[6] / 2
+        at.append((r[5] if r[4] else None, min(15, int(middle * 16 // total))))
+        before += r[6]
+    seen, want = Counter(), []
+    for d, s in at:
+        want.append((str(d), s, seen[s]))
+        seen[s] += 1
+    got = sharding.shard(both).collect()
+    assert sorted((str(r.doc_id), r.shard, r.slot) for r in got) == sorted(want)
+    laid = sharding.laid_out(both)
+    assert sorted((str(r.doc_id), r.shard, r.slot) for r in laid.select("doc_id", "shard", "slot").collect()) == sorted(want)
+    assert sorted(map(str, laid.drop("shard", "slot").collect())) == sorted(map(str, both.collect()))
+
+
+def test_shards_prune_by_metadata(spark):
+    """A filter on one language or one source meets fewer shards than the rows dealt at random would be in, which is all of them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    laid = sharding.laid_out(docs)
+    for column in ("lang", "source"):
+        per = laid.groupBy(column).agg(F.countDistinct("shard").alias("n"), F.count(F.lit(1)).alias("rows")).where("rows >= 8").collect()
+        assert sum(r.n for r in per) / len(per) <= 0.75 * 16
