@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, settle, spread, with_rank
+from .common import fresh, scratch, settle, spread, with_rank
 
 OTHER = "(other)"
 ADDED = ("stream", "block", "mix_slot", "mix_offset")
@@ -70,36 +70,59 @@ def mix(docs: DataFrame, quotas: dict[str, int], block_docs: int = 16) -> DataFr
     the others, by their weights; all rows are kept. Repeated rows and ties in doc_id have places of their own.
     An empty table gives no row. Other columns are kept, but for those that have the name of an added one.
     """
-    given = {k: int(q) for k, q in quotas.items()}
-    if not given or min(given.values()) < 1:
-        raise ValueError("quotas must be whole blocks, one at least")
-    spark = docs.sparkSession
-    stream = F.when(F.col("source").isin(list(given)), F.col("source")).otherwise(F.lit(OTHER))
     others = [c for c in docs.columns if c not in ADDED]
-    packed = docs.select(F.struct(*others).alias("_row"), stream.alias("stream"), F.col("doc_id").alias("_id"), F.xxhash64(*others).alias("_tie"))
-    own = settle(with_rank(packed, ["stream"], [F.col("_id"), F.col("_tie")]))
-    rows = spark.createDataFrame([*given.items()] + ([] if OTHER in given else [(OTHER, 1)]), "source string, quota long")
+    with scratch() as keep:
+        packed = docs.select(F.struct(*others).alias("_row"), _stream(quotas).alias("stream"), F.col("doc_id").alias("_id"), F.xxhash64(*others).alias("_tie"))
+        own = keep(settle(with_rank(packed, ["stream"], [F.col("_id"), F.col("_tie")])))
+        plan = _plan(own, quotas, block_docs)
+        keep(plan)
+    return _slotted(own, plan, block_docs).select("_row.*", "stream", "block", "mix_slot", "mix_offset")
+
+
+def _stream(quotas: dict[str, int]) -> Column:
+    if not quotas or min(map(int, quotas.values())) < 1:
+        raise ValueError("quotas must be whole blocks, one at least")
+    return F.when(F.col("source").isin(list(quotas)), F.col("source")).otherwise(F.lit(OTHER))
+
+
+def _plan(own: DataFrame, quotas: dict[str, int], block_docs: int) -> DataFrame:
+    """The slots of every kind of round, with the quota of each stream: (2m+1) rounds of sum(quotas) slots at most, both given."""
+    given = {k: int(q) for k, q in quotas.items()}
+    rows = own.sparkSession.createDataFrame([*given.items()] + ([] if OTHER in given else [(OTHER, 1)]), "source string, quota long")
     sizes = own.groupBy(F.col("stream").alias("source")).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_docs)).alias("blocks"))
     blocks = settle(sizes.join(rows, "source"))
-    plan = settle(schedule(blocks).join(blocks.select("source", "quota"), "source").withColumnRenamed("source", "_source"))
-    at = own.withColumns({"block": F.floor(F.col("rank") / block_docs), "mix_offset": (F.col("rank") % block_docs).cast("int")})
-    at = at.join(F.broadcast(blocks.select(F.col("source").alias("_s"), F.col("quota").alias("_q"))), F.col("stream") == F.col("_s"))
+    return settle(schedule(blocks).join(blocks.select("source", "quota"), "source").withColumnRenamed("source", "_source"))
+
+
+def _slotted(rows: DataFrame, plan: DataFrame, block_docs: int) -> DataFrame:
+    """rows (stream, rank, ...) with block, mix_slot and mix_offset."""
+    at = rows.withColumns({"block": F.floor(F.col("rank") / block_docs), "mix_offset": (F.col("rank") % block_docs).cast("int")})
+    quota = plan.select(F.col("_source").alias("_s"), F.col("quota").alias("_q")).distinct()
+    at = at.join(F.broadcast(quota), F.col("stream") == F.col("_s"))
     at = at.withColumn("_round", F.floor(F.col("block") / F.col("_q"))).withColumn("_k", F.col("block") % F.col("_q"))
     same = (F.col("stream") == F.col("_source")) & (F.col("_k") == F.col("k")) & F.col("_round").between(F.col("first"), F.col("last"))
-    out = at.join(F.broadcast(plan), same)  # rows of the plan: (2m+1) rounds of sum(quotas) slots, both given
     slot = F.col("base") + (F.col("_round") - F.col("first")) * F.col("width") + F.col("slot")
-    return out.select("_row.*", "stream", "block", slot.cast("long").alias("mix_slot"), "mix_offset")
+    return at.join(F.broadcast(plan), same).withColumn("mix_slot", slot.cast("long"))
 
 
 def in_order(docs: DataFrame, quotas: dict[str, int], block_docs: int = 16) -> DataFrame:
     """docs, in the columns given, dealt and sorted by their places in the mix, so that files hold it in order.
 
-    Rows of one doc_id go together to its first place; those without one come first.
+    Every row has a place of its own, by its source, doc_id (null first) and a hash of the row, as in `mix`. Whole rows move
+    twice: to their places, which meet them by a 128-bit hash of the row, and to the files. Equal rows have ranks in
+    a row, so one place holds for all of them and a count within them tells the rest.
     """
-    placed = mix(docs.select("doc_id", "source"), quotas, block_docs).where("doc_id is not null")
-    key, at = fresh("_id", docs), fresh("_at", docs)
-    places = settle(placed.groupBy(F.col("doc_id").alias(key)).agg(F.min(F.struct("mix_slot", "mix_offset")).alias(at)))
-    known = docs.where("doc_id is not null").join(places, F.col("doc_id") == F.col(key)).drop(key)
-    rest = docs.where("doc_id is null").withColumn(at, F.lit(None).cast(known.schema[at].dataType))
-    out = known.unionByName(rest).repartitionByRange(spread(docs.sparkSession), at).sortWithinPartitions(at)
-    return out.drop(at)
+    parts = spread(docs.sparkSession)
+    told = [c for c, t in docs.dtypes if "map<" not in t]
+    keys = [F.xxhash64(*told).alias("_k1"), F.xxhash64(F.lit(7), *told, *[F.col(c).isNull() for c in told]).alias("_k2")]
+    with scratch() as keep:
+        slim = docs.select(*keys, _stream(quotas).alias("stream"), F.col("doc_id").alias("_id"))
+        own = settle(with_rank(slim, ["stream"], [F.col("_id"), F.col("_k1"), F.col("_k2")]))
+        plan = keep(_plan(own, quotas, block_docs))
+        places = keep(settle(own.groupBy("_k1", "_k2").agg(F.min("stream").alias("stream"), F.min("rank").alias("_first"))))
+        slots = plan.agg(F.max(F.col("base") + (F.col("last") - F.col("first") + 1) * F.col("width"))).first()[0] or 1
+    rows = docs.select(F.struct("*").alias("_row"), *keys).join(places, ["_k1", "_k2"])
+    rows = rows.withColumn("rank", F.col("_first") + F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))) - 1)
+    rows = _slotted(rows.select("_row", "stream", "rank"), plan, block_docs).select("_row", "mix_slot", "mix_offset")
+    rows = rows.withColumn("_part", F.floor(F.col("mix_slot") * parts / slots).cast("int"))
+    return rows.repartitionById(parts, "_part").sortWithinPartitions("mix_slot", "mix_offset").select("_row.*")

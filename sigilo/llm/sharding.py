@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, spread, with_rank
+from .common import fresh, scratch, settle, spread, with_rank
 
 
 def let(value: Column, body) -> Column:
@@ -72,7 +72,11 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = 6) -> DataFrame:
     Null text: size 1, CRC of the empty text, its own group. Null doc_id, lang, source: as values of their own.
     Repeated rows each get a slot. An empty table gives none. Extra columns are not looked at.
     """
-    return _cut(_slim(docs, bits), shards)
+    with scratch() as keep:
+        at, total, starts = _placed(docs, shards, bits)
+        keep(at), keep(starts)
+    out = at.withColumn("shard", _shard(F.col("before"), shards, total)).join(F.broadcast(starts), "shard")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", "g1", "g2", "none")
 
 
 def _slim(docs: DataFrame, bits: int) -> DataFrame:
@@ -84,34 +88,55 @@ def _slim(docs: DataFrame, bits: int) -> DataFrame:
     rows = settle(rows)
     groups = settle(rows.groupBy("g1", "g2", "none").agg(F.min("lang").alias("_lang"), F.min("source").alias("_source"), F.count(F.lit(1)).alias("copies")))
     joined = rows.join(groups, ["g1", "g2", "none"])
-    width = F.least(F.lit((1 << bits) - 1), F.floor(F.log2("size") * 3)).cast("long")
+    width = F.least(F.lit((1 << bits) - 1), F.floor(F.log2("size") * ((1 << bits) / 32))).cast("long")  # a text has 2^31 bytes at most
     return joined.withColumn("curve", hilbert_index([quantised("_lang", bits), quantised("_source", bits), width], bits))
 
 
-def _cut(rows: DataFrame, shards: int) -> DataFrame:
+def _placed(docs: DataFrame, shards: int, bits: int) -> tuple[DataFrame, int, DataFrame]:
+    """The slim rows with rank, before (bytes ahead) and, for rows of a group that isn't cut, first and held (its bytes);
+    the sum of all sizes; and (shard, start): the smallest rank of each shard."""
     order = [F.col("curve"), F.col("g1"), F.col("g2"), F.col("none"), F.col("doc_id")]
-    placed = settle(with_rank(rows, [], order, size="size"))
+    placed = settle(with_rank(_slim(docs, bits), [], order, size="size"))
     total, most = placed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
-    group = placed.where("copies > 1").groupBy("g1", "g2", "none").agg(F.min("before").alias("_first"), F.sum("size").alias("_bytes"))
-    group = settle(group.where(F.col("_bytes") <= most))
-    middle = F.coalesce(F.col("_first") + F.col("_bytes") / 2, F.col("before") + F.col("size") / 2)
-    at = placed.join(group, ["g1", "g2", "none"], "left")
-    at = settle(at.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / max(total, 1))).cast("int")))
-    first = at.groupBy("shard").agg(F.min("rank").alias("_start"))  # a row for each shard
-    out = at.join(F.broadcast(first), "shard")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("_start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", "g1", "g2", "none")
+    group = placed.where("copies > 1").groupBy("g1", "g2", "none").agg(F.min("before").alias("first"), F.sum("size").alias("held"))
+    at = settle(placed.join(settle(group.where(F.col("held") <= most)), ["g1", "g2", "none"], "left"))
+    starts = at.groupBy(_shard(F.col("before"), shards, total).alias("shard")).agg(F.min("rank").alias("start"))
+    return at, total, settle(starts, 1)  # a row for each shard
+
+
+def _shard(before: Column, shards: int, total: int) -> Column:
+    """The shard of the middle of the row, or of its group where that stays whole. It never falls along the ranks."""
+    middle = F.coalesce(F.col("first") + F.col("held") / 2, before + F.col("size") / 2)
+    return F.least(F.lit(shards - 1), F.floor(middle * shards / max(total, 1))).cast("int")
 
 
 def laid_out(docs: DataFrame, shards: int = 16, bits: int = 6) -> DataFrame:
-    """docs with shard and slot (columns of those names are replaced), dealt and sorted by them for the writer."""
-    key = ["doc_id", "g1", "g2", "none"]
-    twin = Window.partitionBy(*key).orderBy("slot")
-    places = settle(shard(docs, shards, bits).select(*[F.col(k).alias(f"_{k}") for k in key], "shard", "slot", F.row_number().over(twin).alias("_twin")))
+    """docs with shard and slot (columns of those names are replaced), dealt and sorted by them for the writer.
+
+    Whole rows move twice: to their places, which meet them by a 128-bit hash of doc_id and text, and to the files. Rows that
+    are equal in both have ranks in a row, so one place holds for all of them and a count within them tells the rest.
+    Null doc_id and null text are values of their own. An empty table gives none.
+    """
+    parts = spread(docs.sparkSession)
     kept = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
-    own = kept.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("g1"), F.xxhash64(F.lit(7), "text").alias("g2"), F.col("text").isNull().alias("none"))
-    own = own.withColumn("twin", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    same = F.col("twin") == F.col("_twin")
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    out = own.join(places, same).select("_row.*", "shard", "slot")
-    return out.repartitionByRange(spread(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
+    names = [fresh(c, kept) for c in ("_k1", "_k2", "_twin", "_rank", "_before", "_part")]
+    k1, k2, twin, rank, before, part = names
+
+    def keys(g1: Column, g2: Column) -> list[Column]:
+        null = F.col("doc_id").isNull()
+        return [F.xxhash64("doc_id", null, g1).alias(k1), F.xxhash64(g2, null, "doc_id").alias(k2)]
+
+    with scratch() as keep:
+        at, total, starts = _placed(kept, shards, bits)
+        g1, g2 = (F.when(~F.col("none"), F.col(g)) for g in ("g1", "g2"))
+        places = at.groupBy(*keys(g1, g2)).agg(F.min("rank").alias(rank), F.min("before").alias(before), *[F.min(c).alias(c) for c in ("size", "first", "held")])
+        places = keep(settle(places.select(k1, k2, F.struct(rank, before, "size", "first", "held").alias(part))))
+        keep(starts)
+    g1, g2 = F.when(F.col("text").isNotNull(), F.xxhash64("text")), F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(7), "text"))
+    own = kept.select(F.struct("*").alias("_row"), *keys(g1, g2)).join(places, [k1, k2])
+    own = own.withColumn(twin, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(0))) - 1).select("_row", twin, f"{part}.*")
+    own = own.withColumns({rank: F.col(rank) + F.col(twin), before: F.col(before) + F.col(twin) * F.col("size")})
+    own = own.withColumn("shard", _shard(F.col(before), shards, total)).join(F.broadcast(starts), "shard")
+    own = own.withColumn(part, F.least(F.lit(parts - 1), F.floor(F.col(before) * parts / max(total, 1))).cast("int"))
+    own = own.withColumn("slot", F.col(rank) - F.col("start")).repartitionById(parts, part).sortWithinPartitions("shard", "slot")
+    return own.select("_row.*", "shard", "slot")
