@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,12 +16,10 @@ from .common import bounded_batches
 # Element names of the HTML standard, and words that name boilerplate in class and id attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-DROPPED = frozenset(
-    "script style noscript template iframe object embed svg math canvas audio video head title nav footer aside form "
-    "button select option input textarea label fieldset dialog menu map noembed noframes xmp".split()
-)
-#: Of the dropped, those that may wrap a whole page, as words in class and id may.
-WRAPPERS = frozenset("form fieldset aside".split())
+#: Elements that show no text of the page, and the controls of forms: they go with all they hold, wherever they are.
+UNSEEN = frozenset("script style noscript template iframe object embed audio video head title button select option input textarea label legend map noembed noframes xmp datalist".split())
+#: Elements that are boilerplate by what their names mean. Like boxes with such a class or id they go unless they hold the bulk of the text.
+NAMED = frozenset("nav footer header aside form fieldset dialog menu search".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot "
@@ -30,12 +29,17 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "main menu nav ol p pre search section summary table ul".split()
 )
+#: Elements that an opening tag closes, and those that hide what is open around them from it.
 SIBLINGS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"),
     "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"),
 }
 SCOPES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "optgroup": ("select",)} | {k: ("table",) for k in ("tr", "td", "th", "thead", "tbody", "tfoot")}
-P_SCOPE = frozenset("button table td th article section div main li".split())
+SCOPES["p"] = tuple("button table td th article section div main li".split())
+BIT = {tag: 1 << k for k, tag in enumerate(SCOPES)}
+#: For each opening tag the bits of the elements that it closes; for each element the bits that it hides.
+CLOSES = {tag: sum(BIT[x] for x in names) for tag, names in SIBLINGS.items()} | {tag: BIT["p"] for tag in CLOSES_P - SIBLINGS.keys()}
+HIDES = {scope: sum(BIT[k] for k, v in SCOPES.items() if scope in v) for v in SCOPES.values() for scope in v}
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|adbox|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|"
     r"alert|popup|modal|overlay|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|comment|comments|commentlist|"
@@ -50,41 +54,59 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 
 class Node:
-    """An element: its children and texts in order, and the sums over its subtree that densities need."""
+    """An element: its children and texts in order, and the sums over its subtree that densities need.
+
+    open: the bits of the elements around it, itself included, that a tag inside could close.
+    """
 
-    __slots__ = ("tag", "named", "dropped", "items", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "named", "dropped", "items", "parent", "open", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, tag: str, parent: Node | None, named: str):
         self.tag, self.parent, self.named, self.items = tag, parent, named, []
         self.dropped = False
+        self.open = ((parent.open if parent else 0) & ~HIDES.get(tag, 0)) | BIT.get(tag, 0)
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.best: Node = self
 
 
 def boilerplate(tag: str, attributes: str, inside_main: bool) -> str:
-    """"always" for elements that are no article by their name or role, "unless bulk" for those that may yet wrap the
-    page's text: forms and their like, and names in class or id. A header inside an article holds its heading and stays."""
-    found = "unless bulk" if tag in WRAPPERS else ""
-    if tag in DROPPED - WRAPPERS or tag == "header" and not inside_main:
+    """"always" for what the page doesn't show; "unless bulk" for what its name, role, class or id calls boilerplate, which
+    may yet wrap the page's text. A header inside an article holds its heading and stays."""
+    if tag in UNSEEN:
         return "always"
+    found = "unless bulk" if tag in NAMED and not (tag == "header" and inside_main) else ""
     if not attributes or tag in ("html", "body"):
         return found
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return "always"
-        if name == "role" and value.lower() in ROLES or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return "always"
+        if name == "role" and value.lower() in ROLES:
+            found = "unless bulk"
         if name in ("class", "id") and tag not in ("article", "main") and BOILERPLATE.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
             found = "unless bulk"
     return found
 
 
 def parse(page: str) -> Node:
-    """A tree of the page, forgiving as browsers are: open paragraphs, items and cells are closed by what follows them."""
+    """A tree of the page, forgiving as browsers are: open paragraphs, items and cells are closed by what follows them.
+
+    Every element is closed once, and a tag looks up the tree only for what is open there, so the time is linear in the page.
+    """
     root = Node("html", None, "")
-    at, here, main = 0, root, 0
+    at, here, main, opened = 0, root, 0, Counter()
+
+    def close(top: Node) -> None:
+        """Close all elements from the innermost one to the given one."""
+        nonlocal here, main
+        while here is not top.parent:
+            main -= here.tag in ("article", "main")
+            opened[here.tag] -= 1
+            here = here.parent
+
     for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
             here.items.append(page[at : m.start()])
@@ -93,31 +115,22 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node is not root and node.parent is not None:
-                while here is not node.parent:
-                    main -= here.tag in ("article", "main")
-                    here = here.parent
+            if opened[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                close(node)
             elif tag == "br":
                 here.items.append(Node("br", here, ""))
             continue
         if tag == "html":
             continue
-        names, scope = SIBLINGS.get(tag), SCOPES.get(tag, ())
-        if tag in CLOSES_P:
-            names, scope = ("p",), P_SCOPE
-        if names:
-            node, top = here, None
-            while node is not root and node.tag not in scope:
-                if node.tag in names:
-                    top = node
+        bits = CLOSES.get(tag, 0)
+        while here.open & bits:
+            node = here
+            while not BIT.get(node.tag, 0) & bits:
                 node = node.parent
-            if top is not None:
-                while here is not top.parent:
-                    main -= here.tag in ("article", "main")
-                    here = here.parent
+            close(node)
         node = Node(tag, here, boilerplate(tag, m[3], main > 0))
         here.items.append(node)
         if tag in RAW:
@@ -126,6 +139,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID:
             here = node
+            opened[tag] += 1
             main += tag in ("article", "main")
     if at < len(page):
         here.items.append(page[at:])
@@ -134,9 +148,9 @@ def parse(page: str) -> Node:
 
 
 def drop(root: Node) -> None:
-    """Marks what is left out. A wrapper that is boilerplate only by a name stays if it holds more than half of the page's
-    text outside of links and, on a page with a marked article or main part, holds one or lies in one. What it holds is
-    judged likewise, so a form loses its controls only."""
+    """Marks what is left out before densities are taken. A box that is boilerplate by a name stays if it holds more than half of the
+    page's text outside of links and, on a page with a marked article or main part, holds one or lies in one. What it holds is
+    judged likewise, so a form loses its controls only. Names so decide about small boxes; which part is the article, densities tell."""
     order, stack, said, marked = [], [root], {}, set()
     while stack:
         node = stack.pop()
@@ -185,29 +199,23 @@ def measure(root: Node) -> None:
             base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
             ahead = c / max(lc, 1) * tags / links
             node.density = c / tags * max(math.log(max(ahead, 1.0)), 0.0) / base if ahead > 1 else 0.0
-        children = [x for x in node.items if isinstance(x, Node) and not x.dropped]
-        node.total = sum(x.density for x in children) + (node.density if any(isinstance(x, str) and x.strip() for x in node.items) and not children else 0.0)
-        for x in children:
+        parts = [x for x in node.items if isinstance(x, Node) and not x.dropped and x.tag in BLOCKS]
+        node.total = sum(x.density for x in parts) if parts else node.density
+        for x in parts:
             if x.best.total > node.best.total:
                 node.best = x.best
 
 
 def chosen(root: Node) -> list[Node]:
     """Subtrees of the article in page order: where the sum of child densities is largest, within every branch that is
-    at least as dense as the thinnest node on the way from the page's best subtree up to the body. If that subtree lies
-    in a marked article (or, without one, in the marked main part), the way ends there: every outermost such element at
-    least as dense is taken, without the blocks of links in it that are thinner. Text and headings without a thin block stay."""
-    node, way = root.best, []
+    at least as dense as the thinnest node on the way from the page's best subtree up to the body. Blocks in them that are
+    mostly links and thinner than that go."""
+    node, threshold = root.best, math.inf
     while node is not None:
-        way.append(node)
+        threshold = min(threshold, node.density)
         if node.tag == "body":
             break
         node = node.parent
-    for tag in ("article", "main"):
-        tops = [i for i, x in enumerate(way) if x.tag == tag]
-        if tops:
-            return dense_parts(root, tag, min(x.density for x in way[: tops[-1] + 1]))
-    threshold = min(x.density for x in way)
     out, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -215,34 +223,16 @@ def chosen(root: Node) -> list[Node]:
             out.append(node)
         else:
             stack.extend(x for x in reversed(node.items) if isinstance(x, Node) and not x.dropped and x.chars and x.density >= threshold)
-    return trimmed(out, threshold)
-
-
-def dense_parts(root: Node, tag: str, threshold: float) -> list[Node]:
-    """The outermost elements of the tag that are as dense as the threshold, in page order."""
-    out, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.tag == tag:
-            if node.density >= threshold:
-                out.append(node)
-        else:
-            stack.extend(x for x in reversed(node.items) if isinstance(x, Node) and not x.dropped)
-    return trimmed(out, threshold)
-
-
-def trimmed(nodes: list[Node], threshold: float) -> list[Node]:
-    """The nodes, without the blocks in them that are mostly links and thinner than the threshold."""
-    stack = list(nodes)
+    stack = list(out)
     while stack:
         node = stack.pop()
         for x in node.items:
             if isinstance(x, Node) and not x.dropped and x.tag in BLOCKS and not HEADING.fullmatch(x.tag):
-                if x.link_chars and x.density < threshold and 2 * x.link_chars > x.chars:
+                if x.link_tags > 1 and x.density < threshold and 2 * x.link_chars > x.chars:
                     x.dropped = True
                 else:
                     stack.append(x)
-    return nodes
+    return out
 
 
 def blocks(nodes: list[Node]) -> list[str]:
