@@ -13,15 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh
+from .common import bounded_batches, fresh, settle
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach to be retrieved.
 RETRIEVE = 0.6
-#: Least shares of the question's shingles and of the answer's words that make a leak.
+#: Least shares of the question's words that lie in shingles of the passage, and of the answer's words (rounded down to
+#: whole words, one at least), that make a leak. A changed word so costs itself and not the five shingles that it is in.
 QUESTION, ANSWER, SHINGLE = 0.8, 0.8, 5
-#: Items and text bytes of one index. A larger benchmark is searched index by index, so what is broadcast stays bounded.
-INDEX_ITEMS, INDEX_BYTES = 512, 1 << 20
+#: Items and text bytes of one index, and indexes that are broadcast together. A larger benchmark takes several rounds over
+#: the texts, so what is broadcast and collected at a time stays bounded.
+INDEX_ITEMS, INDEX_BYTES, TOGETHER = 512, 1 << 20, 32
 #: Items of a block of the index; words whose block sums are held at a time.
 BLOCK, CHUNK = 8, 1 << 15
 WORD = re.compile(r"[^\W_]+")
@@ -41,9 +43,8 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    width = min(SHINGLE, len(words))
-    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+def inverse_frequency(n: int, items: int) -> float:
+    return math.log(1 + (items - n + 0.5) / (n + 0.5))
 
 
 class Index:
@@ -52,13 +53,15 @@ class Index:
     Items go by length, in blocks of BLOCK; a block has the largest impact of each term in it.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], idf: dict[str, float] | None = None, mean: float | None = None):
+        """idf, mean: of the whole benchmark, if the items are a part of it."""
         held = [(i, words_of(t), parts(t)) for i, t in items if t and words_of(t)]
         self.items = sorted(held, key=lambda x: len(x[1]))
         counts = [Counter(w) for _, w, _ in self.items]
-        mean = sum(len(w) for _, w, _ in self.items) / max(len(self.items), 1)
         seen = Counter(t for c in counts for t in c)
-        idf = {t: math.log(1 + (len(counts) - n + 0.5) / (n + 0.5)) for t, n in seen.items()}
+        if idf is None:
+            mean = sum(len(w) for _, w, _ in self.items) / max(len(self.items), 1)
+            idf = {t: inverse_frequency(n, len(counts)) for t, n in seen.items()}
         self.terms = {t: k for k, t in enumerate(seen)}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         blocks = -(-len(self.items) // BLOCK)
@@ -106,73 +109,111 @@ class Index:
             if score >= least - 1e-9:
                 out.append((item, score))
 
-    def leaks(self, texts: list[str]) -> list[list[tuple[int, float, float, float]]]:
-        """For each text, (item_id, score, question share, answer share) of the items that it holds, by the best passage.
+    def leaks(self, words: list[str], edges: np.ndarray) -> list[dict[int, tuple[float, float, float]]]:
+        """For each text {item: (score, question share, answer share)} of the items that it holds, by the best passage.
 
-        For a block of items, a passage begins at every quarter of its longest item and is half as long again, so an
-        item with some words put in lies within one. The sums of the words' block maxima, for all passages at once,
-        show which (passage, block) can reach the threshold; those are searched.
+        words: of all texts, one after the other; edges: where each text ends. For a block of items, a passage begins at every
+        quarter of its longest item, counted from the text's first word, and is half as long again, so an item with some words
+        put in lies within one. The sums of the words' block maxima, for all passages at once, show which (passage, block) can
+        reach the threshold; those are searched.
         """
-        found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
-        words: list[str] = []
-        ends = []
-        for t in texts:
-            words += words_of(t)
-            ends.append(len(words))
+        found: list[dict[int, tuple[float, float, float]]] = [{} for _ in edges]
         if not self.items or not words:
-            return [[] for _ in texts]
+            return found
         get, none = self.terms.get, len(self.terms)
         ids = np.array([get(w, none) for w in words], dtype=np.int64)
-        edge = np.array(ends)
+        begins = np.concatenate([[0], edges[:-1]])
         reach = max(self.longest) * 2
         for at in range(0, len(ids), CHUNK):
-            sums = np.zeros((min(CHUNK + reach, len(ids) - at) + 1, len(self.longest)))
-            np.cumsum(self.block_most[ids[at : at + CHUNK + reach]], axis=0, out=sums[1:])
+            chunk = min(CHUNK, len(ids) - at)
+            sums = np.zeros((min(chunk + reach, len(ids) - at) + 1, len(self.longest)))
+            np.cumsum(self.block_most[ids[at : at + chunk + reach]], axis=0, out=sums[1:])
+            first, last = np.searchsorted(edges, at, side="right"), np.searchsorted(begins, at + chunk, side="left")
+            begin, end = begins[first:last], edges[first:last]
             for block, longest in enumerate(self.longest):
                 step = max(1, longest // 4)
                 width = longest + 2 * step
-                first = -(-at // step) * step - at
-                starts = np.arange(first, min(CHUNK, len(ids) - at), step)
-                stops = np.minimum(starts + width, len(sums) - 1)
-                hit = starts[sums[stops, block] - sums[starts, block] >= RETRIEVE - 1e-6]
-                for a in (hit + at).tolist():
-                    self._passage(a, width, block, ids, words, edge, found)
-        return [[(self.items[k][0], *v) for k, v in sorted(f.items())] for f in found]
-
-    def _passage(self, a: int, width: int, block: int, ids: np.ndarray, words: list[str], edge: np.ndarray, found: list[dict]) -> None:
-        """Search the passage from word a, for each text that it meets: it is cut where a text ends."""
-        b = min(a + width, len(ids))
-        text = int(np.searchsorted(edge, a, side="right"))
-        while a < b:
-            stop = min(b, int(edge[text]))
-            terms = [t for t in set(ids[a:stop].tolist()) if t < len(self.terms)]
-            if self.block_most[terms, block].sum() >= RETRIEVE - 1e-9:
-                for item, score in self.search(terms, block, RETRIEVE):
-                    question, answer = self.verify(item, words[a:stop])
-                    if question >= QUESTION and answer >= ANSWER:
-                        found[text][item] = max(found[text].get(item, (0.0,)), (score, question, answer))
-            a, text = stop, text + 1
-            while text < len(edge) and edge[text] <= a:
-                text += 1
+                low = np.maximum(0, -(-(at - begin) // step))  # the numbers of the passages that begin in this chunk, by text
+                n = np.maximum(0, -(-(np.minimum(end, at + chunk) - begin) // step) - low)
+                text = np.repeat(np.arange(len(n)), n)
+                starts = begin[text] + (low[text] + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * step
+                stops = np.minimum(starts + width, end[text])
+                hit = sums[stops - at, block] - sums[starts - at, block] >= RETRIEVE - 1e-6
+                for a, b, t in zip(starts[hit].tolist(), stops[hit].tolist(), (text[hit] + first).tolist()):
+                    self._passage(block, ids[a:b], words[a:b], found[t])
+        return found
+
+    def _passage(self, block: int, ids: np.ndarray, words: list[str], found: dict) -> None:
+        terms = [t for t in set(ids.tolist()) if t < len(self.terms)]
+        if self.block_most[terms, block].sum() >= RETRIEVE - 1e-9:
+            for item, score in self.search(terms, block, RETRIEVE):
+                question, answer = self.verify(item, words)
+                if question >= QUESTION and answer >= self.needed(item):
+                    found[item] = max(found.get(item, (0.0,)), (score, question, answer))
+
+    def needed(self, item: int) -> float:
+        """The least share of an item's answer: ANSWER of its words, rounded down to a whole word, one at least."""
+        n = len(self.items[item][2][1])
+        return max(1, int(ANSWER * n + 1e-9)) / n if n else 0.0
 
     def verify(self, item: int, passage: list[str]) -> tuple[float, float]:
+        """The shares of the question's words that lie in shingles of the passage, and of the answer's words that are in it."""
         question, answer = self.items[item][2]
-        asked, had = shingles(question), shingles(passage)
-        if len(question) < SHINGLE and question:
-            had = {tuple(passage[i : i + len(question)]) for i in range(len(passage) - len(question) + 1)}
+        width = min(SHINGLE, len(question))
+        had = {tuple(passage[i : i + width]) for i in range(len(passage) - width + 1)} if width else set()
+        covered = set()
+        for i in range(len(question) - width + 1 if width else 0):
+            if tuple(question[i : i + width]) in had:
+                covered.update(range(i, i + width))
         need, there = Counter(answer), Counter(passage)
-        return (len(asked & had) / len(asked) if asked else 1.0, sum(min(n, there[w]) for w, n in need.items()) / max(len(answer), 1))
+        return (len(covered) / len(question) if question else 1.0, sum(min(n, there[w]) for w, n in need.items()) / max(len(answer), 1))
+
+
+def search(indexes: list[Index], texts: list[str]) -> list[list[tuple[int, float, float, float]]]:
+    """For each text, (item_id, score, question share, answer share) of the items of all indexes that it holds. Texts are cut into words once."""
+    words: list[str] = []
+    ends = []
+    for t in texts:
+        words += words_of(t)
+        ends.append(len(words))
+    out: list[list] = [[] for _ in texts]
+    for index in indexes:
+        for held, found in zip(out, index.leaks(words, np.array(ends, dtype=np.int64))):
+            held += [(index.items[k][0], *v) for k, v in sorted(found.items())]
+    return out
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, term) of the distinct terms of each item, and (piece, null) once an item with its number of words."""
+    for b in batches:
+        rows = []
+        for piece, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            words = words_of(text)
+            rows += [(piece, t, 1) for t in set(words)] + ([(piece, None, len(words))] if words else [])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["piece", "term", "n"])
 
 
 def indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator:
-    """Broadcast indexes over the benchmark, INDEX_ITEMS items each, whose size that bounds. Items without a word are in none."""
+    """Broadcast lists of indexes over the benchmark, of INDEX_ITEMS items each, TOGETHER of them at most in a list.
+
+    Counts, inverse frequencies and the mean length are taken over all items, so scores don't depend on the pieces.
+    Items without a word are in none.
+    """
     items = benchmark.select("item_id", "text").where("text is not null").dropDuplicates(["item_id", "text"])
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     pieces = max(1, -(-n // INDEX_ITEMS), -(-size // INDEX_BYTES))
-    for k in range(pieces):
-        held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)) == k)
-        rows = sorted(((r["item_id"], r["text"]) for r in held.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        yield spark.sparkContext.broadcast(Index(rows))
+    items = settle(items.withColumn("piece", F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces))))
+    terms = settle(items.select("piece", "text").mapInArrow(_terms, "piece long, term string, n long"))
+    n, length = terms.where("term is null").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = settle(terms.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")))
+    for at in range(0, pieces, TOGETHER):
+        mine = F.col("piece").between(at, at + TOGETHER - 1)
+        own = terms.where(mine & F.col("term").isNotNull()).select("term").distinct().join(counts, "term").toArrow()
+        idf = {t: inverse_frequency(k, n) for t, k in zip(own.column("term").to_pylist(), own.column("n").to_pylist())}
+        rows = items.where(mine).collect()
+        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
+        held = [Index([(r["item_id"], r["text"]) for r in rows if r["piece"] == k], idf, length / max(n, 1)) for k in range(at, min(at + TOGETHER, pieces))]
+        yield spark.sparkContext.broadcast([index for index in held if index.items])
 
 
 HIT = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
@@ -182,7 +223,7 @@ def _annotator(index, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
-            found = [[dict(zip(("item_id", "score", "question", "answer"), h)) for h in x] for x in index.value.leaks(texts)]
+            found = [[dict(zip(("item_id", "score", "question", "answer"), h)) for h in x] for x in search(index.value, texts)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(HIT))], names=[*b.schema.names[:-1], name])
 
     return run
@@ -199,12 +240,12 @@ def annotate(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> Data
     kept = [c for c in docs.columns if c != name]
     out = docs.select(*kept, F.expr("cast(null as array<struct<item_id: bigint, score: double, question: double, answer: double>>)").alias(name))
     hits, text = fresh("_hits", out), fresh("_text", out)
-    first = True
-    for index in indexes(spark, benchmark):
+    for turn, index in enumerate(indexes(spark, benchmark)):
+        if turn:
+            out = settle(out)  # one list of indexes is searched at a time
         fields = ", ".join(f"`{n}` {t}" for n, t in out.dtypes) + f", `{hits}` array<struct<item_id: bigint, score: double, question: double, answer: double>>"
         found = out.select("*", F.col("text").alias(text)).mapInArrow(_annotator(index, hits), fields)
-        out = found.withColumn(name, F.col(hits) if first else F.concat(name, hits)).drop(hits)
-        first = False
+        out = found.withColumn(name, F.concat(name, hits) if turn else F.col(hits)).drop(hits)
     return out
 
 
