@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Repeated rows follow each other. A single row follows itself. An empty table gives none. Extra columns are not looked at.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 200)
+    bounded_batches(spark)
     n = spread(spark)
     ids = settle(docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").withColumn("bucket", F.spark_partition_id()))
     key = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "tie")
@@ -125,8 +125,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     firsts = [tuple(r["first"]) for r in bounds]
     lit = lambda k: F.struct(F.lit(bool(k[0])), F.lit(k[1]).cast("long"), F.lit(k[2]).cast("long"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).withColumn("_key", key)
-    table = F.array(*[lit(k) for k in firsts])
-    rows = rows.withColumn("bucket", F.size(F.filter(table, lambda k: k <= F.col("_key"))) - 1)
+    table = F.array(*[lit(k) for k in firsts])  # one literal, a key for each partition
+    steps = F.array(*[F.lit(1 << k) for k in range(len(firsts).bit_length() - 1, -1, -1)])
+    further = lambda at, step: F.when((at + step <= len(firsts)) & (F.get(table, at + step - 1) <= F.col("_key")), at + step).otherwise(at)
+    rows = rows.withColumn("bucket", F.aggregate(steps, F.lit(0), further) - 1)  # by halving
     first = F.col("_key") == F.element_at(table, F.col("bucket") + 1)
     before = (F.col("bucket") + F.lit(len(firsts) - 1)) % F.lit(len(firsts))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("last"))
