@@ -18,8 +18,9 @@ from .common import bounded_batches, fresh, settle
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach to be retrieved.
 RETRIEVE = 0.6
-#: Least shares of the question's words that lie in shingles of the passage, and of the answer's words (rounded down to
-#: whole words, one at least), that make a leak. A changed word so costs itself and not the five shingles that it is in.
+#: Least shares of the question's words that the passage has in their order, and of the answer's words (rounded down to whole
+#: words, one at least), that make a leak, where the passage shares a shingle of so many words with the item. A changed word
+#: so costs itself and not the five shingles that it is in.
 QUESTION, ANSWER, SHINGLE = 0.8, 0.8, 5
 #: Items and text bytes of one index, and indexes that are broadcast together. A larger benchmark takes several rounds over
 #: the texts, so what is broadcast and collected at a time stays bounded.
@@ -157,16 +158,28 @@ class Index:
         return max(1, int(ANSWER * n + 1e-9)) / n if n else 0.0
 
     def verify(self, item: int, passage: list[str]) -> tuple[float, float]:
-        """The shares of the question's words that lie in shingles of the passage, and of the answer's words that are in it."""
+        """The shares of the question's words that the passage has in their order, and of the answer's words that are in it;
+        none of the question where the passage has no shingle of the item."""
         question, answer = self.items[item][2]
-        width = min(SHINGLE, len(question))
-        had = {tuple(passage[i : i + width]) for i in range(len(passage) - width + 1)} if width else set()
-        covered = set()
-        for i in range(len(question) - width + 1 if width else 0):
-            if tuple(question[i : i + width]) in had:
-                covered.update(range(i, i + width))
+        width, whole = min(SHINGLE, len(question) + len(answer)), question + answer
+        had = {tuple(passage[i : i + width]) for i in range(len(passage) - width + 1)}
+        anchored = any(tuple(whole[i : i + width]) in had for i in range(len(whole) - width + 1))
         need, there = Counter(answer), Counter(passage)
-        return (len(covered) / len(question) if question else 1.0, sum(min(n, there[w]) for w, n in need.items()) / max(len(answer), 1))
+        asked = common_in_order(question, passage) / len(question) if question else 1.0
+        return (asked if anchored else 0.0, sum(min(n, there[w]) for w, n in need.items()) / max(len(answer), 1))
+
+
+def common_in_order(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a bit for each word of a (Hyyro, 2004)."""
+    places: dict[str, int] = {}
+    for k, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    row = every
+    for w in b:
+        met = row & places.get(w, 0)
+        row = (row + met | row - met) & every
+    return len(a) - row.bit_count()
 
 
 def search(indexes: list[Index], texts: list[str]) -> list[list[tuple[int, float, float, float]]]:

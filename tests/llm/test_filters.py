@@ -97,6 +97,14 @@ def test_wand_equals_brute_force():
             assert found == {k for k, s in scores.items() if s >= least}
 
 
+def longest_common(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
 def plain_leaks(texts, items):
     """Leaks from scratch: every passage of every text against every item."""
     held = sorted([(i, decontaminate.words_of(t), decontaminate.parts(t)) for i, t in items if t and decontaminate.words_of(t)], key=lambda x: len(x[1]))
@@ -112,10 +120,14 @@ def plain_leaks(texts, items):
             for a in range(0, len(words), step):
                 there = words[a : a + longest + 2 * step]
                 score = sum(weight.get(w, 0) for w in set(there)) / sum(weight.values())
-                n = min(5, len(asked))
+                if score < 0.6:
+                    continue
+                n, whole = min(5, len(own)), [*asked, *answer]
                 runs = {" ".join(there[i : i + n]) for i in range(len(there) - n + 1)}
-                covered = {j for i in range(len(asked) - n + 1) if n and " ".join(asked[i : i + n]) in runs for j in range(i, i + n)}
-                question, said = len(covered) / len(asked) if asked else 1.0, sum((Counter(answer) & Counter(there)).values())
+                question = longest_common(asked, there) / len(asked) if asked else 1.0
+                if not any(" ".join(whole[i : i + n]) in runs for i in range(len(whole) - n + 1)):
+                    question = 0.0
+                said = sum((Counter(answer) & Counter(there)).values())
                 if score >= 0.6 and question >= 0.8 and said >= max(1, int(0.8 * len(answer) + 1e-9)):
                     out[d, item] = max(out.get((d, item), (0.0,)), (score, question, said / len(answer)))
     return {k: tuple(round(x, 9) for x in v) for k, v in out.items()}
