@@ -53,16 +53,6 @@ def rgx_counts_by_tipo(spark, sf):
     return found(spark, sf).groupBy("tipo").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("valor").alias("distintos"))
 
 
-@query()
-def rule_catalogue_all(spark, sf):
-    return detect.find_all(table(spark, sf, "documents").select("doc_id", "text"))
-
-
-@query()
-def rule_catalogue_compat(spark, sf):
-    return detect.find_all(table(spark, sf, "documents").select("doc_id", "text"), compat=True).groupBy("tipo").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""WITH m AS ({MERGED}) SELECT count(*) AS docs, sum(CAST(n AS BIGINT))::BIGINT AS spans, sum(fim - ini)::BIGINT AS chars FROM (SELECT doc_id, sum(n) AS n, sum(fim) AS fim, sum(ini) AS ini FROM m GROUP BY doc_id)""")
 def rgx_redaction_stats(spark, sf):
     m = spans.merge(found(spark, sf)).groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("fim").alias("fim"), F.sum("ini").alias("ini"))
@@ -264,13 +254,6 @@ def pseudonym_name(spark, sf):
     return c.select(F.col("c_custkey").alias("k"), transform.pseudonym(F.lit("j"), F.lit("PESSOA"), F.col("c_name")).alias("falso"))
 
 
-@query()
-def pseudonym_all_types(spark, sf):
-    kinds = F.array(*[F.lit(t) for t in R.ENTITY_TYPES])
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.element_at(kinds, (F.col("c_custkey") % len(R.ENTITY_TYPES) + 1).cast("int")).alias("tipo"), "c_name")
-    return c.select("k", "tipo", transform.pseudonym(F.lit("j"), F.col("tipo"), F.col("c_name")).alias("falso"))
-
-
 _CEP = " || ".join(f"CAST({stream_sql(i, 10, seed='CAST(job_id AS VARCHAR)')} AS VARCHAR)" if i != 5 else "'-'" for i in range(9))
 
 
@@ -700,11 +683,6 @@ def anonymise_emails_selected(spark, sf):
     return out.join(f.select(F.col("job_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
 
-@query()
-def anonymise_documents(spark, sf):
-    return api.anonymise(table(spark, sf, "documents"))
-
-
 @query()
 def pseudonymise_documents(spark, sf):
     return api.anonymise(table(spark, sf, "documents"), "pseudonym")
