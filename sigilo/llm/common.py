@@ -6,42 +6,94 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import numpy as np
-import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir. Where it is unset a local master gets one of its own; a cluster must name it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sigilo-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table; does nothing where the session or its JVM has ended, as at exit."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
     try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone at exit: the folder then stays, nothing else is lost
-        pass
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    except (Py4JError, OSError):
+        return
+
+
+#: Settled tables that are still there, in the order they were written.
+_settled: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _forget_all() -> None:
+    for spark, path in _settled:
+        forget(spark, path)
 
 
 def settle(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there and lost executors cost nothing.
 
     parts: tasks that write it, for a table known to be small; each takes several shuffle partitions. Tables live
-    until the session ends, for the result that reads them is lazy.
+    until the session ends, for the result that reads them is lazy, or until the `scratch` that they were settled in.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
-    atexit.register(forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _settled.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled inside are deleted at its end, but for those given to what it yields. Nothing lazy that reads one may leave it."""
+    mark, kept = len(_settled), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._settled_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for spark, path in _settled[mark:]:
+            if path not in kept:
+                forget(spark, path)
+        _settled[mark:] = [x for x in _settled[mark:] if x[1] in kept]
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a settled table that nothing reads any more."""
+    at = getattr(df, "_settled_at", None)
+    for spark, path in [x for x in _settled if x[1] == at]:
+        forget(spark, path)
+        _settled.remove((spark, path))
+
+
+#: Rows of one id (or of one id and little more) that are broadcast at most; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A settled table of narrow rows, marked for broadcast if its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 #: Rows that a task takes of tables whose size was counted.
@@ -59,10 +111,9 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of bounded rows and bytes, so that very long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes, the same for every operator, so that very long texts don't pile up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def spread(spark: SparkSession) -> int:
@@ -107,90 +158,109 @@ def components(edges: DataFrame) -> DataFrame:
     edges; the edges shrink at least by half, so rounds grow with the logarithm of a component. No step holds
     more than a row for each edge, and nothing reaches the driver but whether edges are left.
     """
-    e = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    labels = None
-    while n := e.count():
-        parts = tasks_for(2 * n, edges.sparkSession)  # nodes are twice the edges at most
-        e = e.coalesce(parts)
-        both = e.union(e.select("b", "a"))
-        up = settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), parts)
-        further = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        up = settle(up.join(further, "up").select("node", F.col("top").alias("up")), parts)
-        if labels is None:
-            labels, most = up.select("node", F.col("up").alias("component")), parts
-        else:
-            step = up.select(F.col("node").alias("component"), "up")
-            labels = settle(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")), most)
-        left, right = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
-        moved = e.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        e = settle(moved.where("a < b").distinct(), parts)
-    return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, pivot) of the keys that several ids share, from rows sorted by key and id; pivot is the first id of the key."""
-    held: tuple[int, int] | None = None  # the row before, and whether it shared its key with one before it
-    pivot, shared = 0, False
-    for b in batches:
-        k, v = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        if held is not None:
-            k, v = np.concatenate([[held[0]], k]), np.concatenate([[held[1]], v])
-        fresh = np.ones(len(k), dtype=bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-        k, v = k[fresh], v[fresh]
-        start = np.ones(len(k), dtype=bool)
-        start[1:] = k[1:] != k[:-1]
-        first = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))
-        pivots = v[first]
-        if held is not None:
-            pivots[: int(np.argmax(start[1:])) + 1 if start[1:].any() else len(k)] = pivot
-        several = np.zeros(len(k), dtype=bool)
-        several[:-1] |= ~start[1:]
-        several[1:] |= ~start[1:]
-        several[0] |= held is not None and shared
-        held, pivot, shared = (int(k[-1]), int(v[-1])), int(pivots[-1]), bool(several[-1])
-        several[-1] = False
-        if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (k, v, pivots)], names=["key", "id", "pivot"])
-    if held is not None and shared:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*held, pivot)], names=["key", "id", "pivot"])
+    with scratch() as keep:
+        e = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+        labels = None
+        while n := e.count():
+            parts = tasks_for(2 * n, edges.sparkSession)  # nodes are twice the edges at most
+            e = e.coalesce(parts)
+            both = e.union(e.select("b", "a"))
+            up = settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), parts)
+            further = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            up = settle(up.join(further, "up").select("node", F.col("top").alias("up")), parts)
+            if labels is None:
+                labels, most = up.select("node", F.col("up").alias("component")), parts
+            else:
+                step = up.select(F.col("node").alias("component"), "up")
+                labels = labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+            labels = settle(labels, most)
+            left, right = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
+            moved = e.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            e = settle(moved.where("a < b").distinct(), parts)
+        return keep(labels if labels is not None else settle(e.select(F.col("a").alias("node"), F.col("b").alias("component"))))
 
 
 def buckets(keys: DataFrame) -> DataFrame:
-    """(key, id, pivot) of every id in a key that several ids share, from (key, id); repeats fall away. Rows stream by, sorted; no key is held."""
-    dealt = keys.select("key", "id").repartition(spread(keys.sparkSession), "key").sortWithinPartitions("key", "id")
-    return settle(dealt.mapInArrow(_shared, "key long, id long, pivot long"))
+    """(key, id, pivot) of every id in a key that several ids share, each once, from (key, id), in which rows may repeat;
+    pivot is the key's smallest id.
+
+    The rows are dealt once. The keys' smallest and largest ids, an aggregate that spills, tell which keys are shared, and
+    meet the rows where they lie. No key is held, and most keys, those of one id, go no further.
+    """
+    dealt = keys.select("key", "id").repartition(spread(keys.sparkSession), "key")
+    ends = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot < _last").select("key", "pivot")
+    return settle(dealt.join(ends.hint("shuffle_hash"), "key").select("key", "id", "pivot").distinct())
 
 
-def spanning_links(shared: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (a, b) that join all ids which similar pairs within a key join, without a row for every pair of a key.
+#: Pairs that a join scores in about the time that a round takes for a row.
+ROUND_PAIRS = 64
 
-    First each id is held against one pivot, the one it shares most keys with: a row for each id. Ids in keys that
-    still have several components are held against one id of another component there, likewise. What is left over two
-    components in a key is held against each other, pair by pair: no pair that could join components is left out,
-    and pairs that could not are never made.
+
+def similar_classes(shared: DataFrame, loads: DataFrame, score: Callable[[Callable, Callable], Column], most: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, class) of every id of `loads`: class is the smallest id that verified links reach, itself included.
+
+    shared: (key, id, pivot) of `buckets`. Every two ids of a key are candidates; a candidate whose score(left, right),
+    an integer over the columns of loads (id and whatever tells two ids apart), is over `most` can't be similar, and
+    verify(pairs: a, b, score) gives those that are. No verified link between two classes is missing from the result.
+
+    First each id is held against one pivot, the one it shares most keys with. Then, round by round, the ids of keys that still
+    have several classes are held against one id of another class there, a row for each id: first the one with most neighbours
+    in all of its keys, which the centre of a group of edited copies has, then one drawn anew.
+    Rounds go on while they cut the pairs over classes to three quarters or less, until those are so few that a round costs more.
+    The pairs that are left over classes are then all scored within the join, so that only those which may be similar are rows, each
+    once: at the smallest key that its two ids share.
     """
-    links = settle(verify(_most_shared(shared.select(F.col("pivot").alias("a"), F.col("id").alias("b")).where("a <> b"))))
-    several = _several(shared.select("key", "id"), links)
-    ends = several.groupBy("key").agg(F.min(F.struct("label", "id")).alias("lo"), F.max(F.struct("label", "id")).alias("hi"))
-    other = several.join(settle(ends), "key").select(F.when(F.col("label") == F.col("lo.label"), F.col("hi.id")).otherwise(F.col("lo.id")).alias("a"), F.col("id").alias("b"))
-    links = links.union(settle(verify(_most_shared(other))))
-    rest = _several(several.select("key", "id"), links)
-    rest = rest.coalesce(tasks_for(rest.count(), shared.sparkSession))
-    left, right = rest.toDF("key", "a", "label_a"), rest.toDF("key", "b", "label_b")
-    across = settle(left.join(right, "key").where("label_a < label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return links.union(settle(verify(across)))
+    with scratch() as keep:
+        classes = settle(loads.select("id", F.col("id").alias("class")))
+        x, y = (loads.select(*[F.col(c).alias(f"{c}_{side}") for c in loads.columns]).withColumnRenamed(f"id_{side}", side) for side in "ab")
+        told = score(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
+        near = lambda pairs: verify(pairs.join(x, "a").join(y, "b").select("a", "b", told.alias("score")).where(F.col("score") <= most))
+
+        def joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+            """The classes with those of linked ids made one."""
+            of = classes.toDF("a", "x"), classes.toDF("b", "y")
+            edges = links.select("a", "b").join(of[0], "a").join(of[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            met = components(edges).toDF("class", "to")
+            return settle(classes.join(met, "class", "left").select("id", F.coalesce("to", "class").alias("class")))
+
+        def mixed(rows: DataFrame) -> DataFrame:
+            """(key, id, class) of the keys whose ids are in several classes."""
+            named = settle(rows.select("key", "id").join(classes, "id"))
+            ends = named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+            return settle(named.join(settle(ends), "key").select("key", "id", "class"))
+
+        pivots = shared.where("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+        classes = joined(classes, settle(near(_most_shared(pivots))))
+        rest, turn, before = mixed(shared), 0, None
+        while True:
+            per = rest.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+            ids, pairs = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()
+            if pairs <= ROUND_PAIRS * ids or before is not None and pairs > 0.75 * before:
+                break
+            before, turn = pairs, turn + 1
+            if turn == 1:
+                sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+                about = settle(rest.join(sizes, "key").groupBy("id").agg((-F.sum("n")).alias("h")))
+                ordered = rest.join(about, "id")
+            else:
+                ordered = rest.withColumn("h", F.xxhash64("id", F.lit(turn)))
+            drawn = ordered.groupBy("key").agg(F.min(F.struct("h", "id", "class")).alias("rep"))
+            held = rest.join(settle(drawn), "key").where(F.col("class") != F.col("rep.class")).select(F.col("rep.id").alias("a"), F.col("id").alias("b"))
+            classes = joined(classes, settle(near(_most_shared(held))))
+            rest = mixed(rest)
+        if ids:
+            of = rest.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # as many as the method gives an id
+            full = settle(rest.join(settle(of.join(loads, "id")), "id"))
+            left, right = (full.select("key", *[F.col(c).alias(f"{c}_{side}") for c in full.columns if c != "key"]) for side in "ab")
+            # The last test is a higher-order function, which is not compiled into the join: a large method isn't optimised.
+            earlier = F.exists("keys_a", lambda k: (k < left["key"]) & F.array_contains("keys_b", k))
+            over = left.join(right, (left["key"] == right["key"]) & (F.col("class_a") < F.col("class_b")) & (told <= most) & ~earlier)
+            over = settle(over.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), told.alias("score")))
+            classes = joined(classes, settle(verify(over)))
+        return keep(classes)
 
 
 def _most_shared(pairs: DataFrame) -> DataFrame:
     """For each b the a that it is paired with most often, the smaller one on ties."""
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return settle(counted.groupBy("b").agg(F.max(F.struct("n", F.bitwise_not("a").alias("less"))).alias("m")).select(F.bitwise_not("m.less").alias("a"), "b"))
-
-
-def _several(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, id, label) of the keys whose ids are in several components of the links."""
-    member = components(links).withColumnRenamed("node", "id")
-    labelled = settle(rows.join(member, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
-    mixed = settle(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-    return settle(labelled.join(mixed, "key"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import bounded_batches, buckets, components, fresh, settle, spanning_links
+from .common import bounded_batches, buckets, components, fresh, scratch, settle, similar_classes, small
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Generator of the binary Golay code of length 23: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -149,20 +149,23 @@ def near_copies(docs: DataFrame, distance: int = 3) -> DataFrame:
     a class of nulls has a null component. Repeated rows return each. Extra columns are not looked at.
     """
     bounded_batches(docs.sparkSession)
-    rows = settle(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
-    fps = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    member = components(links(fps, distance))
-    named = fps.join(member.withColumnRenamed("node", "fp"), "fp")
-    named = settle(named.select("fp", "component", "least"))
-    least = settle(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    linked = settle(named.join(least, "component").select("fp", "component_id"))
-    classes = settle(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "least"))
-    out = rows.join(classes.select("fp", "component_id"), "fp")
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scratch() as keep:
+        rows = keep(settle(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")))
+        fps = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        member = components(links(fps, distance))
+        named = settle(fps.join(member.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "least"))
+        least = settle(named.groupBy("component").agg(F.min("least").alias("component_id")))
+        linked = settle(named.join(least, "component").select("fp", "component_id"))
+        classes = keep(settle(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))))
+    return rows.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Bands of the signature and bins of a band that make a candidate, and the least similarity.
 BANDS, ROWS, SIMILAR = 36, 7, 0.8
+#: Low-order bits of a bin that estimates compare.
+LOW = 4
+#: How far from SIMILAR an estimate must be to decide by itself: three standard errors. Nearer ones are decided by the texts.
+MARGIN = 3 * (SIMILAR * (1 - SIMILAR) / minhash.BINS) ** 0.5 / (1 - 2**-LOW)
 #: The band of texts without words, which have no bins.
 WORDLESS = BANDS
 
@@ -181,12 +184,42 @@ def band_keys(signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.repeat(full, BANDS), bare]), np.concatenate([key.ravel(), np.full(len(bare), WORDLESS << 8 * ROWS, dtype=np.int64)])
 
 
+#: The signature as columns: the LOW bits of its bins in words of 64 bits, 0 for texts without words, which `bare` marks.
+SIGNED = ["id", "bare", *[f"w{k}" for k in range(minhash.BINS * LOW // 64)]]
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         signed = [minhash.fingerprint(t or "") for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(signed, pa.binary())], names=["doc_id", "id", "signature"])
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        signed = b.column(1).to_pylist()
+        bins = np.frombuffer(b"".join(x or bytes(minhash.BINS) for x in signed), np.uint8).reshape(len(signed), -1)
+        low = (bins[:, ::2] << np.uint8(LOW)) | (bins[:, 1::2] & np.uint8((1 << LOW) - 1))  # two bins a byte
+        words = np.ascontiguousarray(low).view(np.int64)
+        bare = pa.array([int(not x) for x in signed], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), bare, *[pa.array(w) for w in np.ascontiguousarray(words.T)]], names=SIGNED)
+
+
+def differing(left, right) -> Column:
+    """The number of bins whose low bits differ; of a text without words only another such is a copy."""
+
+    def unlike(x: Column) -> Column:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(0x1111111111111111))
+
+    apart = sum((unlike(left(w).bitwiseXOR(right(w))) for w in SIGNED[2:]), F.lit(0))
+    return F.when(left("bare") != right("bare"), F.lit(minhash.BINS)).otherwise(apart).cast("int")
+
+
+def most_differing(similarity: float) -> int:
+    """The bins that differ at most where the estimated similarity is so high."""
+    return int(minhash.BINS * (1 - 2**-LOW) * (1 - similarity) + 1e-9)
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, signed = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
@@ -195,46 +228,83 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at : at + 2048][row])], names=["key", "id"])
 
 
+def similarity(a: str, b: str) -> float:
+    """Jaccard similarity of the texts' five-word shingles."""
+    x, y = (set(minhash.shingle_hashes(t).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    least = SIMILAR - (SIMILAR * (1 - SIMILAR) / minhash.BINS) ** 0.5  # less the estimate's standard error
     for b in batches:
-        ok = [minhash.likeness(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        ok = [similarity(x, y) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+def text_id() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def similar_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, id, component_id): classes of texts whose five-word shingles have a similarity of 0.8 or more.
 
-    Candidates share a band of their 256-bin MinHash signatures, whatever kind of edit sets them apart. They are
-    verified by the similarity that the whole signatures tell (standard error 0.025). Equal texts count once
-    (id: their 64-bit hash). Null texts are empty; empty texts are copies of each other.
+    Candidates share a band of their 256-bin MinHash signatures, whatever kind of edit sets them apart. The similarity that
+    the whole signatures tell decides where it is three standard errors (0.08) or more from 0.8; candidates nearer to it are
+    decided by the shingles of their texts. Equal texts count once (id: their 64-bit hash). Null texts are empty; empty texts
+    are copies of each other. component_id is the smallest doc_id of the class, null for a class without one.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), "text")
+    with scratch() as keep:
+        rows = keep(settle(_classes(docs)))
+    return rows
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", text_id().alias("id"), "text")
     rows = settle(rows.mapInArrow(_signatures, "doc_id long, id long, signature binary"))
     texts = settle(rows.groupBy("id").agg(F.first("signature").alias("signature"), F.min("doc_id").alias("least")))
-    x, y = (texts.select(F.col("id").alias(i), F.col("signature").alias(f"s{i}")) for i in "ab")
+    shared = buckets(texts.select("id", "signature").mapInArrow(_band_rows, "key long, id long"))
+    involved = settle(shared.select("id").distinct())
+    signed = texts.join(small(involved), "id", "left_semi").select("id", "signature")
+    loads = settle(signed.mapInArrow(_words, ", ".join(f"{c} long" for c in SIGNED)))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_similar, "a long, b long")
-
-    shared = buckets(texts.select("id", "signature").mapInArrow(_band_rows, "key long, id long"))
-    member = components(spanning_links(shared, verify))
-    named = settle(texts.select("id", "least").join(member.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class"), "least"))
+        pairs = settle(pairs)
+        sure = pairs.where(F.col("score") <= most_differing(SIMILAR + MARGIN)).select("a", "b")
+        close = pairs.where(F.col("score") > most_differing(SIMILAR + MARGIN))
+        wanted = settle(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        said = docs.select(text_id().alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(small(wanted), "id", "left_semi")
+        said = settle(said.groupBy("id").agg(F.first("text").alias("text")))
+        x, y = said.toDF("a", "x"), said.toDF("b", "y")
+        return sure.union(close.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
+
+    member = similar_classes(shared, loads, differing, most_differing(SIMILAR - MARGIN), verify)
+    named = settle(texts.select("id", "least").join(member, "id", "left").select("id", F.coalesce("class", "id").alias("class"), "least"))
     least = settle(named.groupBy("class").agg(F.min("least").alias("component_id")))
-    classes = settle(named.join(least, "class").select("id", "component_id"))
-    return rows.select("doc_id", "id").join(classes, "id").select("doc_id", "id", "component_id")
+    classes = settle(named.join(least, "class").select("id", "class", "component_id"))
+    return rows.select("doc_id", "id").join(classes, "id").select("doc_id", "id", "class", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id stands for their class of similar texts, in the columns given.
+    """One document of each class of similar texts, in the columns given: that of the smallest (doc_id, text hash).
 
-    A doc_id that repeats is one document and stays once. Rows without a doc_id can't be told apart by it: they stay.
+    Rows are told apart by doc_id and text, so a doc_id with two texts is two documents; of rows that are equal in both
+    one stays. Rows without a doc_id can't be told apart by it: they stay.
     """
-    found = similar_texts(docs)
-    at = fresh("_id", docs)
-    best = settle(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(at)).agg(F.count(F.lit(1)).alias("_n")))
-    kept = docs.join(best.select(at), F.col("doc_id") == F.col(at), "left_semi")
-    if not best.where("_n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    at, text = fresh("_id", docs), fresh("_said", docs)
+    bounded_batches(docs.sparkSession)
+    with scratch() as keep:
+        found = settle(_classes(docs))
+        found = found.where("doc_id is not null")
+        place = F.struct("doc_id", "id")
+        best = settle(found.groupBy("class").agg(F.min(place).alias("best")))
+        marked = settle(found.groupBy("doc_id", "id", "class").agg(F.count(F.lit(1)).alias("n")).join(best, "class"))
+        chosen = F.col("best") == place
+        named = [F.col("doc_id").alias(at), F.col("id").alias(text)]
+        gone = keep(settle(marked.where(~chosen).select(*named)))
+        twins = keep(settle(marked.where(chosen & (F.col("n") > 1)).select(*named)))
+    same = (F.col("doc_id") == F.col(at)) & (text_id() == F.col(text))
+    kept = docs.join(small(gone), same, "left_anti")
+    if twins.isEmpty():
+        return kept
+    once = kept.join(small(twins), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small(twins), same, "left_anti").unionByName(once)

@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from sigilo.llm import lines, minhash, simhash
+from sigilo.llm import common, lines, minhash, simhash
 from sigilo.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -175,12 +177,73 @@ def test_line_bands_meet_at_the_threshold():
         for at in rnd.sample(range(len(base)), len(base) * 23 // 1000):
             copy[at] = chr(rnd.randrange(65, 91))
         a, b = "".join(base), "".join(copy)
-        if 0.8 <= lines.jaccard(a, b) < 0.82:
+        if 0.8 <= lines.jaccard([a], [b])[0] < 0.82:
             pairs.append((a, b))
     x, y = (lines.band_keys([p[i] for p in pairs]) for i in (0, 1))
     assert (x == y).any(axis=1).mean() >= 0.985
 
 
+def test_sketches_never_rule_out_similar_lines(spark):
+    """Jaccard equals sets of shingles, and the score of similar lines is 0 at most, whatever their lengths."""
+    rnd, x, y = random.Random(14), [], []
+    while len(x) < 600:
+        base = [chr(rnd.randrange(97, 101 + len(x) % 20)) for _ in range(rnd.choice((1, 4, 5, 9, 60, 300, 4000)))]
+        copy = list(base)
+        for at in rnd.sample(range(len(base)), rnd.randint(0, max(1, len(base) // 30))):
+            copy[at] = rnd.choice("xyz")
+        x.append("".join(base))
+        y.append("".join(copy))
+    told = lines.jaccard(x, y)
+    sets = [[{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in p] for p in zip(x, y)]
+    assert all(abs(j - len(a & b) / len(a | b)) < 1e-12 for j, (a, b) in zip(told, sets))
+    (n, v), (m, w) = lines.sketches(x), lines.sketches(y)
+    apart = np.bitwise_count(v.view(np.uint64) ^ w.view(np.uint64)).sum(axis=1).astype(int)
+    similar = told >= 0.8
+    assert similar.sum() > 100 and (9 * apart - n - m <= 0)[similar].all() and (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))[similar].all()
+    assert (9 * apart - n - m > 0)[told < 0.5].mean() > 0.9
+    rows = [[0, int(n[k]), *v[k].tolist(), 1, int(m[k]), *w[k].tolist()] for k in range(600)]
+    df = spark.createDataFrame(rows, [f"{c}_{side}" for side in "ab" for c in lines.LOADS])
+    got = [r.s for r in df.select(lines.excess(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")).alias("s")).collect()]
+    assert [s <= 0 for s in got] == [5 * min(a, b) >= 4 * max(a, b) and 9 * d <= a + b for a, b, d in zip(n, m, apart)]
+
+
+@pytest.mark.parametrize("rounds", [0, 64])
+def test_families_of_lines_equal_brute_force(spark, monkeypatch, rounds):
+    """Large groups of edited lines, in one key for the most part, with and without rounds of drawn lines."""
+    monkeypatch.setattr(common, "ROUND_PAIRS", rounds)
+    rnd, texts = random.Random(15), set()
+    for family in range(3):
+        base = [rnd.choice("abcdefghij ") for _ in range(120)]
+        for _ in range(150):
+            copy = list(base)
+            for at in rnd.sample(range(120), rnd.randint(0, 6)):
+                copy[at] = rnd.choice("klmnop")
+            texts.add("".join(copy).strip())
+    texts = sorted(texts)
+    sets = {t: {t[i : i + 5] for i in range(len(t) - 4)} for t in texts}
+    pairs = [(a, b) for a, b in combinations(texts, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    keys = dict(zip(texts, lines.band_keys(texts)))
+    top = classes(texts, [p for p in pairs if (keys[p[0]] == keys[p[1]]).any()])
+    got = {}
+    for r in lines.line_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r["class"], set()).add(texts[r.doc_id])
+    want = {}
+    for t, c in top.items():
+        want.setdefault(c, set()).add(t)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 3 <= len(want) < len(texts)
+
+
+def test_no_line_is_lost_with_repeated_or_null_ids(spark):
+    rows = [(1, "A only line one\nB only line two"), (1, "C only line three\nA only line one"), (None, "D only line four\nA only line one"), (None, "E only line five\nD only line four"), (2, "F twice\nG twice"), (2, "F twice\nG twice"), (None, "F twice"), (3, None), (3, "")]
+    docs = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(rows)], "doc_id long, text string, _twin string, _id int")
+    out = lines.without_repeats(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    left = Counter(x for r in out.collect() for x in (r.text or "").split("\n") if x)
+    assert left == Counter({x for _, t in rows for x in (t or "").split("\n") if x})
+    told = sorted((str(r.doc_id), r.n_lines, r.n_kept) for r in lines.dedup(docs).where("doc_id = 2").collect())
+    assert told in ([("2", 2, 0), ("2", 2, 1)], [("2", 2, 0), ("2", 2, 2)])
+
+
 def test_fingerprints(spark, docs):
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "é😀 x"), (10_000, "tail words " * 20_000), (10_001, "dup"), (10_001, "dup")], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(odd)
@@ -197,3 +260,35 @@ def test_fingerprints(spark, docs):
             true = len(a & b) / len(a | b) if a | b else 1.0
             assert abs(told - true) < 0.17
     assert minhash.fingerprints(odd.where("false")).count() == 0 and minhash.fingerprints(odd.where("doc_id = -3")).first().near_next == 1.0
+
+
+def test_shared_keys(spark):
+    rnd = random.Random(16)
+    rows = [(rnd.randrange(60) if i % 3 else i + 100, rnd.randrange(5) if i % 2 else rnd.randrange(1000)) for i in range(900)]
+    ids = {k: {j for q, j in rows if q == k} for k, _ in rows}
+    got = common.buckets(spark.createDataFrame(rows, "key long, id long")).collect()
+    assert sorted(map(tuple, got)) == sorted((k, i, min(v)) for k, v in ids.items() if len(v) > 1 for i in v)
+    assert common.buckets(spark.createDataFrame([(1, 2), (1, 2)], "key long, id long")).count() == 0
+
+
+def test_keep_one_equals_brute_force(spark, docs):
+    """One document of each class by the exact similarity of five-word shingles, over whole tables."""
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rnd = random.Random(17)
+    for k, (_, t) in enumerate(rows[:40]):
+        words = (t or "").split()
+        if len(words) > 30:
+            rows.append((10_000 + k, " ".join(edited(rnd, words, KINDS[k % 5], 0.08))))
+    told = {}
+    for _, t in rows:
+        words = (t or "").lower().split()
+        told[t or ""] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    texts = sorted(told)
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)  # noqa: E731  two texts without words too
+    top = classes(texts, [(a, b) for a, b in combinations(texts, 2) if alike(told[a], told[b])])
+    least = {}
+    for d, t in rows:
+        least[top[t or ""]] = min(d, least.get(top[t or ""], d))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(table).collect()) == sorted(least.values())
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(table).collect()} == {d: least[top[t or ""]] for d, t in rows}
