@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, buckets, fresh, scratch, settle, similar_classes
+from .common import BROADCAST_ROWS, bounded_batches, buckets, fresh, scratch, settle, similar_classes, small
 
 #: Characters of a shingle, bins of the signature, bands of how many bins, least Jaccard similarity.
 CHARS, BANDS, ROWS, SIMILAR = 5, 16, 6, 0.8
@@ -263,13 +263,11 @@ def line_classes(docs: DataFrame) -> DataFrame:
         loads = settle(texts.mapInArrow(_sketches, ", ".join(f"{c} long" for c in LOADS)))
         x, y = texts.toDF("a", "x"), texts.toDF("b", "y")
         verify = lambda pairs: pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
-        member = similar_classes(shared, loads, excess, 0, verify).toDF("line", "component")
-
-        seen = settle(places.groupBy("line").agg(F.min(_place()).alias("first_place")))
-        named = settle(seen.join(member, "line", "left").select("line", F.coalesce("component", "line").alias("class"), "first_place"))
-        kept = settle(named.groupBy("class").agg(F.min("first_place").alias("kept")))
-        classes = keep(settle(named.join(kept, "class").select("line", "class", "kept")))
-    return places.join(classes, "line").select("doc_id", "said", "first", "line_no", "line", "class", _place().eqNullSafe(F.col("kept")).alias("keep"))
+        member = similar_classes(shared, loads, excess, 0, verify).where("class <> id").toDF("line", "component")
+        member = keep(settle(member))  # lines that have a smaller one in their class; all others are their class
+    named = places.join(small(member), "line", "left").withColumn("class", F.coalesce("component", "line"))
+    kept = named.groupBy("class").agg(F.min(_place()).alias("kept"))
+    return named.join(kept, "class").select("doc_id", "said", "first", "line_no", "line", "class", _place().eqNullSafe(F.col("kept")).alias("keep"))
 
 
 def _place() -> Column:
