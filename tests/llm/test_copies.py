@@ -292,3 +292,47 @@ def test_keep_one_equals_brute_force(spark, docs):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(table).collect()) == sorted(least.values())
     assert {r.doc_id: r.component_id for r in simhash.similar_texts(table).collect()} == {d: least[top[t or ""]] for d, t in rows}
+
+
+def plain_print(text):
+    """The fingerprint number by number: a hash of five-word shingles, the least in each bin, empty bins by their tries, low bytes."""
+    full = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    words = [xxhash.xxh64_intdigest(w) for w in text.lower().encode().split()]
+    if not words:
+        return ""
+    width, bins = min(5, len(words)), {}
+    for i in range(len(words) - width + 1):
+        h = 0
+        for w in words[i : i + width]:
+            h = (h * 0x9E3779B185EBCA87 + w) & full
+        h = mix(h)
+        bins[h >> 56] = min(h, bins.get(h >> 56, h))
+    out = []
+    for k in range(256):
+        at, tried = k, 0
+        while at not in bins and tried < 64:
+            at, tried = mix(tried * 256 + k + 0x9E3779B97F4A7C15 & full) % 256, tried + 1
+        if at not in bins:
+            at = next((b for b in sorted(bins) if b >= k), min(bins))
+        out.append(mix(bins[at]) & 255)
+    return bytes(out).hex()
+
+
+def test_fingerprints_equal_plain_ones_and_estimate_well(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").limit(80).collect()] + [(-1, "one two"), (-2, "Ä b c d e f g"), (-3, "")]
+    got = {r.doc_id: r for r in minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r.fingerprint for d, r in got.items()} == {d: plain_print(t or "") for d, t in rows}
+    rows.sort(key=lambda r: r[0])
+    errors = []
+    for k, (d, t) in enumerate(rows):
+        changed = t[: len(t) - len(t) // 2] + rows[(k + 1) % len(rows)][1][: len(t) // 2]
+        a, b = set(minhash.shingle_hashes(t).tolist()), set(minhash.shingle_hashes(changed).tolist())
+        if len(a | b) > 60:
+            errors.append(got[d].near_edited - len(a & b) / len(a | b))
+    assert len(errors) > 40 and np.abs(errors).max() < 0.125 and abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.035

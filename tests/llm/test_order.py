@@ -263,3 +263,20 @@ def test_shards_prune_by_metadata(spark):
     for column in ("lang", "source"):
         per = laid.groupBy(column).agg(F.countDistinct("shard").alias("n"), F.count(F.lit(1)).alias("rows")).where("rows >= 8").collect()
         assert sum(r.n for r in per) / len(per) <= 0.75 * 16
+
+
+def test_pipeline_stages_take_nulls_repeats_and_clashing_names(spark):
+    """Every stage keeps its columns and defines what becomes of odd rows."""
+    import corpus_pipeline
+
+    rows = [(None, None, None, None), (None, "no id here, some words of a text", "en", "src0"), (1, "", "en", "src0"), (2, "a short text", None, "src1"), (2, "a short text", None, "src1"), (2, "another text of the same id", "fr", None), (3, "long " * 30_000 + "end", "de", "new")]
+    names = ["_id", "_said", "_leaks", "_hits", "_text", "_toxicity", "_row", "rank", "stream", "mix_slot", "_k1", "_part"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *names) for r in rows], schema)
+    kept = {"toxicity": 7, "near copies": 6, "decontamination": 7, "mixing": 7, "sharding": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert sorted(c for c in out.columns if c not in ("shard", "slot")) == sorted(docs.columns)
+        got = out.collect()
+        assert len(got) == kept[name] and all(r["_id"] == "_id" and r["mix_slot"] == "mix_slot" for r in got)
+        assert {(r.doc_id, r.text) for r in got} <= {r[:2] for r in rows}
