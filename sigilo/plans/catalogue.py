@@ -681,8 +681,3 @@ def anonymise_emails_selected(spark, sf):
     f = detect.find_by_type(docs, "EMAIL").select(F.col("doc_id").alias("job_id"), F.col("ini").alias("seq"), "tipo", "valor", "ini", "fim")
     out = api.anonymise_selected(docs, f, review.select_all(f.select("job_id", "seq")), spark.createDataFrame([], "termo string, tipo string"))
     return out.join(f.select(F.col("job_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-
-@query()
-def pseudonymise_documents(spark, sf):
-    return api.anonymise(table(spark, sf, "documents"), "pseudonym")

@@ -152,30 +152,40 @@ def sql_pattern(java: str) -> str:
     return java.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
 
 
-PARTIES = f"""SELECT doc_id, CAST(place - 1 AS INTEGER) AS v_ini, CAST(place - 1 + length(valor) AS INTEGER) AS v_fim FROM (
+PARTIES = f"""SELECT doc_id, valor, CAST(place - 1 AS INTEGER) AS v_ini, CAST(place - 1 + length(valor) AS INTEGER) AS v_fim FROM (
  SELECT doc_id, valor, CASE WHEN strpos(text, valor) > 0 THEN strpos(text, valor) ELSE strpos(lower(text), lower(valor)) END AS place FROM (
   SELECT doc_id, text, trim(string_split_regex(x, '[,;]|\\be\\b|\\bqualificad')[1]) AS valor FROM (
    SELECT doc_id, text, unnest(list_concat({", ".join(f"regexp_extract_all(substr(text, 1, 3000), '{sql_pattern(p)}', 1)" for p in R.HEADER)})) AS x FROM documents))
  WHERE length(valor) > 3 AND upper(valor) NOT IN ('A', 'O', 'OS', 'AS')) WHERE place > 0"""
 
 
-@query(f"""WITH s AS (SELECT doc_id, v_ini AS ini, v_fim AS fim FROM ({every_rule_sql(False)}) UNION ALL SELECT * FROM ({PARTIES})),
+# All findings, and the merged places of a document; a place takes the type and value of its first finding.
+PLACES = f"""s AS (SELECT doc_id, CASE tipo WHEN 'PESSOA_CONTEXTO' THEN 'PESSOA' ELSE tipo END AS tipo, valor AS v, v_ini AS ini, v_fim AS fim FROM ({every_rule_sql(False)}) UNION ALL SELECT doc_id, 'PESSOA', valor, v_ini, v_fim FROM ({PARTIES})),
  p AS (SELECT *, max(fim) OVER (PARTITION BY doc_id ORDER BY ini, fim ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM s),
  q AS (SELECT *, sum(CASE WHEN ahead >= ini THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ini, fim ROWS UNBOUNDED PRECEDING) AS grp FROM p),
- m AS (SELECT doc_id, min(ini) AS ini, max(fim) AS fim FROM q GROUP BY doc_id, grp),
- c AS (SELECT m.doc_id, ini, fim, substr(text, coalesce(lag(fim) OVER (PARTITION BY m.doc_id ORDER BY ini), 0) + 1, ini - coalesce(lag(fim) OVER (PARTITION BY m.doc_id ORDER BY ini), 0)) || '{R.REDACTED}' AS piece FROM m JOIN documents USING (doc_id)),
+ m AS (SELECT doc_id, min(ini) AS ini, max(fim) AS fim, first(tipo ORDER BY ini, fim, tipo) AS tipo, first(v ORDER BY ini, fim, tipo) AS v FROM q GROUP BY doc_id, grp)"""
+
+
+def written_sql(put: str) -> str:
+    """Documents with `put`, of a merged place's columns, in the place of each."""
+    ahead = "coalesce(lag(fim) OVER (PARTITION BY m.doc_id ORDER BY ini), 0)"
+    return f"""WITH {PLACES}, c AS (SELECT m.doc_id, ini, fim, substr(text, {ahead} + 1, ini - {ahead}) || {put} AS piece FROM m JOIN documents USING (doc_id)),
  t AS (SELECT doc_id, string_agg(piece, '' ORDER BY ini) AS head, max(fim) AS last FROM c GROUP BY doc_id)
- SELECT d.doc_id, CASE WHEN t.doc_id IS NULL THEN text ELSE head || substr(text, last + 1) END AS texto FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""")
+ SELECT d.doc_id, CASE WHEN t.doc_id IS NULL THEN text ELSE head || substr(text, last + 1) END AS texto FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id"""
+
+
+@query(written_sql(f"'{R.REDACTED}'"))
 def anonymise_documents(spark, sf):
     """The header's parties and what any rule finds, redacted in every document."""
     return api.anonymise(table(spark, sf, "documents"))
 
 
-def stand_in_sql(tipo: str) -> str:
+def stand_in_sql(tipo: str, seed: str = "'j'") -> str:
     """SQL for the stand-in of a type, from the same stream of SHA-256."""
-    pick = lambda words, i: f"{words_sql(words)}[{stream_sql(i, len(words))} + 1]"
-    number = lambda i, low, high: f"CAST({stream_sql(i, high - low + 1)} + {low} AS VARCHAR)"
-    digit = lambda i: f"CAST({stream_sql(i, 10)} AS VARCHAR)"
+    stream = lambda i, n: stream_sql(i, n, seed=seed)
+    pick = lambda words, i: f"{words_sql(words)}[{stream(i, len(words))} + 1]"
+    number = lambda i, low, high: f"CAST({stream(i, high - low + 1)} + {low} AS VARCHAR)"
+    digit = lambda i: f"CAST({stream(i, 10)} AS VARCHAR)"
     run = lambda n: "(" + " || ".join(digit(i) for i in range(n)) + ")"
     plain = lambda x: f"translate(lower({x}), 'áàãâéêíóõôúüç', 'aaaaeeiooouuc')"
 
@@ -196,7 +206,7 @@ def stand_in_sql(tipo: str) -> str:
     if tipo == "ENDERECO":
         return f"{pick(transform.STREETS, 0)} || ' ' || {pick(transform.STREET_NAMES, 1)} || ', ' || {number(2, 1, 9999)}"
     if tipo == "DATA_NASCIMENTO":
-        day = f"(DATE '1950-01-01' + CAST({stream_sql(0, 22280)} AS INTEGER))"
+        day = f"(DATE '1950-01-01' + CAST({stream(0, 22280)} AS INTEGER))"
         return f"CASE WHEN contains(v, '-') THEN strftime({day}, '%Y-%m-%d') ELSE strftime({day}, '%d/%m/%Y') END"
     if tipo == "OAB":
         return f"'OAB/' || {pick(transform.STATES, 0)} || ' ' || {number(1, 10000, 999999)}"
@@ -205,7 +215,7 @@ def stand_in_sql(tipo: str) -> str:
         return f"{council} || '/' || {pick(transform.STATES, 0)} || ' ' || {number(1, 10000, 999999)}"
     if tipo not in transform.SHAPES:
         return f"'[{tipo}_ANON]'"
-    put = {"#": digit, "@": lambda i: f"substr('{transform.LETTERS}', {stream_sql(i, len(transform.LETTERS))} + 1, 1)", "%": lambda i: f"substr('0123456789abcdef', {stream_sql(i, 16)} + 1, 1)"}
+    put = {"#": digit, "@": lambda i: f"substr('{transform.LETTERS}', {stream(i, len(transform.LETTERS))} + 1, 1)", "%": lambda i: f"substr('0123456789abcdef', {stream(i, 16)} + 1, 1)"}
     return " || ".join(put[c](i) if c in put else f"'{c}'" for i, c in enumerate(transform.SHAPES[tipo]))
 
 
@@ -219,3 +229,9 @@ def pseudonym_all_types(spark, sf):
     kinds = F.array(*[F.lit(t) for t in R.ENTITY_TYPES])
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.element_at(kinds, (F.col("c_custkey") % len(R.ENTITY_TYPES) + 1).cast("int")).alias("tipo"), F.expr(VALUE.replace("VARCHAR", "STRING")).alias("v"))
     return c.select("k", "tipo", transform.pseudonym(F.lit("j"), F.col("tipo"), F.col("v")).alias("falso"))
+
+
+@query(written_sql("CASE tipo " + " ".join(f"WHEN '{t}' THEN {stand_in_sql(t, 'CAST(m.doc_id AS VARCHAR)')}" for t in R.ENTITY_TYPES) + " END"))
+def pseudonymise_documents(spark, sf):
+    """The same places, with stand-ins drawn from the document's id."""
+    return api.anonymise(table(spark, sf, "documents"), "pseudonym")
