@@ -74,4 +74,20 @@ y AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY
 SELECT conv_id, CAST(part AS INTEGER) AS part, perspective, CAST(count(*) AS INTEGER) AS n_turns, CAST(count(*) FILTER (WHERE own) AS INTEGER) AS n_trained,
   string_agg(head || body || chr(10), '' ORDER BY k) AS rendered, coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) AS BIGINT) || ';', '' ORDER BY k) FILTER (WHERE own), '') AS loss_spans
 FROM y GROUP BY conv_id, part, perspective""",
+    # The mix by simulation, slot after slot of every round. doc_id is unique, so no tie is left to a hash of the row.
+    "op7_pfair_mix": f"""
+WITH RECURSIVE q AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in {**QUOTAS, mixing.OTHER: 1}.items())}) v(stream, quota)),
+r AS (SELECT doc_id, source, lang, n_chars, q.stream, quota, row_number() OVER (PARTITION BY q.stream ORDER BY doc_id NULLS FIRST) - 1 AS place
+  FROM documents d JOIN q ON q.stream = CASE WHEN source IN ({", ".join(f"'{k}'" for k in QUOTAS)}) THEN source ELSE '{mixing.OTHER}' END),
+n AS (SELECT stream, quota, max(place // 16) + 1 AS blocks FROM r GROUP BY stream, quota),
+c AS (SELECT round, list(stream ORDER BY stream) AS names, list(greatest(0, least(quota, blocks - round * quota)) ORDER BY stream) AS counts, CAST(sum(greatest(0, least(quota, blocks - round * quota))) AS BIGINT) AS width
+  FROM (SELECT unnest(range(0, (SELECT max((blocks + quota - 1) // quota) FROM n))) AS round), n GROUP BY round),
+e AS (SELECT round, names, counts, width, CAST(0 AS BIGINT) AS slot, list_transform(counts, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick FROM c
+  UNION ALL SELECT round, names, counts, width, slot + 1, list_transform(range(1, len(counts) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT *, list_min(list_filter(list_transform(range(1, len(counts) + 1), lambda i: CASE WHEN done[i] < counts[i] AND done[i] * width // counts[i] <= slot THEN ((done[i] + 1) * width + counts[i] - 1) // counts[i] * 1000 + i END), lambda x: x IS NOT NULL)) % 1000 AS p
+    FROM e WHERE slot < width)),
+s AS (SELECT round, names[pick] AS stream, done[pick] - 1 AS k, slot - 1 AS slot FROM e WHERE slot > 0),
+b AS (SELECT round, coalesce(sum(width) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM c)
+SELECT doc_id, source, lang, n_chars, r.stream, place // 16 AS block, CAST(base + slot AS BIGINT) AS mix_slot, CAST(place % 16 AS INTEGER) AS mix_offset
+FROM r JOIN s ON r.stream = s.stream AND place // 16 // quota = s.round AND place // 16 % quota = k JOIN b ON b.round = s.round""",
 }

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import duckdb
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -140,13 +141,16 @@ def test_pipeline_stages(spark):
     assert QUOTAS
 
 
-def test_chat_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    c.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
-    out = c.execute(SQL["op1_chat_rotation"])
+    for t in ("conversations", "documents"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    out = c.execute(SQL[name])
     names = [d[0] for d in out.description]
-    got = QUERIES["op1_chat_rotation"](spark, SF).select(*names).collect()
-    assert sorted(map(tuple, got)) == sorted(out.fetchall())
+    got = QUERIES[name](spark, SF)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, out.fetchall()))
 
 
 def plain_mix(rows, quotas, size):
