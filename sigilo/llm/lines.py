@@ -256,7 +256,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
         shared = buckets(docs.select("text").mapInArrow(_keys, "key long, id long"))
         involved = settle(shared.select(F.col("id").alias("line")).distinct())
         few = involved.count() <= BROADCAST_ROWS  # ids that are broadcast; more are joined
-        ids = spark.sparkContext.broadcast({r["line"] % 2**64 for r in involved.collect()}) if few else None
+        ids = spark.sparkContext.broadcast(set(involved.toArrow().column("line").to_numpy().view(np.uint64).tolist())) if few else None
         words = docs.select("text").mapInArrow(_wanted(ids), "line long, words string")
         words = words if few else words.join(involved, "line", "left_semi")
         texts = settle(words.groupBy("line").agg(F.first("words").alias("words")))
