@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, language, lines, minhash, mixing, sharding, simhash, toxicity
+from . import bpe, chat, decontaminate, html_text, language, lines, minhash, mixing, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,17 @@ def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), QUOTAS)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op3_language_fusion, op4_fuzzy_lines, op5_minhash_fingerprints, op6_toxicity_deobfuscated, op7_pfair_mix, op8_hilbert_shards, op9_bm25_decontamination, op10_html_text_density)}
+#: The rank file and its pattern, parameters of the operator.
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN, ["doc_id"])
+    text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2(bpe.decode("ids", RANKS), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_simhash_golay, op3_language_fusion, op4_fuzzy_lines, op5_minhash_fingerprints, op6_toxicity_deobfuscated, op7_pfair_mix, op8_hilbert_shards, op9_bm25_decontamination, op10_html_text_density, op11_byte_bpe)}
 SQL: dict[str, str] = {
     "op1_chat_rotation": """
 WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' WHEN role = 'unknown' THEN '%75nknown' WHEN lower(trim(role)) = 'system' THEN 'system'
