@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh
 
-#: The rank of what is no token.
-NONE = (1 << 31) - 1
 #: Places of the literal rank map; a token lies at the checksum of its bytes.
 PLACES = 1 << 16
 #: Bytes of a word that the fold takes, which is quadratic; longer ones are merged by a heap.
 LONG = 64
+#: Bits below a rank in the map, for the place of the pair that has it.
+LOW = 7
 #: Words that a task numbers before it begins anew.
 REMEMBERED = 1_000_000
 
@@ -103,48 +103,37 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def _rank_map(path: str) -> str:
     places: list[list[dict]] = [[] for _ in range(PLACES)]
     for rank, token in enumerate(ranks_of(path)):
-        places[zlib.crc32(token) % PLACES].append({"b": base64.b64encode(token).decode(), "r": rank})
+        places[zlib.crc32(token) % PLACES].append({"b": base64.b64encode(token).decode(), "r": rank << LOW})
     return json.dumps(places)
 
 
 def rank_map(path: str) -> Column:
     """The literal rank map: tokens and ranks at the checksums of their bytes. As large as the vocabulary."""
-    return F.from_json(F.lit(_rank_map(path)), "array<array<struct<b:binary,r:int>>>")
+    return F.from_json(F.lit(_rank_map(path)), "array<array<struct<b:binary,r:bigint>>>")
 
 
 def rank(table: Column, token: Column) -> Column:
+    """The shifted rank of a token's bytes; null for what is no token."""
     place = F.crc32(token).bitwiseAND(PLACES - 1).cast("int")
-    return F.coalesce(F.get(F.filter(F.get(table, place), lambda e: e["b"] == token), 0)["r"], F.lit(NONE))
+    return F.get(F.filter(F.get(table, place), lambda e: e["b"] == token), 0)["r"]
 
 
 def merged(table: Column, word: Column) -> Column:
     """The ranks of a word's tokens: a fold that joins, step by step, the two neighbours whose bytes have the lowest rank, the first on ties.
 
-    The state is where the parts start (with the end, and a stand-in at both sides) and the rank of each part with its right neighbour.
+    The state is where the parts start, and the end. A pair's rank and start in one number make the least of all the pair that is next.
     """
     n = F.length(word)
-    between = lambda a, b: F.substring(word, a, b - a)
-    starts = F.concat(F.array(F.lit(None).cast("int")), F.sequence(F.lit(1), n + 1), F.array(F.lit(None).cast("int")))
-    # ranks[k] (from 0) is that of the parts that start at starts[k] and starts[k + 1].
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda k: rank(table, F.substring(word, k, F.lit(2))))
-    ranks = F.concat(F.array(F.lit(NONE)), pairs, F.array(F.lit(NONE)))
-
-    def joined(state: Column) -> Column:
-        s, r = state["s"], state["r"]
-
-        def at(i: Column) -> Column:  # the pair's place, from 1: parts s[i - 1] and s[i], up to s[i + 1]
-            left = rank(table, between(F.get(s, i - 2), F.get(s, i + 1)))
-            right = rank(table, between(F.get(s, i - 1), F.get(s, i + 2)))
-            kept = F.concat(F.slice(r, 1, i - 2), F.array(left, right), F.slice(r, i + 2, LONG))
-            return F.struct(F.array_remove(s, F.get(s, i)).alias("s"), kept.alias("r"), F.array_min(kept).alias("least"))
-
-        return bound(F.array_position(r, state["least"]).cast("int"), at)
-
-    begin = F.struct(starts.alias("s"), ranks.alias("r"), F.array_min(ranks).alias("least"))
-    steps = F.sequence(F.lit(2), n)
-    cut = F.aggregate(steps, begin, lambda state, _: F.when(state["least"] == NONE, state).otherwise(joined(state)), lambda state: state["s"])
-    inner = bound(cut, lambda s: F.transform(F.sequence(F.lit(1), F.size(s) - 3), lambda k: rank(table, between(F.get(s, k), F.get(s, k + 1)))))
-    return F.when(n > 1, inner).otherwise(F.array(rank(table, word)))
+    of = lambda a, b: rank(table, F.substring(word, a, b - a))
+
+    def joined(starts: Column, _: Column) -> Column:
+        pairs = F.zip_with(starts, F.slice(starts, 3, LONG), lambda a, b: of(a, b) + a)
+        second = lambda first: F.get(starts, F.array_position(starts, first).cast("int"))
+        return bound(F.array_min(pairs), lambda best: F.when(best.isNull(), starts).otherwise(F.array_remove(starts, second(best.bitwiseAND((1 << LOW) - 1).cast("int")))))
+
+    cut = F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(1), n + 1), joined)
+    tokens = lambda starts: F.zip_with(F.slice(starts, 1, F.size(starts) - 1), F.slice(starts, 2, LONG), lambda a, b: F.shiftright(of(a, b), LOW).cast("int"))
+    return bound(cut, tokens)
 
 
 def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
