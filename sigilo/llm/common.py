@@ -184,12 +184,13 @@ def buckets(keys: DataFrame) -> DataFrame:
     """(key, id, pivot) of every id in a key that several ids share, each once, from (key, id), in which rows may repeat;
     pivot is the key's smallest id.
 
-    The rows are dealt once. The keys' smallest and largest ids, an aggregate that spills, tell which keys are shared, and
-    meet the rows where they lie. No key is held, and most keys, those of one id, go no further.
+    The rows are dealt once and sorted, which spills; the least and the largest id of a key meet its rows as they go by. What a key has is
+    kept in Spark's spilling buffer, no hash table holds any, and most keys, those of one id, go no further.
     """
-    dealt = keys.select("key", "id").repartition(spread(keys.sparkSession), "key")
-    ends = dealt.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot < _last").select("key", "pivot")
-    return settle(dealt.join(ends.hint("shuffle_hash"), "key").select("key", "id", "pivot").distinct())
+    w = Window.partitionBy("key").orderBy("id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = keys.select("key", "id", F.first("id").over(whole).alias("pivot"), F.last("id").over(whole).alias("_last"), F.lag("id").over(w).alias("_before"))
+    return settle(ends.where((F.col("pivot") < F.col("_last")) & ~F.col("id").eqNullSafe(F.col("_before"))).select("key", "id", "pivot"))
 
 
 #: Pairs that a join scores in about the time that a round takes for a row.

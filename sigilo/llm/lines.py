@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,17 +168,23 @@ def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
                     yield i, line
 
 
-def _wanted(ids):
-    """(line, words) of the lines of texts; of those in a broadcast set only, if there is one."""
+def _wanted(ids: Broadcast | None):
+    """(line, words) of the lines of texts; of those in a broadcast sorted array only, if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: dict[int, str] = {}
             for text in b.column(0).to_pylist():
-                for _, line in cut(text):
-                    i = line_id(line)
-                    if ids is None or i in ids.value:
-                        found[i] = line
+                said = [line for _, line in cut(text)]
+                here = np.fromiter(map(line_id, said), np.uint64, len(said))
+                if ids is not None and len(ids.value):
+                    known = ids.value
+                    at = np.minimum(np.searchsorted(known, here), len(known) - 1)
+                    chosen = np.flatnonzero(known[at] == here)
+                else:
+                    chosen = range(len(said) if ids is None else 0)
+                for k in chosen:
+                    found[int(here[k])] = said[k]
             yield pa.RecordBatch.from_arrays([signed(list(found)), pa.array(found.values(), pa.string())], names=["line", "words"])
 
     return run
@@ -256,7 +263,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
         shared = buckets(docs.select("text").mapInArrow(_keys, "key long, id long"))
         involved = settle(shared.select(F.col("id").alias("line")).distinct())
         few = involved.count() <= BROADCAST_ROWS  # ids that are broadcast; more are joined
-        ids = spark.sparkContext.broadcast(set(involved.toArrow().column("line").to_numpy().view(np.uint64).tolist())) if few else None
+        ids = spark.sparkContext.broadcast(np.sort(involved.toArrow().column("line").to_numpy().view(np.uint64))) if few else None
         words = docs.select("text").mapInArrow(_wanted(ids), "line long, words string")
         words = words if few else words.join(involved, "line", "left_semi")
         texts = settle(words.groupBy("line").agg(F.first("words").alias("words")))
@@ -302,6 +309,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     out = docs.withColumn(given, F.xxhash64("doc_id", F.col("doc_id").isNull(), F.xxhash64("text")))
     out = out.withColumn(twin, F.row_number().over(Window.partitionBy(given).orderBy(F.lit(0))) - 1)
     out = out.join(gone, [given, twin], "left")
-    numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    left = F.transform(F.filter(numbered, lambda x: ~F.array_contains(drop, x["i"])), lambda x: x["line"])
+    lines = F.split("text", "\n", -1)
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)  # by a hash set, in order
+    left = F.element_at(F.transform(F.array(lines), lambda all_: F.transform(numbers, lambda i: F.get(all_, i))), 1)
     return out.withColumn("text", F.when(F.col(drop).isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))).select(*docs.columns)

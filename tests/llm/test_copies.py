@@ -336,3 +336,28 @@ def test_fingerprints_equal_plain_ones_and_estimate_well(spark, docs):
         if len(a | b) > 60:
             errors.append(got[d].near_edited - len(a & b) / len(a | b))
     assert len(errors) > 40 and np.abs(errors).max() < 0.125 and abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.035
+
+
+def test_taking_lines_out_is_linear(spark, monkeypatch):
+    """A text of very many lines that go: their numbers are looked up, not searched."""
+    import time
+
+    n = 400_000
+    df = spark.createDataFrame([(1, "\n".join(map(str, range(n)))), (2, "another")], "doc_id long, text string")
+    gone = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.sequence(F.lit(1), F.lit(n - 1), F.lit(2)).alias("dropped"), F.lit(0).cast("long").alias("twin"))
+    gone = gone.join(df.select("doc_id", F.xxhash64("text").alias("said")), "doc_id")
+    monkeypatch.setattr(lines, "dedup", lambda docs: gone)
+    began = time.time()
+    left = {r.doc_id: r.text for r in lines.without_repeats(df).collect()}
+    assert left == {1: "\n".join(map(str, range(0, n, 2))), 2: "another"} and time.time() - began < 60
+
+
+def test_keys_of_several_ids(spark):
+    from sigilo.llm.common import buckets
+
+    rows = [(k, i) for k in range(50) for i in {(k * 7 + j) % 31 for j in range(k % 4 + 1)} for _ in range(1 + i % 2)]
+    got = sorted(map(tuple, buckets(spark.createDataFrame(rows, "key long, id long").repartition(3)).select("key", "id", "pivot").collect()))
+    ids = {}
+    for k, i in rows:
+        ids.setdefault(k, set()).add(i)
+    assert got == sorted((k, i, min(v)) for k, v in ids.items() if len(v) > 1 for i in v)
