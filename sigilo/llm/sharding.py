@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, scratch, settle, spread, with_rank
 
 
+#: The largest group of equal texts that is never cut, as a share of a shard.
+WHOLE = 0.25
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once: an expression tree would repeat it at each mention."""
     return F.transform(F.array(value), body)[0]
@@ -66,8 +71,9 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = 6) -> DataFrame:
 
     Dimensions of the curve: language, source and the logarithm of the size. Copies of a text count as one
     group with the smallest language and source among them, so they lie together on the curve. Runs are cut
-    where the bytes ahead of a row pass a multiple of total/shards; a group no larger than the largest row goes
-    whole to the shard of its middle. So no cut is off by more than half the largest row.
+    where the bytes ahead of a row pass a multiple of total/shards; a group of at most WHOLE of a shard's bytes, or of
+    the largest row's, goes whole to the shard of its middle. So no cut is off by more than half of that. Larger groups are cut like other rows: kept whole,
+    they would make shards of very different sizes.
 
     Null text: size 1, CRC of the empty text, its own group. Null doc_id, lang, source: as values of their own.
     Repeated rows each get a slot. An empty table gives none. Extra columns are not looked at.
@@ -79,11 +85,11 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = 6) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", "g1", "g2", "none")
 
 
-def _slim(docs: DataFrame, bits: int) -> DataFrame:
+def _slim(docs: DataFrame, bits: int, more: list[str]) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col("text")).alias("g1"), F.xxhash64(F.lit(7), F.col("text")).alias("g2"), F.col("text").isNull().alias("none"),
+        F.xxhash64(F.col("text")).alias("g1"), F.xxhash64(F.lit(7), F.col("text")).alias("g2"), F.col("text").isNull().alias("none"), *more,
     )
     rows = settle(rows)
     groups = settle(rows.groupBy("g1", "g2", "none").agg(F.min("lang").alias("_lang"), F.min("source").alias("_source"), F.count(F.lit(1)).alias("copies")))
@@ -92,14 +98,14 @@ def _slim(docs: DataFrame, bits: int) -> DataFrame:
     return joined.withColumn("curve", hilbert_index([quantised("_lang", bits), quantised("_source", bits), width], bits))
 
 
-def _placed(docs: DataFrame, shards: int, bits: int) -> tuple[DataFrame, int, DataFrame]:
+def _placed(docs: DataFrame, shards: int, bits: int, more: list[str] = ()) -> tuple[DataFrame, int, DataFrame]:
     """The slim rows with rank, before (bytes ahead) and, for rows of a group that isn't cut, first and held (its bytes);
     the sum of all sizes; and (shard, start): the smallest rank of each shard."""
     order = [F.col("curve"), F.col("g1"), F.col("g2"), F.col("none"), F.col("doc_id")]
-    placed = settle(with_rank(_slim(docs, bits), [], order, size="size"))
+    placed = settle(with_rank(_slim(docs, bits, list(more)), [], order, size="size"))
     total, most = placed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
     group = placed.where("copies > 1").groupBy("g1", "g2", "none").agg(F.min("before").alias("first"), F.sum("size").alias("held"))
-    at = settle(placed.join(settle(group.where(F.col("held") <= most)), ["g1", "g2", "none"], "left"))
+    at = settle(placed.join(settle(group.where(F.col("held") <= max(most, WHOLE * total / shards))), ["g1", "g2", "none"], "left"))
     starts = at.groupBy(_shard(F.col("before"), shards, total).alias("shard")).agg(F.min("rank").alias("start"))
     return at, total, settle(starts, 1)  # a row for each shard
 
@@ -140,3 +146,36 @@ def laid_out(docs: DataFrame, shards: int = 16, bits: int = 6) -> DataFrame:
     own = own.withColumn(part, F.least(F.lit(parts - 1), F.floor(F.col(before) * parts / max(total, 1))).cast("int"))
     own = own.withColumn("slot", F.col(rank) - F.col("start")).repartitionById(parts, part).sortWithinPartitions("shard", "slot")
     return own.select("_row.*", "shard", "slot")
+
+
+def file_order(docs: DataFrame) -> list[Column]:
+    """Where the rows of a table read from files lie, in the order they were written: file, then row. Nothing for other tables."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return []
+    name = F.col("_metadata.file_name")
+    return [F.regexp_extract(name, r"part-(\d+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]
+
+
+def laid_out_in(docs: DataFrame, order: list[Column], shards: int = 16, bits: int = 6) -> DataFrame:
+    """docs with shard as in `laid_out`, and slot by another order, such as that of a mix: the curve tells which rows share a shard, and
+    the order how they lie in it. `order` must tell all rows apart, as `file_order` does. Columns named shard and slot are replaced.
+
+    Slim rows are ranked, first along the curve, then in the order within their shards, both by ranges; whole rows move twice.
+    """
+    parts = spread(docs.sparkSession)
+    kept = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
+    at_ = [fresh(f"_at{i}", kept) for i in range(len(order))]
+    keyed = docs.select(*kept.columns, *[o.alias(c) for o, c in zip(order, at_)])
+    with scratch() as keep:
+        at, total, _ = _placed(keyed, shards, bits, at_)
+        at = at.select(*at_, "size", _shard(F.col("before"), shards, total).alias("_shard"))
+        places = with_rank(at, ["_shard"], [F.col(c) for c in at_], size="size")
+        here = (F.col("_shard") * total / shards + F.col("before")) * parts / max(total, 1)
+        part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(here))).cast("int")
+        places = keep(settle(places.select(*at_, F.struct("_shard", F.col("rank").alias("_slot"), part.alias("_part")).alias("_place"))))
+    same = [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(at_)]
+    own = keyed.select(F.struct(*kept.columns).alias("_row"), *at_).join(places.toDF(*[f"_of{i}" for i in range(len(at_))], "_place"), same)
+    own = own.select("_row", F.col("_place._shard").alias("shard"), F.col("_place._slot").alias("slot"), F.col("_place._part").alias("_part"))
+    return own.repartitionById(parts, "_part").sortWithinPartitions("shard", "slot").select("_row.*", "shard", "slot")

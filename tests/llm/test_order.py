@@ -284,3 +284,45 @@ def test_pipeline_stages_take_nulls_repeats_and_clashing_names(spark):
         got = out.collect()
         assert len(got) == kept[name] and all(r["_id"] == "_id" and r["mix_slot"] == "mix_slot" for r in got)
         assert {(r.doc_id, r.text) for r in got} <= {r[:2] for r in rows}
+
+
+def test_the_mix_survives_sharding(spark):
+    """Within each shard the slots go by the mix; without the stage of mixing they don't, and shards are the same."""
+    from corpus_pipeline import mixed, sharded
+    from sigilo.llm.common import settle
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain, inside = settle(docs.repartition(3, "doc_id")), settle(mixed(spark, docs, SF))
+    slots = {}
+    for name, given in (("mixed", inside), ("plain", plain)):
+        rows = sharded(spark, given, SF).collect()
+        assert len(rows) == docs.count()
+        for k in range(16):
+            assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+        slots[name] = {r.doc_id: (r.shard, r.slot) for r in rows}
+    place = {r.doc_id: (r.mix_slot, r.mix_offset) for r in mixing.mix(docs, QUOTAS).collect()}
+    for k in range(16):
+        own = [d for d, (shard, _) in slots["mixed"].items() if shard == k]
+        assert sorted(own, key=lambda d: slots["mixed"][d][1]) == sorted(own, key=place.get)
+    assert {d: s for d, (s, _) in slots["mixed"].items()} == {d: s for d, (s, _) in slots["plain"].items()}
+    assert sum(slots["mixed"][d] != slots["plain"][d] for d in place) > len(place) / 2
+
+
+def test_rows_without_files_go_by_the_curve(spark):
+    from corpus_pipeline import sharded
+
+    df = spark.createDataFrame([(i, f"t{i}", "en", "s", 2) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sharding.file_order(df) == [] and sharded(spark, df, SF).count() == 40
+
+
+def test_groups_of_equal_texts_lie_in_one_shard(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the text of the group "), F.floor(F.col("id") / 30)).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    rows = sharding.shard(df).collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.text_crc32, set()).add(r.shard)
+    assert len(of) == 200 and all(len(v) == 1 for v in of.values())
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 30 * max(r.size for r in rows)
