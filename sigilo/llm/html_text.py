@@ -18,7 +18,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Elements that show no text of the page, and the controls of forms: they go with all they hold, wherever they are.
 UNSEEN = frozenset("script style noscript template iframe object embed audio video head title button select option input textarea label legend map noembed noframes xmp datalist".split())
-#: Elements that are boilerplate by what their names mean. Like boxes with such a class or id they go unless they hold the bulk of the text.
+#: Elements whose density is discounted for what their names mean, like that of boxes with such a class or id, unless they hold the bulk of the text.
 NAMED = frozenset("nav footer header aside form fieldset dialog menu search".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -47,7 +47,13 @@ BOILERPLATE = re.compile(
     r"copyright|legal|disclaimer|toolbar|skip|hidden|tags)(?=$|[\s_-]|\d)",
     re.I,
 )
+#: Names of the parts of an article, which are no boilerplate though a word in them may be.
+PARTS = re.compile(r"(?<![a-z])(?:post|article|entry|story|content|main|page-title|chapter|section)[-_]?(?:header|head|footer|menu-?item|title|notice|legal)(?![a-z])", re.I)
 HEADING = re.compile("h[1-6]")
+#: What is left of the density of a box that boilerplate is likely in.
+PRIOR = 1 / 64
+#: Elements that hold blocks. A name tells something about boxes only, not about a paragraph or a phrase.
+BOXES = frozenset("address aside blockquote center details dialog dir div dl fieldset figure footer form header hgroup main menu nav ol search section table tbody td tr ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -59,11 +65,11 @@ class Node:
     open: the bits of the elements around it, itself included, that a tag inside could close.
     """
 
-    __slots__ = ("tag", "named", "dropped", "items", "parent", "open", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "named", "prior", "dropped", "items", "parent", "open", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
     def __init__(self, tag: str, parent: Node | None, named: str):
         self.tag, self.parent, self.named, self.items = tag, parent, named, []
-        self.dropped = False
+        self.dropped, self.prior = False, 1.0
         self.open = ((parent.open if parent else 0) & ~HIDES.get(tag, 0)) | BIT.get(tag, 0)
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -86,7 +92,7 @@ def boilerplate(tag: str, attributes: str, inside_main: bool) -> str:
             return "always"
         if name == "role" and value.lower() in ROLES:
             found = "unless bulk"
-        if name in ("class", "id") and tag not in ("article", "main") and BOILERPLATE.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
+        if name in ("class", "id") and tag in BOXES and BOILERPLATE.search(PARTS.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))):
             found = "unless bulk"
     return found
 
@@ -148,9 +154,8 @@ def parse(page: str) -> Node:
 
 
 def drop(root: Node) -> None:
-    """Marks what is left out before densities are taken. A box that is boilerplate by a name stays if it holds more than half of the
-    page's text outside of links and, on a page with a marked article or main part, holds one or lies in one. What it holds is
-    judged likewise, so a form loses its controls only. Names so decide about small boxes; which part is the article, densities tell."""
+    """Marks what the page doesn't show, which is left out before densities are taken, and sets the priors of named boxes. A box has none
+    if it holds more than half of the page's text outside of links and, on a page with a marked article or main part, holds one or lies in one."""
     order, stack, said, marked = [], [root], {}, set()
     while stack:
         node = stack.pop()
@@ -168,12 +173,13 @@ def drop(root: Node) -> None:
         for x in node.items:
             if isinstance(x, Node):
                 bulk = 2 * said.get(x, 0) > said[root] and (free or x in marked)
-                x.dropped = node.dropped or x.named == "always" or x.named == "unless bulk" and not bulk
+                x.dropped = node.dropped or x.named == "always"
+                x.prior = PRIOR if x.named == "unless bulk" and not bulk else 1.0
                 stack.append((x, free))
 
 
 def measure(root: Node) -> None:
-    """Sums, densities and the best subtree of each node, from the leaves up; without recursion, for deep pages."""
+    """Sums, densities (with the priors of named boxes) and the best subtree of each node, from the leaves up; without recursion, for deep pages."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -198,7 +204,7 @@ def measure(root: Node) -> None:
             tags, links = max(node.tags, 1), max(node.link_tags, 1)
             base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
             ahead = c / max(lc, 1) * tags / links
-            node.density = c / tags * max(math.log(max(ahead, 1.0)), 0.0) / base if ahead > 1 else 0.0
+            node.density = node.prior * c / tags * math.log(ahead) / base if ahead > 1 else 0.0
         parts = [x for x in node.items if isinstance(x, Node) and not x.dropped and x.tag in BLOCKS]
         node.total = sum(x.density for x in parts) if parts else node.density
         for x in parts:
@@ -208,8 +214,8 @@ def measure(root: Node) -> None:
 
 def chosen(root: Node) -> list[Node]:
     """Subtrees of the article in page order: where the sum of child densities is largest, within every branch that is
-    at least as dense as the thinnest node on the way from the page's best subtree up to the body. Blocks in them that are
-    mostly links and thinner than that go."""
+    at least as dense as the thinnest node on the way from the page's best subtree up to the body. In them, boxes thinner than
+    that go which are mostly links or have a prior against them."""
     node, threshold = root.best, math.inf
     while node is not None:
         threshold = min(threshold, node.density)
@@ -228,7 +234,7 @@ def chosen(root: Node) -> list[Node]:
         node = stack.pop()
         for x in node.items:
             if isinstance(x, Node) and not x.dropped and x.tag in BLOCKS and not HEADING.fullmatch(x.tag):
-                if x.link_tags > 1 and x.density < threshold and 2 * x.link_chars > x.chars:
+                if x.density < threshold and (x.prior < 1 or x.link_tags > 1 and 2 * x.link_chars > x.chars):
                     x.dropped = True
                 else:
                     stack.append(x)

@@ -1,5 +1,6 @@
 """Toxicity, decontamination, language and HTML: brute force, held-out accuracy, edges."""
 
+import html
 import math
 import random
 import re
@@ -236,7 +237,7 @@ def densities(root):
         c, lc, below = said(x, True), said(x), nodes(x)[1:]
         t, lt = max(len(below), 1), max(sum(y.tag == "a" for y in below), 1)
         ahead = (c / max(lc, 1)) * (t / lt)
-        out[x] = (c / t) * math.log(ahead) / math.log(c / max(c - lc, 1) * lc + share * c + math.e) if c and ahead > 1 else 0.0
+        out[x] = x.prior * (c / t) * math.log(ahead) / math.log(c / max(c - lc, 1) * lc + share * c + math.e) if c and ahead > 1 else 0.0
     blocks = {x: [y for y in x.items if isinstance(y, html_text.Node) and not y.dropped and y.tag in html_text.BLOCKS] for x in out}
     return out, {x: sum(out[y] for y in b) if b else out[x] for x, b in blocks.items()}
 
@@ -251,6 +252,70 @@ def test_html_densities_equal_the_formula(spark):
         assert root.best.total == max(x.total for x in density if x.tag in html_text.BLOCKS or x is root)
 
 
+def chosen_text(page):
+    """The text of the choice from its definition: every node's density and sums from scratch, no sums carried up."""
+    root = html_text.parse(page)
+    density, total = densities(root)
+    boxes = lambda x: [x] + [n for y in x.items if isinstance(y, html_text.Node) and not y.dropped and y.tag in html_text.BLOCKS for n in boxes(y)]
+    best = {x: max(boxes(x), key=lambda y: total[y]) for x in density}  # in page order, so the outermost of equals, then the first
+    path = [best[root]]
+    while path[-1].tag != "body" and path[-1].parent:
+        path.append(path[-1].parent)
+    thinnest = min(density[x] for x in path)
+
+    def said(x, inside=False):
+        """Blocks of text, by a walk that takes a subtree from its densest point on, and leaves thin boxes out."""
+        took = inside or best[x] is x
+        out = ["\n"] if took and x.tag in html_text.BLOCKS else []
+        for y in x.items:
+            if isinstance(y, str):
+                out += [y] if took else []
+            elif y.dropped or not took and (density[y] < thinnest or not text_of(y)):
+                continue
+            else:
+                links = [n for n in every(y) if n.tag == "a"][y.tag == "a" :]
+                linked = len(links) > 1 and 2 * sum(map(text_of, links)) > text_of(y)
+                thin = took and y.tag in html_text.BLOCKS and not html_text.HEADING.fullmatch(y.tag) and density[y] < thinnest and (y.prior < 1 or linked)
+                out += [] if thin else said(y, took)
+        return out + (["\n"] if took and x.tag in html_text.BLOCKS else [])
+
+    every = lambda x: [x] + [n for y in x.items if isinstance(y, html_text.Node) and not y.dropped for n in every(y)]
+    text_of = lambda x: sum(len("".join(y.split())) if isinstance(y, str) else 0 if y.dropped else text_of(y) for y in x.items)
+    return " ".join(html.unescape("".join(said(root))).split())
+
+
+def test_html_choice_equals_its_definition(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").limit(60).collect()] + [PAGE]
+    pages += [re.sub(r"<(/?)(nav|article|footer)\b[^>]*>", r"<\1div>", p) for p in pages[:30]]
+    for page in pages:
+        assert html_text.main_text(page) == chosen_text(page)
+
+
+def test_html_density_decides(spark, monkeypatch):
+    """With all of the page taken for the article, and names as they are, nearly every page has another text."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    right = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "chosen", lambda root: [root])
+    assert sum(html_text.main_text(p) != t for p, t in zip(pages, right)) > 0.9 * len(pages)
+
+
+STORY_P = "<p>A long paragraph of the story, which goes on and on for many words.</p>" * 4
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><nav><a href=x>Home</a><a href=y>More</a></nav><article>{STORY_P}<p class=legal>The court said so.</p></article></body>", "The court said so."),
+        (f"<body><div class=post><div class=post-header><h1>Title of it</h1></div>{STORY_P}</div><div class=footer>All rights</div></body>", "Title of it"),
+        (f"<body><article><header><h1>Title of it</h1></header>{STORY_P}</article></body>", "Title of it"),
+        (f"<body><div class=page><div class='entry-title'><h2>Title of it</h2></div>{STORY_P}<p>See <span class=comment>this word</span> too.</p></div></body>", "this word"),
+    ],
+)
+def test_html_names_tell_about_boxes_only(page, text):
+    got = html_text.main_text(page)
+    assert text in got and "All rights" not in got and "Home" not in got
+
+
 def test_html_density_finds_the_article_without_any_name(spark):
     """Pages whose elements and classes say nothing: all of the article is there, and lists of links are not."""
     rows, links = spark.read.parquet(f"{SF}/pages.parquet").collect(), 0
