@@ -119,3 +119,25 @@ def literals(docs: DataFrame, words: list[str], lower: bool = False, keep: list[
     if not words:
         return docs.select(*keep).where("false").selectExpr("*", *[f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in DDL.split(", ")])
     return _run(docs, list(keep), prepare)
+
+
+def own_words(docs: DataFrame, values: str, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """keep, k, valor, ini, fim, v_ini, v_fim: every place of the texts in a row's own array `values` in its column `text`, in any case, as whole
+    words; k is the place in the sorted array."""
+    types = dict(docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[int] = []
+            out: list[list] = [[] for _ in PLACE]
+            for i, (text, wanted) in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
+                for k, value in enumerate(sorted(wanted or [])):
+                    for m in re.finditer(rf"(?<!\w)(?={re.escape(value)}(?!\w))", text or "", re.IGNORECASE):
+                        rows.append(i)
+                        for column, x in zip(out, (k, value, m.start(), m.start() + len(value), m.start(), m.start() + len(value))):
+                            column.append(x)
+            at = pa.array(rows, pa.int32())
+            columns = [c.take(at) for c in b.columns[:-2]] + [pa.array(v, t) for v, (_, t) in zip(out, PLACE)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-2], *[n for n, _ in PLACE]])
+
+    return docs.select(*keep, F.col("text").alias("_text"), F.col(values).alias("_values")).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + f", {DDL}")

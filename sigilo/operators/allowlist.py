@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigilo.functions import scan
@@ -75,9 +75,12 @@ def route(findings: DataFrame, allowlist: DataFrame) -> DataFrame:
 
 
 def insert(allowlist: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds entries whose normal name isn't there under their tipo."""
-    there = allowlist.select(T.normal(F.col("nome")).alias("_n"), F.col("tipo").alias("_t"))
-    fresh = new.join(there, (T.normal(F.col("nome")) == F.col("_n")) & (F.col("tipo") == F.col("_t")), "left_anti")
+    """Adds entries whose normal name isn't there under their tipo; of entries that are alike in both, the first (by seq, if there is one, and name) comes in."""
+    name, tipo = T.normal(F.col("nome")), F.lower("tipo")
+    there = allowlist.select(name.alias("_n"), tipo.alias("_t"))
+    first = F.row_number().over(Window.partitionBy(name, tipo).orderBy(*[c for c in ("seq", "nome") if c in new.columns]))
+    once = new.withColumn("_k", first).where("_k = 1").drop("_k")
+    fresh = once.join(there, (name == F.col("_n")) & (tipo == F.col("_t")), "left_anti")
     return allowlist.unionByName(fresh, allowMissingColumns=True)
 
 

@@ -37,18 +37,17 @@ def engine(name: str) -> Callable | None:
 
 
 def analyse(docs: DataFrame, ner: str = "standard", allow: DataFrame | None = None, compat: bool = False) -> DataFrame:
-    """Findings of each text: the header's parties at their first places, rules, then recognised entities that the context
-    doesn't clear and no rule overlaps. With a list, `status` tells which persons stay visible. Order: stage, ini, rule_order;
+    """Findings of each text: the header's parties wherever their names stand, rules, then recognised entities that the context
+    doesn't clear. What rules and recogniser both find is told twice, so that what one of them sees further stays hidden. With a list, `status` tells which persons stay visible. Order: stage, ini, rule_order;
     repeats of a place go."""
     text = docs.select("doc_id", "text")
-    parties = detect.located(detect.header_parties(text, compat).join(text, "doc_id"))
+    parties = detect.everywhere(detect.header_parties(text, compat).drop("seq").distinct(), text)
     parties = parties.select("doc_id", F.lit(-1).alias("rule_order"), "tipo", "valor", "ini", "fim", "confianca", "fonte")
     found = detect.find_all(text, compat).withColumn("tipo", F.when(F.col("tipo") == "PESSOA_CONTEXTO", "PESSOA").otherwise(F.col("tipo")))
     parts = [found.select("doc_id", "rule_order", "tipo", "valor", F.col("v_ini").alias("ini"), F.col("v_fim").alias("fim"), "confianca", "fonte")]
     extract = engine(ner)
     if extract is not None:
-        named = detect.entities_from(text, extract).where(F.col("tipo").isin(*RECOGNISED))
-        named = spans.overlap_anti(named, parts[0])
+        named = detect.recognised(text, extract).where(F.col("tipo").isin(*RECOGNISED))
         hidden = context.decide(named.join(text, "doc_id")).where("decisao.anonimizar")
         parts.append(hidden.select("doc_id", F.lit(99).alias("rule_order"), "tipo", "valor", "ini", "fim", F.lit(detect.CONFIDENCE["ner"]).alias("confianca"), F.lit("ner").alias("fonte")))
     rows = spans.dedupe_spans(spans.ordered_union(parties, *parts), ["stage", "ini", "rule_order"])
@@ -58,8 +57,8 @@ def analyse(docs: DataFrame, ner: str = "standard", allow: DataFrame | None = No
 def analyse_pages(words: DataFrame, ner: str = "standard", supplement: str | None = None, allow: DataFrame | None = None, visual: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """Findings of paged documents with their boxes. words: doc_id, pagina, seq, texto, x0, y0, x1, y1.
 
-    The parties of the header, the rules, the recogniser (what the context clears and what a rule overlaps goes) and a
-    supplementary one (what any before it overlaps goes) are united in this order. Each finding is placed among the words, one row a word that
+    The parties of the header, the rules, the recogniser (what the context clears goes) and a supplementary one (what an entity of
+    the first overlaps goes too) are united in this order. Each finding is placed among the words, one row a word that
     it covers, and repeats of a value at a place go. Visual findings come after that and aren't compared. With a list,
     `status` tells which persons stay visible. Findings that stand nowhere have no box and fall away.
     """
@@ -68,16 +67,17 @@ def analyse_pages(words: DataFrame, ner: str = "standard", supplement: str | Non
     parties = detect.header_parties(text, compat).select("doc_id", F.lit(-1).alias("rule_order"), "tipo", "valor", F.col("seq").alias("ini"), "confianca", "fonte")
     rules = detect.find_all(text, compat).withColumn("tipo", review.plain_type(F.col("tipo")))
     rules = rules.select("doc_id", "rule_order", "tipo", "valor", F.col("v_ini").alias("ini"), F.col("v_fim").alias("fim"), "confianca", "fonte")
-    parts, taken = [parties, rules.drop("fim")], rules.select("doc_id", "ini", "fim")
+    parts, taken = [parties, rules.drop("fim")], None
     for k, (name, source) in enumerate(((ner, "ner"), (supplement, "ner_suplementar"))):
         extract = engine(name) if name else None
         if extract is None:
             continue
-        named = spans.overlap_anti(detect.entities_from(text, extract).where(F.col("tipo").isin(*RECOGNISED)), taken)
+        named = detect.recognised(text, extract).where(F.col("tipo").isin(*RECOGNISED))
+        named = named if taken is None else spans.overlap_anti(named, taken)
         hidden = context.decide(named.join(text, "doc_id")).where("decisao.anonimizar")
         hidden = hidden.select("doc_id", F.lit(99 + k).alias("rule_order"), "tipo", "valor", "ini", "fim", F.lit(detect.CONFIDENCE["ner"]).alias("confianca"), F.lit(source).alias("fonte"))
         parts.append(hidden.drop("fim"))
-        taken = taken.union(named.select("doc_id", "ini", "fim"))
+        taken = named.select("doc_id", "ini", "fim") if taken is None else taken
     found = spans.ordered_union(*parts)
     order = F.struct("stage", "ini", "rule_order")
     asked = found.groupBy("doc_id", "valor").agg(F.min(order).alias("o"))

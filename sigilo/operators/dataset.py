@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sigilo.functions import text as T
 
-from . import spans
+from . import intervals, spans
 
 LABELS = ["O", "B-PESSOA", "I-PESSOA", "B-ORGANIZACAO", "I-ORGANIZACAO", "B-LOCAL", "I-LOCAL"]
 KEPT = ("PESSOA", "ORGANIZACAO", "LOCAL")
@@ -47,13 +47,14 @@ def _words(b: pa.RecordBatch, rows: list[int], at: list[int], said: list[str], s
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "i", "palavra", "ini", "fim"])
 
 
-def iob2(words_: DataFrame, entities: DataFrame) -> DataFrame:
-    """Adds label: words that an entity (doc_id, ent, label, ini, fim) covers by more than half are B (the first) or I; a later entity wins."""
-    e = entities.where(F.col("label").isin(*KEPT)).select("doc_id", "ent", F.col("label").alias("tipo"), F.col("ini").alias("e0"), F.col("fim").alias("e1"))
-    shared = F.least("fim", "e1") - F.greatest("ini", "e0")
-    hits = words_.join(e, "doc_id").where((F.col("ini") < F.col("e1")) & (F.col("fim") > F.col("e0")) & (shared > 0.5 * (F.col("fim") - F.col("ini"))))
-    first = Window.partitionBy("doc_id", "ent").orderBy("i")
-    tagged = hits.withColumn("l", F.concat(F.when(F.row_number().over(first) == 1, "B-").otherwise("I-"), "tipo"))
+def iob2(words_: DataFrame, entities: DataFrame, kept: tuple[str, ...] = KEPT) -> DataFrame:
+    """Adds label: words that an entity (doc_id, ent, label, ini, fim) covers by more than half are B (the first) or I; a later entity wins.
+    Words and entities meet in bins of places, so a long document takes no more than its words and what covers them."""
+    e = entities.where(F.col("label").isin(*kept)).select("doc_id", "ent", F.col("label").alias("tipo"), "ini", "fim")
+    shared = F.least("fim", "o_fim") - F.greatest("ini", "o_ini")
+    hits = intervals.overlaps(words_.select("doc_id", "i", "ini", "fim"), e, ["ent", "tipo"]).where(shared > 0.5 * (F.col("fim") - F.col("ini")))
+    first = hits.groupBy("doc_id", "ent").agg(F.min("i").alias("_first"))
+    tagged = hits.join(first, ["doc_id", "ent"]).withColumn("l", F.concat(F.when(F.col("i") == F.col("_first"), "B-").otherwise("I-"), "tipo"))
     won = tagged.groupBy("doc_id", "i").agg(F.max_by("l", "ent").alias("label"))
     return words_.join(won, ["doc_id", "i"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
 

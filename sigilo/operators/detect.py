@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from sigilo.functions import rules as R
 from sigilo.functions import scan
 from sigilo.functions import text as T
 
+from . import spans
+
 CONFIDENCE = {"header": 0.95, "regex": 1.0, "ner": 0.85, "llm": 0.80, "hint": 0.70}
 
 
@@ -99,17 +103,67 @@ def mapped_labels(entities: DataFrame, label_map: DataFrame) -> DataFrame:
     return entities.withColumn("label", label).join(label_map, ["engine", "label"], "left").withColumn("tipo", F.coalesce("tipo", F.lit("OUTRO")))
 
 
+# The types that a model's answer may name.
+ANSWERED = ["PESSOA", "CPF", "CNPJ", "RG", "EMAIL", "TELEFONE", "ENDERECO", "OAB", "DATA_NASCIMENTO", "CEP", "CONTA_BANCARIA", "AGENCIA", "CNH", "TITULO_ELEITOR", "PIS_PASEP", "CTPS", "ORGANIZACAO", "OUTRO"]
+
+
 def salvaged_json(answer: Column) -> Column:
-    """Entities of a model's answer: a list, an object's first list, or the first bracketed list in prose."""
-    kind = "array<struct<texto:string,tipo:string>>"
-    direct = F.from_json(answer, kind)
-    first = F.from_json(F.element_at(F.map_values(F.from_json(answer, "map<string,string>")), 1), kind)
-    prose = F.from_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1), kind)
-    got = F.coalesce(F.when(F.exists(direct, lambda x: x["texto"].isNotNull()), direct), F.when(F.exists(first, lambda x: x["texto"].isNotNull()), first), prose, F.array().cast(kind))
-    return F.transform(got, lambda x: F.struct(x["texto"].alias("texto"), F.upper(x["tipo"]).alias("tipo")))
+    """Entities (texto, tipo) of a model's answer: a list, the first list among an object's values in their order, or, only if the answer
+    can't be parsed, the longest bracketed list in it. What is no object with a text falls away; a missing or unknown type is OUTRO."""
+    is_list = lambda v: F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
+    parsed = F.try_parse_json(answer)
+    values = F.map_values(F.from_json(answer, "map<string,variant>"))
+    prose = F.try_parse_json(F.regexp_extract(answer, r"(?s)(\[.*\])", 1))
+    told = F.when(parsed.isNull(), prose).when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.get(F.filter(values, is_list), F.lit(0))).otherwise(parsed)
+    items = F.coalesce(F.when(is_list(told), told.try_cast("array<variant>")), F.array().cast("array<variant>"))
+    objects = F.filter(items, lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)))
+    field = lambda v, name: T.strip(F.try_variant_get(v, f"$.{name}", "string"))
+    tipo = lambda v: F.when(F.upper(field(v, "tipo")).isin(ANSWERED), F.upper(field(v, "tipo"))).otherwise("OUTRO")
+    return F.filter(F.transform(objects, lambda v: F.struct(field(v, "texto").alias("texto"), tipo(v).alias("tipo"))), lambda e: e["texto"] != "")
 
 
 def located(entities: DataFrame) -> DataFrame:
     """First place of an entity's text in the document: as written, else in any case; entities that aren't there fall away."""
     at = F.coalesce(F.nullif(F.expr("locate(valor, text)"), F.lit(0)), F.nullif(F.expr("locate(lower(valor), lower(text))"), F.lit(0)))
     return entities.withColumn("ini", at - 1).where("ini is not null").withColumn("fim", F.col("ini") + F.length("valor"))
+
+
+def everywhere(entities: DataFrame, docs: DataFrame) -> DataFrame:
+    """entities (doc_id, valor, ...) at every place where their text stands as whole words, in any case: a row for each place, with
+    ini and fim. The distinct values of a document, few as they are of its head, meet its text once."""
+    values = entities.groupBy("doc_id").agg(F.collect_set("valor").alias("valores"))
+    at = scan.own_words(docs.select("doc_id", "text").join(values, "doc_id"), "valores").select("doc_id", "k", "ini", "fim")
+    listed = values.select("doc_id", F.posexplode(F.array_sort("valores")).alias("k", "valor"))
+    return entities.join(listed, ["doc_id", "valor"]).join(at, ["doc_id", "k"]).drop("k")
+
+
+def recognised(docs: DataFrame, extract, size: int = 3500, overlap: int = 200, deal: int | None = None) -> DataFrame:
+    """A recogniser's entities of texts of any length: texts are cut into pieces that overlap, pieces are read each by itself, offsets move
+    back, and an entity is kept from the one piece in which its middle lies furthest from an edge.
+
+    Every place of a text so belongs to one piece, which needs no comparison of entities: those of up to `overlap` characters, which the recogniser finds with that
+    much around them, come out as from the whole text, and none twice. deal: tasks that the pieces are dealt to, where one text is to be read by many.
+    """
+    pieces = spans.chunks(docs, size, overlap).join(docs.select("doc_id", F.length("text").alias("_n")), "doc_id")
+    half, step = overlap // 2, size - overlap
+    low = F.when(F.col("ini") == 0, F.lit(0)).otherwise(F.col("ini") + half)
+    high = F.when(F.col("ini") + step >= F.col("_n"), F.lit((1 << 31) - 1)).otherwise(F.col("ini") + step + half)
+    pieces = pieces.select("doc_id", "ini", low.alias("low"), high.alias("high"), "texto")
+    pieces = pieces.repartition(deal) if deal else pieces
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places: dict[int, tuple] = {}
+
+        def fed() -> Iterator[pd.DataFrame]:
+            for f in frames:
+                ids = range(len(places), len(places) + len(f))
+                places.update(zip(ids, zip(f["doc_id"], f["ini"], f["low"], f["high"])))
+                yield pd.DataFrame({"doc_id": list(ids), "text": f["texto"]})
+
+        for out in extract(fed()):
+            at = pd.DataFrame([places[k] for k in out["doc_id"]], columns=["doc_id", "_ini", "low", "high"], index=out.index)
+            moved = out.assign(doc_id=at["doc_id"], ini=out["ini"] + at["_ini"], fim=out["fim"] + at["_ini"])
+            middle = (moved["ini"] + moved["fim"]) // 2
+            yield moved[(middle >= at["low"]) & (middle < at["high"])]
+
+    return pieces.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, tipo string, valor string, ini int, fim int, score double")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 LEAST = 0.5
 # Types and label suffixes that count as one, and what a token that isn't scored is labelled.
 SAME_TIPO = {"ENDERECO": "LOCAL", "LOCAL": "LOCAL", "ORG": "ORGANIZACAO", "PER": "PESSOA"}
@@ -28,17 +33,33 @@ def match(truth: DataFrame, found: DataFrame, least: float = LEAST) -> DataFrame
     """(doc_id, gt, det): greedy one-to-one matches of spans (doc_id, seq, tipo, ini, fim).
 
     In order of the truth, each takes the first free detection of its type (ENDERECO and LOCAL are one) that overlaps enough. The order
-    decides, so it is a fold over a document's candidates; only overlapping pairs are candidates.
+    decides, but only among spans that hang together: a document falls into runs of overlapping spans, and each run is gone through by itself.
+    Candidates meet in bins; what has been taken is looked up, so the time grows with the candidates.
     """
-    g = truth.select("doc_id", F.col("seq").alias("gt"), comparable(F.col("tipo")).alias("tipo"), F.col("ini").alias("g0"), F.col("fim").alias("g1"))
-    d = found.select("doc_id", F.col("seq").alias("det"), comparable(F.col("tipo")).alias("tipo"), F.col("ini").alias("d0"), F.col("fim").alias("d1"))
-    near = (F.col("g0") < F.col("d1")) & (F.col("g1") > F.col("d0")) & (overlap_ratio(F.col("g0"), F.col("g1"), F.col("d0"), F.col("d1")) >= least)
-    pairs = g.join(d, ["doc_id", "tipo"]).where(near)
-    listed = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("gt").cast("long").alias("gt"), F.col("det").cast("long").alias("det")))).alias("p"))
-    begin = F.array().cast("array<struct<gt:bigint,det:bigint>>")
-    taken = lambda acc, p: F.exists(acc, lambda q: (q["gt"] == p["gt"]) | (q["det"] == p["det"]))
-    chosen = F.aggregate("p", begin, lambda acc, p: F.when(taken(acc, p), acc).otherwise(F.concat(acc, F.array(p))))
-    return listed.select("doc_id", F.explode(chosen).alias("m")).select("doc_id", "m.gt", "m.det")
+    g = truth.select("doc_id", F.col("seq").cast("long").alias("gt"), comparable(F.col("tipo")).alias("tipo"), "ini", "fim")
+    d = found.select("doc_id", F.col("seq").cast("long").alias("det"), comparable(F.col("tipo")).alias("tipo"), "ini", "fim")
+    every = g.withColumn("det", F.lit(None).cast("long")).unionByName(d.withColumn("gt", F.lit(None).cast("long")))
+    run = intervals.runs(every, ["doc_id", "tipo"]).where("gt is not null").select("doc_id", "gt", "tipo", "ini", "fim", "_run")
+    pairs = intervals.overlaps(run, d.withColumnRenamed("tipo", "o_tipo"), ["det", "o_tipo"]).where("tipo = o_tipo")
+    pairs = pairs.where(overlap_ratio(F.col("ini"), F.col("fim"), F.col("o_ini"), F.col("o_fim")) >= least).select("doc_id", "tipo", "_run", "gt", "det")
+    dealt = pairs.repartition("doc_id", "tipo", "_run").sortWithinPartitions("doc_id", "tipo", "_run", "gt", "det")
+    return dealt.mapInArrow(_greedy, f"doc_id {dict(truth.dtypes)['doc_id']}, gt long, det long")
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of sorted runs whose two sides are both free."""
+    run, truths, taken = None, set(), set()
+    for b in batches:
+        chosen = []
+        for k, (here, gt, det) in enumerate(zip(zip(*(b.column(i).to_pylist() for i in range(3))), b.column(3).to_pylist(), b.column(4).to_pylist())):
+            if here != run:
+                run, truths, taken = here, set(), set()
+            if gt not in truths and det not in taken:
+                truths.add(gt)
+                taken.add(det)
+                chosen.append(k)
+        kept = b.take(pa.array(chosen, pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(3), kept.column(4)], names=["doc_id", "gt", "det"])
 
 
 def outcomes(truth: DataFrame, found: DataFrame, least: float = LEAST) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def ordered_union(*parts: DataFrame) -> DataFrame:
     """Bag union that remembers which part a row came from, in `stage`."""
@@ -31,9 +33,8 @@ def dedupe_spans(spans: DataFrame, order: list[str]) -> DataFrame:
 
 
 def overlap_anti(spans: DataFrame, others: DataFrame) -> DataFrame:
-    """Spans that no other span of the document overlaps: a hash join on the document with the range as residue."""
-    o = others.select(F.col("doc_id").alias("_d"), F.col("ini").alias("_i"), F.col("fim").alias("_f"))
-    return spans.join(o, (F.col("doc_id") == F.col("_d")) & (F.col("ini") < F.col("_f")) & (F.col("fim") > F.col("_i")), "left_anti")
+    """Spans that no other span of the document overlaps, by one sweep over the starts and ends: no pairs are made."""
+    return intervals.overlapped(spans, others).where("not _over").drop("_over")
 
 
 def merge(spans: DataFrame) -> DataFrame:

@@ -1,2 +1,2 @@
-from . import catalogue, planted, service  # noqa: F401  their queries register themselves
+from . import catalogue, planted, service, tagging  # noqa: F401  their queries register themselves
 from .registry import QUERIES, SQL  # noqa: F401

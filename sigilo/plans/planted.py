@@ -152,11 +152,22 @@ def sql_pattern(java: str) -> str:
     return java.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
 
 
-PARTIES = f"""SELECT doc_id, valor, CAST(place - 1 AS INTEGER) AS v_ini, CAST(place - 1 + length(valor) AS INTEGER) AS v_fim FROM (
- SELECT doc_id, valor, CASE WHEN strpos(text, valor) > 0 THEN strpos(text, valor) ELSE strpos(lower(text), lower(valor)) END AS place FROM (
-  SELECT doc_id, text, trim(string_split_regex(x, '[,;]|\\be\\b|\\bqualificad')[1]) AS valor FROM (
-   SELECT doc_id, text, unnest(list_concat({", ".join(f"regexp_extract_all(substr(text, 1, 3000), '{sql_pattern(p)}', 1)" for p in R.HEADER)})) AS x FROM documents))
- WHERE length(valor) > 3 AND upper(valor) NOT IN ('A', 'O', 'OS', 'AS')) WHERE place > 0"""
+# Places of a value as whole words, in any case: wherever it stands, and no letter, digit or underscore beside it.
+def word_places_sql(rows: str) -> str:
+    """(doc_id, valor, v_ini, v_fim) of rows (doc_id, text, valor)."""
+    beside = lambda at: f"regexp_matches(substr(text, CAST({at} AS BIGINT), 1), '[\\p{{L}}\\p{{N}}_]')"
+    return f"""SELECT doc_id, valor, CAST(i AS INTEGER) AS v_ini, CAST(i + length(valor) AS INTEGER) AS v_fim FROM (
+  SELECT doc_id, text, valor, unnest(range(0, length(text) - length(valor) + 1)) AS i FROM ({rows}) WHERE contains(lower(text), lower(valor)))
+ WHERE lower(substr(text, CAST(i + 1 AS BIGINT), length(valor))) = lower(valor) AND (i = 0 OR NOT {beside("i")}) AND NOT {beside("i + length(valor) + 1")}"""
+
+
+def parties_sql(docs: str) -> str:
+    return word_places_sql(f"""SELECT DISTINCT * FROM (SELECT doc_id, text, trim(string_split_regex(x, '[,;]|\\be\\b|\\bqualificad')[1]) AS valor FROM (
+   SELECT doc_id, text, unnest(list_concat({", ".join(f"regexp_extract_all(substr(text, 1, 3000), '{sql_pattern(p)}', 1)" for p in R.HEADER)})) AS x FROM ({docs})))
+  WHERE length(valor) > 3 AND upper(valor) NOT IN ('A', 'O', 'OS', 'AS')""")
+
+
+PARTIES = parties_sql("SELECT doc_id, text FROM documents")
 
 
 # All findings, and the merged places of a document; a place takes the type and value of its first finding.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +52,55 @@ def allowlist_csv(spark: SparkSession, path: str, tipo: str) -> DataFrame:
     return rows.select(F.trim("nome").alias("nome"), F.lit(tipo).alias("tipo"), F.trim("registro").alias("registro"), F.lit(True).alias("ativo")).where("nome <> ''")
 
 
-def save_allowlist(allowlist: DataFrame, path: str) -> None:
-    """All entries, a folder for each tipo."""
-    allowlist.write.mode("overwrite").partitionBy("tipo").json(path)
+# The types whose entries are kept in files.
+SAVED = ["juiz", "promotor", "advogado", "servidor"]
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def allowlist_versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of a saved list, in order."""
+    at, fs = _folder(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+
+def saved_allowlist(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of a saved list, the last one if none is told; no entries where there is none. seq is the place at which entries came in."""
+    known = allowlist_versions(spark, path)
+    if not known:
+        return spark.createDataFrame([], ALLOWLIST + ", seq long")
+    return spark.read.schema(ALLOWLIST + ", seq long").json(f"{path}/v={version or known[-1]:06d}")
+
+
+def save_allowlist(allowlist: DataFrame, path: str) -> int:
+    """Saves the entries of the known types as the next version, which is returned. All is written to a folder aside, which then gets the version's name
+    in one step: the list that is read may be the last version, a write that fails leaves it as it is, and of two that save at once one fails."""
+    spark = allowlist.sparkSession
+    version = max([0, *allowlist_versions(spark, path)]) + 1
+    staged, fs = _folder(spark, f"{path}/_staged-{uuid.uuid4().hex}")
+    rows = allowlist if "seq" in allowlist.columns else allowlist.withColumn("seq", F.monotonically_increasing_id())
+    try:
+        rows.where(F.lower("tipo").isin(SAVED)).select("nome", "tipo", "registro", "ativo", "seq").write.json(staged.toString())
+        target, _ = _folder(spark, f"{path}/v={version:06d}")
+        if fs.exists(target) or not fs.rename(staged, target):
+            raise FileExistsError(f"{path}: version {version} has been saved by another")
+    finally:
+        fs.delete(staged, True)
+    return version
+
+
+def upsert_allowlist(spark: SparkSession, new: DataFrame, path: str) -> int:
+    """The next version: the last one, and the entries of `new` that aren't in it."""
+    from sigilo.operators import allowlist
+
+    there = saved_allowlist(spark, path)
+    after = there.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+    given = [c for c in ("nome", "tipo", "registro", "ativo") if c in new.columns]
+    return save_allowlist(allowlist.insert(there, new.select(*given, (F.monotonically_increasing_id() + after).alias("seq"))), path)
 
 
 def annotations(spark: SparkSession, path: str, only_reviewed: bool = False) -> DataFrame:
