@@ -9,8 +9,6 @@ class Rule(NamedTuple):
     tipo: str
     pattern: str
     ignore_case: bool
-    #: A cheap literal test that every match passes: rows that fail it skip the two regex passes.
-    hint: str | None = None
 
     @property
     def java(self) -> str:
@@ -23,26 +21,26 @@ RULES = [
     Rule("CPF", r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b", False),
     Rule("CNPJ", r"\b\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}\b", False),
     Rule("PROC_CNJ", r"\b\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}\b", False),
-    Rule("OAB", r"\bOAB[ /-]?(?:[A-Z]{2})?[ .]?\d{1,7}[A-Z]?\b", True, "oab"),
-    Rule("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", False, "@"),
+    Rule("OAB", r"\bOAB[ /-]?(?:[A-Z]{2})?[ .]?\d{1,7}[A-Z]?\b", True),
+    Rule("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", False),
     Rule("TELEFONE", r"(?:\+?55[\s-]?)?(?:\(?\d{2}\)?[\s-])(?:9\d{4}|\d{4})[-.\s]?\d{4}\b", False),
     Rule("CEP", r"(?:CEP|C\.E\.P\.?)\s*[:.]?\s*(\d{2}\.?\d{3}-?\d{3})", True),
     Rule("RG", r"(?:R\.?G\.?|C\.?I\.?|Identidade|Registro\s+Geral)\s*[:º]?\s*([\w\d\.-]+)", True),
-    Rule("PASSAPORTE", r"(?:Passaporte|Pass\.?)\s*[:.]?\s*([A-Z]{1,2}\d{6,7})\b", True, "pass"),
+    Rule("PASSAPORTE", r"(?:Passaporte|Pass\.?)\s*[:.]?\s*([A-Z]{1,2}\d{6,7})\b", True),
     Rule("DATA_NASCIMENTO", r"(?:nascido|nascida|nasc\.?|data\s+de\s+nascimento|DN)\s*[:.]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", True),
     Rule("ENDERECO", r"(?:Rua|Av\.?|Avenida|Alameda|Travessa|Praça|Rodovia|Estrada|Viela|Largo|Quadra|BR-\d+)\s+[A-Za-zÀ-ÿ0-9\s]+,?\s*" + NUMBER + r"\d+(?:\s*,?\s*(?:Apto?\.?|Ap\.?|Bloco?\.?|Bl\.?|Casa|Sala|Loja|Conjunto|Cj\.?)\s*[\w\d-]+)?", True),
     Rule("CTPS", r"(?:CTPS|Carteira\s+de\s+Trabalho(?:\s+e\s+Previdência\s+Social)?)\s*[:.]?\s*" + NUMBER + r"(\d{5,8})", True),
     Rule("PIS_PASEP", r"(?:PIS|PASEP|NIS|NIT)\s*[:.]?\s*(\d{3}\.?\d{5}\.?\d{2}-?\d)", True),
     Rule("TITULO_ELEITOR", r"(?:Título\s+(?:de\s+)?Eleitor|T\.?\s*E\.?)\s*[:.]?\s*(\d{4}\s?\d{4}\s?\d{4})", True),
     Rule("CNH", r"(?:CNH|Carteira\s+(?:Nacional\s+)?(?:de\s+)?Habilitação|Permissão\s+para\s+Dirigir)\s*[:.]?\s*" + NUMBER + r"(\d{9,11})", True),
-    Rule("RENAVAM", r"(?:RENAVAM)\s*[:.]?\s*(\d{9,11})", True, "renavam"),
+    Rule("RENAVAM", r"(?:RENAVAM)\s*[:.]?\s*(\d{9,11})", True),
     Rule("PLACA_VEICULO", r"\b(?:placa|veículo|veículo\s+de\s+placa|placa\s+de\s+prefixo)?\s*([A-Z]{3}[-\s]?(?:\d{4}|\d[A-Z]\d{2}))\b", True),
     Rule("CONTA_BANCARIA", r"(?:Conta|C/?C|Conta\s+Corrente|Conta\s+Poupança|Poupança)\s*(?:n[º°]?\.?)?\s*[:.]?\s*(\d{4,12}[-.]?\d{0,2})", True),
     Rule("AGENCIA", r"(?:Agência|Ag\.?)\s*(?:n[º°]?\.?)?\s*[:.]?\s*(\d{3,5}[-.]?\d?)", True),
     Rule("CHAVE_PIX", r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", True),
     Rule("BENEFICIO_INSS", r"(?:benefício|beneficio|NB|nb|n\.?\s*b\.?)\s*[:.]?\s*(\d{3}\.?\d{3}\.?\d{3}-?\d)", True),
     Rule("CNS", r"(?:CNS|Cartão\s+(?:Nacional\s+de\s+)?Saúde|SUS)\s*[:.]?\s*([12789]\d{14})", True),
-    Rule("SIAPE", r"(?:SIAPE|matrícula\s+SIAPE|mat\.?\s*SIAPE)\s*[:.]?\s*(\d{7})", True, "siape"),
+    Rule("SIAPE", r"(?:SIAPE|matrícula\s+SIAPE|mat\.?\s*SIAPE)\s*[:.]?\s*(\d{7})", True),
     Rule("REGISTRO_PROFISSIONAL", r"\b(CRM|CREA|CRP|CRO|COREN|CRF|CRC|CREFITO|CFM)[ /-]?(?:[A-Z]{2})?[ .]?\d{3,8}[A-Z]?\b", True),
     Rule(
         "PESSOA_CONTEXTO",
@@ -57,7 +55,7 @@ RULES = [
 ]
 #: The same types with the known slips mended: whole numbers, word limits, connectives within names.
 MENDED = {
-    "OAB": Rule("OAB", r"\bOAB[ /-]?(?:[A-Z]{2})?[ .]?\d{1,3}(?:\.?\d{3})*[A-Z]?\b", True, "oab"),
+    "OAB": Rule("OAB", r"\bOAB[ /-]?(?:[A-Z]{2})?[ .]?\d{1,3}(?:\.?\d{3})*[A-Z]?\b", True),
     "RG": Rule("RG", r"\b(?:R\.?G\.?|C\.?I\.?|Identidade|Registro\s+Geral)(?!\w)\s*[:º]?\s*([\w.-]*\d[\w.-]*)", True),
     "PLACA_VEICULO": Rule("PLACA_VEICULO", r"\b([A-Z]{3}[-\s]?(?:\d{4}|\d[A-Z]\d{2}))\b", False),
     "REGISTRO_PROFISSIONAL": Rule("REGISTRO_PROFISSIONAL", r"\b((?:CRM|CREA|CRP|CRO|COREN|CRF|CRC|CREFITO|CFM)[ /-]?(?:[A-Z]{2})?[ .]?\d{3,8}[A-Z]?)\b", True),
@@ -72,6 +70,11 @@ MENDED = {
         False,
     ),
 }
+#: What keeps a scan linear (`scan.Pattern`): pivot and what stands ahead of it, or the reach in which the digit must be.
+LINEAR = {
+    "EMAIL": ("@", r"[A-Za-z0-9._%+-]", None),
+    "ENDERECO": (None, None, (r"(?:Rua|Av\.?|Avenida|Alameda|Travessa|Praça|Rodovia|Estrada|Viela|Largo|Quadra|BR-\d+)\s+", r"[A-Za-zÀ-ÿ0-9\s]*", r"[,.nº°\s]*")),
+}
 PUBLIC_BEFORE = (
     r"(?iU)(?:Juiz|Juíza|Desembargador|Desembargadora|Escrivã|Escrivão|Promotor|Promotora|Defensor|Defensora|Advogado|Advogada|Dr\.|Dra\.|"
     r"Perito|Perita|Conciliador|Conciliadora|Magistrado|Magistrada|Exmo\.?\s*Sr\.?|Exma\.?\s*Sra\.?|MM\.?\s*Juiz|"
@@ -99,10 +102,10 @@ PUBLIC_BODIES = [
 ]
 HEADER_COMPAT = [r"(?iU)(?:Autor|Requerente|Impetrante|Exequente|Agravante)es?\s*[:.]\s*([^\n]+)", r"(?iU)(?:Réu|Ré|Requerido|Impetrado|Executado|Agravado)s?\s*[:.]\s*([^\n]+)"]
 HEADER = [r"(?iU)(?:Autor(?:a|es|as)?|Requerentes?|Impetrantes?|Exequentes?|Agravantes?)\s*[:.]\s*([^\n]+)", HEADER_COMPAT[1]]
-TOPICS = (
-    "doença diagnóstico tratamento medicamento hospital psiquiátrico psicológico depressão ansiedade câncer hiv aids tuberculose diabetes internação "
-    "menor criança adolescente infância abuso violência agressão estupro assédio adoção guarda pensão divórcio separação"
-).split()
+TOPICS = [
+    "doença", "diagnóstico", "tratamento", "medicamento", "hospital", "psiquiátrico", "psicológico", "depressão", "ansiedade", "câncer", "hiv", "aids", "tuberculose", "diabetes", "internação",
+    "menor", "criança", "adolescente", "infância", "abuso", "violência", "agressão", "estupro", "assédio", "adoção", "guarda", "pensão", "divórcio", "separação",
+]
 NAME = r"\s*[:]\s*([A-ZÀ-Ú][a-zà-ú]+(?:\s+[A-ZÀ-Ú][a-zà-ú]+){1,5})"
 HINTS = [
     "(?:Autor|Autora|Requerente|Reclamante|Impetrante|Apelante|Agravante)" + NAME,

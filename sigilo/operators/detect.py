@@ -24,7 +24,8 @@ def group_of(rule: R.Rule) -> int:
 
 
 def _pattern(rule: R.Rule) -> scan.Pattern:
-    return scan.Pattern(rule.pattern, rule.ignore_case, group_of(rule), rule.hint)
+    pivot, before, reach = R.LINEAR.get(rule.tipo, (None, None, None))
+    return scan.Pattern(rule.pattern, rule.ignore_case, group_of(rule), pivot, before, reach)
 
 
 def find_all(docs: DataFrame, compat: bool = False, tipos: list[str] | None = None) -> DataFrame:

@@ -1,13 +1,18 @@
 """Golden cases of the rules, and match offsets against Python's re."""
 
+import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sigilo.functions import rules as R
+from sigilo.functions import scan
 from sigilo.functions import text as T
+from sigilo.functions.automaton import Automaton
 from sigilo.functions.rules import rule
 from sigilo.operators import detect, spans, transform
 
@@ -104,3 +109,50 @@ def test_pseudonyms_are_stable_and_valid(spark):
     names = {r.valor: r.p.split()[0] for r in a if r.tipo == "PESSOA"}
     assert names["Maria X"] in transform.FEMALE and names["José Y"] in transform.MALE
     assert next(r.p for r in a if r.tipo == "QUE") == "[QUE_ANON]"
+
+
+def plain_places(rule, text):
+    group, out = detect.group_of(rule), []
+    for m in re.compile(rule.pattern, re.IGNORECASE if rule.ignore_case else 0).finditer(text):
+        g = group if group and m[group] else 0
+        out.append((m[g], m.start(), m.end(), m.start(g), m.end(g)))
+    return out
+
+
+BITS = ["Rua ", "das Flores", ", ", "n. ", "12", "@", "a.b", "x@y.com", ".com.br", "CEP: ", "30130-010", "R.G. ", "RG", "C.I.", "İ", "ſ", " SIAPE", "123456", "7654321", "OAB/MG ", "1.234", "Autor: ", "Ana Lima", " de ", "Sá"]
+BITS += ["Conta ", "C/C ", "Ag. ", "PIS ", "\n", " ", "é", "K", "ABC1D23", "T.E.", "2222 3333 4444", "Sra. ", "BR-040 ", "Av", "Av. ", "+55 (31) 99999-8888", "%", "_", "-", "abcdef12-1234-1234-1234-abcdefabcdef"]
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_routed_rules_tell_what_the_patterns_tell(compat):
+    """The ways to a rule (beginnings, pivots, digits) lose none of its matches, on texts of what rules are made of."""
+    draw, rules = random.Random(5), R.rules(compat)
+    texts = ["".join(draw.choice(BITS) for _ in range(draw.randrange(60))) for _ in range(700)]
+    got = {}
+    for i, place in scan.Router([(k, detect._pattern(r)) for k, r in enumerate(rules)]).places(texts):
+        got.setdefault((i, place[0]), []).append(place[1:])
+    for i, text in enumerate(texts):
+        for k, r in enumerate(rules):
+            assert sorted(got.get((i, k), [])) == sorted(plain_places(r, text)), (r.tipo, text)
+
+
+@pytest.mark.parametrize("text", ["Rua " * 250_000, "a." * 500_000 + "@", "a.a@" * 250_000, "Rua " * 200_000 + "! 5"])
+def test_no_rule_is_slow_on_a_megabyte(text):
+    router = scan.Router([(k, detect._pattern(r)) for k, r in enumerate(R.rules())])
+    began = time.time()
+    assert not list(router.places([text])) and time.time() - began < 20
+
+
+def test_automaton_equals_brute_force():
+    draw = random.Random(1)
+    for _ in range(60):
+        words = list({"".join(draw.choice("abcç😀") for _ in range(draw.randrange(1, 6))) for _ in range(draw.randrange(1, 12))})
+        texts = ["".join(draw.choice("abcçd😀\0") for _ in range(draw.choice([0, 1, 5, 60, 1500]))) for _ in range(4)]
+        text, word, start = Automaton(words).find(texts)
+        want = sorted((i, k, at) for i, t in enumerate(texts) for k, w in enumerate(words) for at in range(len(t)) if t.startswith(w, at))
+        assert sorted(zip(text.tolist(), word.tolist(), start.tolist())) == want
+
+
+def test_topics_keep_their_places(spark):
+    df = spark.createDataFrame([(1, "İİİ hiv HIV")], "doc_id long, text string")
+    assert sorted(r.ini for r in detect.topic_keywords(df, ["hiv"]).collect()) == [4, 8]
