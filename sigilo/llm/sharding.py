@@ -172,7 +172,7 @@ def laid_out_in(docs: DataFrame, order: list[Column], shards: int = 16, bits: in
         at, total, _ = _placed(keyed, shards, bits, at_)
         at = at.select(*at_, "size", _shard(F.col("before"), shards, total).alias("_shard"))
         places = with_rank(at, ["_shard"], [F.col(c) for c in at_], size="size")
-        here = (F.col("_shard") * total / shards + F.col("before")) * parts / max(total, 1)
+        here = (F.col("_shard").cast("double") * total / shards + F.col("before")) * parts / max(total, 1)
         part = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(here))).cast("int")
         places = keep(settle(places.select(*at_, F.struct("_shard", F.col("rank").alias("_slot"), part.alias("_part")).alias("_place"))))
     same = [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(at_)]
