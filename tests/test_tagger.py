@@ -97,3 +97,12 @@ def test_versions_of_a_list(spark, tmp_path):
     assert files.allowlist_versions(spark, path) == [1, 2, 3] and len(names()) == 2 and len(names(1)) == 1
     assert files.save_allowlist(files.saved_allowlist(spark, path).withColumn("tipo", F.lit("outro")), path) == 4 and names() == []
     assert allowlist.delete(files.saved_allowlist(spark, path, 3), "BIA").count() == 1
+
+
+def test_contained_equals_brute_force(spark):
+    draw = random.Random(11)
+    text = lambda n: "".join(draw.choice("abç ") for _ in range(draw.randrange(n)))
+    parts, wholes = [text(6) for _ in range(150)] + [None, "", "zz"], [text(14) for _ in range(80)] + [None, ""]
+    got = allowlist.contained(spark.createDataFrame([(p,) for p in parts], "part string"), spark.createDataFrame([(w,) for w in wholes], "whole string"))
+    assert sorted(map(tuple, got.collect())) == sorted({(p, w) for p in parts for w in wholes if p and w and p in w})
+
