@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sigilo.functions import text as T
 
+from . import grams
+
 TIPOS = ("advogado", "juiz", "promotor", "servidor")
 
 
@@ -40,38 +42,14 @@ def allowed(names: DataFrame, allowlist: DataFrame) -> DataFrame:
     return exact(names.select("nome").distinct(), allowlist).union(subset(names, allowlist)).distinct()
 
 
-#: Characters of a gram.
-GRAM = 3
-
-
-def _grams(c: Column, size: Column | int) -> Column:
-    """The distinct pieces of that many characters; none if there are fewer."""
-    starts = F.when(F.length(c) >= size, F.sequence(F.lit(1), F.length(c) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(size) if isinstance(size, int) else size)))
-
-
-def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """(part, whole): every pair of distinct texts of the columns `part` and `whole` of which one holds the other; blank ones match nothing.
-
-    An index of the wholes' grams tells how often each occurs. A part meets the wholes that hold its rarest gram (itself, if it is shorter than one), and
-    those are looked into. A part with a gram that no whole has meets none. Nothing is collected.
-    """
-    own = parts.select("part").where("part <> ''").distinct()
-    index = wholes.select("whole").where("whole <> ''").distinct().select("whole", F.explode(F.flatten(F.array(*[_grams(F.col("whole"), k) for k in range(1, GRAM + 1)]))).alias("gram"))
-    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    told = own.select("part", F.explode(_grams(F.col("part"), F.least(F.lit(GRAM), F.length("part")))).alias("gram")).join(often, "gram", "left")
-    rarest = told.groupBy("part").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("lost")).where("lost = 0")
-    return rarest.join(index, "gram").where(F.contains("whole", "part")).select("part", "whole")
-
-
 def match_first(names: DataFrame, allowlist: DataFrame) -> DataFrame:
     """(nome, entry, tipo): the first active entry that holds the name or is held by it, by tipo then place in the list.
     Names and entries meet by their rarest grams, so no name meets every entry. Blank names and entries match nothing."""
     b = allowlist.where("ativo").select(F.col("nome").alias("entry"), "tipo", "seq", T.normal(F.col("nome")).alias("e"))
     a = names.select("nome").distinct().withColumn("n", T.normal(F.col("nome")))
     n, e = a.select(F.col("n").alias("part")), b.select(F.col("e").alias("part"))
-    held = contained(n, e.withColumnRenamed("part", "whole")).select(F.col("part").alias("n"), F.col("whole").alias("e"))
-    holds = contained(e, n.withColumnRenamed("part", "whole")).select(F.col("whole").alias("n"), F.col("part").alias("e"))
+    held = grams.contained(n, e.withColumnRenamed("part", "whole")).select(F.col("part").alias("n"), F.col("whole").alias("e"))
+    holds = grams.contained(e, n.withColumnRenamed("part", "whole")).select(F.col("whole").alias("n"), F.col("part").alias("e"))
     every = held.union(holds).distinct().join(a, "n").join(b, "e")
     first = every.groupBy("nome").agg(F.min(F.struct("tipo", "seq", "entry")).alias("f"))
     return first.select("nome", "f.entry", "f.tipo")

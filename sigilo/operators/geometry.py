@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sigilo.functions import text as T
 
+from . import grams
 from .spans import ordered_union
 
 
@@ -59,7 +60,7 @@ def locate(words: DataFrame, entities: DataFrame, occurrence: str = "first") ->
     occurrence 'first' gives the first place of the best tier (runs: the first page, then reading order), 'all' every place.
 
     Tiers 1, 3 and 4 start at a word whose first part is the entity's first word, one join by equality. Only what tier 1 has
-    not placed is looked for inside of words.
+    not placed is looked for inside of words, which it meets by its rarest gram.
     """
     w = in_order(words)
     e = _asked(entities).withColumn("head", F.col("ws")[0])
@@ -68,7 +69,8 @@ def locate(words: DataFrame, entities: DataFrame, occurrence: str = "first") ->
     place = ["doc_id", "ent", "pagina", "seq"]
     whole = begun.where(F.col("t") == F.col("v")).select(*place, F.lit(1).alias("tier"), F.lit(0).alias("r1"), F.col("seq").alias("r2"))
     open_ = e.join(whole.select("doc_id", "ent").distinct(), ["doc_id", "ent"], "left_anti")
-    inside = w.join(open_.select("doc_id", "ent", "v"), "doc_id").where(F.contains("t", "v")).select(*place, F.lit(2).alias("tier"), F.lit(0).alias("r1"), F.col("seq").alias("r2"))
+    within = grams.contained(open_.select("doc_id", F.col("v").alias("part")), w.select("doc_id", F.col("t").alias("whole")), ["doc_id"]).toDF("doc_id", "v", "t")
+    inside = w.join(within, ["doc_id", "t"]).join(open_.select("doc_id", "ent", "v"), ["doc_id", "v"]).select(*place, F.lit(2).alias("tier"), F.lit(0).alias("r1"), F.col("seq").alias("r2"))
     starts = begun.where((F.size("ws") > 1) & (F.col("t") == F.col("head"))).select("doc_id", "ent", "ws", "pagina", "pos", "seq", "page_first")
     runs = _runs(starts, w).select(*place, F.lit(3).alias("tier"), F.col("page_first").alias("r1"), F.col("pos").alias("r2"))
     first = begun.select(*place, F.lit(4).alias("tier"), F.lit(0).alias("r1"), F.col("seq").alias("r2"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from sigilo.functions import rules as R
 from sigilo.functions import text as T
 
+from . import grams
+
 BUCKETS = {"PROC_CNJ": "Processo CNJ", "PESSOA": "Pessoas"} | dict.fromkeys(("CPF", "CNPJ", "RG", "OAB"), "Documentos") | dict.fromkeys(("EMAIL", "TELEFONE", "ENDERECO", "CEP"), "Contato")
 
 
@@ -116,9 +118,11 @@ def word_entities(words: DataFrame, entities: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.lower("texto"), r"(?U)^[^\w]+|[^\w]+$", "")
     w = words.select("doc_id", "seq", bare.alias("w")).where("w <> ''")
     e = entities.select("doc_id", "ent", T.normal(F.col("valor")).alias("v"))
-    hit = F.contains("w", "v") | (F.contains("v", "w") & (F.length("w") > 2))
-    first = Window.partitionBy("doc_id", "seq").orderBy("ent")
-    return w.join(e, "doc_id").where(hit).withColumn("_k", F.row_number().over(first)).where("_k = 1").select("doc_id", "seq", "ent")
+    word, value = w.select("doc_id", F.col("w").alias("part")), e.select("doc_id", F.col("v").alias("part"))
+    holds = grams.contained(value, word.withColumnRenamed("part", "whole"), ["doc_id"]).toDF("doc_id", "v", "w")
+    lies = grams.contained(word.where(F.length("part") > 2), value.withColumnRenamed("part", "whole"), ["doc_id"]).toDF("doc_id", "w", "v")
+    met = w.join(holds.unionByName(lies).distinct(), ["doc_id", "w"]).join(e, ["doc_id", "v"])
+    return met.groupBy("doc_id", "seq").agg(F.min("ent").alias("ent"))
 
 
 def find_output(jobs: DataFrame, files_: DataFrame, log: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sigilo.operators import allowlist, api, detect, tagger
+from sigilo.operators import allowlist, api, detect, grams, tagger
 from sigilo.sources import files
 
 
@@ -103,6 +103,6 @@ def test_contained_equals_brute_force(spark):
     draw = random.Random(11)
     text = lambda n: "".join(draw.choice("abç ") for _ in range(draw.randrange(n)))
     parts, wholes = [text(6) for _ in range(150)] + [None, "", "zz"], [text(14) for _ in range(80)] + [None, ""]
-    got = allowlist.contained(spark.createDataFrame([(p,) for p in parts], "part string"), spark.createDataFrame([(w,) for w in wholes], "whole string"))
+    got = grams.contained(spark.createDataFrame([(p,) for p in parts], "part string"), spark.createDataFrame([(w,) for w in wholes], "whole string"))
     assert sorted(map(tuple, got.collect())) == sorted({(p, w) for p in parts for w in wholes if p and w and p in w})
 
