@@ -145,7 +145,7 @@ def recognised(docs: DataFrame, extract, size: int = 3500, overlap: int = 200, d
     Every place of a text so belongs to one piece, which needs no comparison of entities: those of up to `overlap` characters, which the recogniser finds with that
     much around them, come out as from the whole text, and none twice. deal: tasks that the pieces are dealt to, where one text is to be read by many.
     """
-    pieces = spans.chunks(docs, size, overlap).join(docs.select("doc_id", F.length("text").alias("_n")), "doc_id")
+    pieces = spans.chunks(docs.select("doc_id", "text", F.length("text").alias("_n")), size, overlap, ["_n"])
     half, step = overlap // 2, size - overlap
     low = F.when(F.col("ini") == 0, F.lit(0)).otherwise(F.col("ini") + half)
     high = F.when(F.col("ini") + step >= F.col("_n"), F.lit((1 << 31) - 1)).otherwise(F.col("ini") + step + half)

@@ -46,7 +46,7 @@ def merge(spans: DataFrame) -> DataFrame:
     return marked.groupBy("doc_id", "_g").agg(F.min("ini").alias("ini"), F.max("fim").alias("fim"), F.count(F.lit(1)).alias("n")).drop("_g")
 
 
-def chunks(docs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
-    """(doc_id, chunk, ini, texto): overlapping pieces of the text, none for an empty one."""
+def chunks(docs: DataFrame, size: int, overlap: int = 0, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, keep, chunk, ini, texto): overlapping pieces of the text, none for an empty one."""
     starts = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.length("text") - 1, F.lit(size - overlap)))
-    return docs.select("doc_id", "text", F.posexplode(starts).alias("chunk", "ini")).select("doc_id", "chunk", "ini", F.substr(F.col("text"), F.col("ini") + 1, F.lit(size)).alias("texto"))
+    return docs.select("doc_id", *keep, "text", F.posexplode(starts).alias("chunk", "ini")).select("doc_id", *keep, "chunk", "ini", F.substr(F.col("text"), F.col("ini") + 1, F.lit(size)).alias("texto"))

@@ -156,3 +156,11 @@ def test_automaton_equals_brute_force():
 def test_topics_keep_their_places(spark):
     df = spark.createDataFrame([(1, "İİİ hiv HIV")], "doc_id long, text string")
     assert sorted(r.ini for r in detect.topic_keywords(df, ["hiv"]).collect()) == [4, 8]
+
+
+def test_beginnings_of_patterns():
+    assert scan.beginnings(r"(?:CEP|C\.E\.P\.?)\s*[:.]?\s*(\d+)") == ["C.E.P", "CEP"]
+    assert scan.beginnings(r"\b(?:R\.?G|Id)[xy]\w*") == ["Idx", "Idy", "R.Gx", "R.Gy", "RGx", "RGy"]
+    assert scan.beginnings(r"\d{3}") is None and scan.beginnings(r"(?:T\.?)?\s*x") is None and scan.beginnings(r"n\.?\s*b") is None
+    parse = scan.re._parser.parse
+    assert scan.needs_digit(parse(r"(?:a|b)\s*(\d{2})")) and scan.needs_digit(parse(r"(?:\d|x\d)")) and not scan.needs_digit(parse(r"[\w\d.]+\d?")) and not scan.needs_digit(parse(r"(?:\d|x)"))
