@@ -665,7 +665,8 @@ def llm_salvage(spark, sf):
 def polygon_bbox(spark, sf):
     e = F.col("embedding")
     box = geometry.polygon_box(F.array(*[F.array(e[2 * i], e[2 * i + 1]) for i in range(4)]))
-    return table(spark, sf, "embeddings").select("vec_id", F.floor(box["x"] * 1000).alias("x"), F.floor(box["y"] * 1000).alias("y"))
+    thousand = F.lit(1000).cast("float")  # a float by an integer is a double here, a float in SQL
+    return table(spark, sf, "embeddings").select("vec_id", F.floor(box["x"] * thousand).alias("x"), F.floor(box["y"] * thousand).alias("y"))
 
 
 @query(f"SELECT tipo, count(*) AS n, count(*) FILTER (WHERE ativo) AS ativos FROM (SELECT * FROM ({LIST}) WHERE seq <> (SELECT min(seq) FROM ({LIST}) WHERE lower(trim(nome)) = 'silva nome 4') UNION ALL SELECT 0, 'Nova Pessoa', 'juiz', true) GROUP BY tipo")
