@@ -128,7 +128,8 @@ def links(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints at most `distance` (3 at most) bits apart, from a column `fp` without repeats.
 
     A pair is told once for the first block it shares, whatever keys it meets on; the join's condition says so.
-    Large keys are split by the adaptive skewed join.
+    Large keys are split by the adaptive skewed join. Sides are always shuffled: the optimizer takes them for about as large as the fingerprints,
+    and would send all the keys of those, 42 and more each, through the driver.
     """
     if distance > 3:
         raise ValueError("the keys hold for 3 differing bits at most")
@@ -137,7 +138,7 @@ def links(fingerprints: DataFrame, distance: int = 3) -> DataFrame:
     x = F.col("a").bitwiseXOR(F.col("b"))
     first = F.when(_block_bits(x, 0) == 0, 0).when(_block_bits(x, 1) == 0, 1).when(_block_bits(x, 2) == 0, 2).otherwise(3)
     met = (F.col("a") < F.col("b")) & (F.bit_count(x) <= distance) & (F.shiftright("key", 29) == first)
-    return left.join(right, "key").where(met).select("a", "b").distinct()
+    return left.hint("merge").join(right, "key").where(met).select("a", "b").distinct()
 
 
 def near_copies(docs: DataFrame, distance: int = 3) -> DataFrame:

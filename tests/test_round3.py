@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
+import corpus_pipeline
+from sigilo.llm import simhash
 
 
 def agrees(spark, folder, name, *tables):
@@ -42,3 +44,29 @@ def test_preannotation_takes_the_first_of_a_table(spark, tmp_path):
         kinds = [("l_orderkey", pa.int64()), ("l_partkey", pa.int64()), ("l_suppkey", pa.int64()), ("l_linenumber", pa.int32()), ("l_returnflag", pa.string())]
         pq.write_table(pa.table({c: pa.array(v, t) for (c, t), v in zip(kinds, zip(*rows))}), at / f"part-{k}.parquet")
     agrees(spark, tmp_path, "preannotation_dedupe", "lineitem")
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    fps = spark.range(1000).selectExpr("xxhash64(id) AS fp")
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pipeline_takes_near_copies_by_simhash(spark):
+    """Texts of one SimHash class leave one document, whatever their words have in common; others stay."""
+    rnd = random.Random(4)
+    words = [f"word{k}" for k in range(500)]
+    rows = []
+    for k in range(30):
+        base = [rnd.choice(words) for _ in range(400)]
+        rows += [(4 * k + j, " ".join(base[:-1] + [f"end{j}"] if j else base)) for j in range(4)]
+    rows += [(901, "one"), (902, None), (903, ""), (None, None), (900, "one"), (900, "one")]
+    rows += [(800, "so " * 300 + "ein zwei drei vier"), (801, "so " * 300 + "un deux trois quatre")]  # few words in common, one fingerprint
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    component = {}
+    for r in simhash.near_copies(docs).where("doc_id is not null").select("fingerprint", "component_id").distinct().collect():
+        component[r.fingerprint] = r.component_id
+    kept = corpus_pipeline.without_copies(spark, docs, "").where("doc_id is not null").collect()
+    classes = [component[f"{simhash.fingerprint((r.text or '').encode()):016x}"] for r in kept]
+    assert sorted(classes) == sorted(set(component.values())) and all(r.doc_id == c for r, c in zip(kept, classes))
+    assert len(kept) < 60 and {800, 801} & {r.doc_id for r in kept} == {800}
