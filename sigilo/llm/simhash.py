@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -285,8 +285,22 @@ def _classes(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "id").join(classes, "id").select("doc_id", "id", "class", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class of similar texts, in the columns given: that of the smallest (doc_id, text hash).
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, class) of each row of docs (doc_id, text): id is the 64-bit hash of its text, class the fingerprint that stands
+    for all which links of `near_copies` reach."""
+    rows = settle(docs.select("doc_id", text_id().alias("id"), "text").mapInArrow(_fingerprinted, "doc_id long, id long, fp long"))
+    member = components(links(settle(rows.select("fp").distinct())))
+    return rows.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "id", F.coalesce("component", "fp").alias("class"))
+
+
+def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        fp = np.array([fingerprint(t) for t in b.column(2).cast(pa.binary()).to_pylist()], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "id", "fp"])
+
+
+def keep_one(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = _classes) -> DataFrame:
+    """One document of each class, of similar texts or of those that `classes` tells, in the columns given: that of the smallest (doc_id, text hash).
 
     Rows are told apart by doc_id and text, so a doc_id with two texts is two documents; of rows that are equal in both
     one stays. Rows without a doc_id can't be told apart by it: they stay.
@@ -294,7 +308,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     at, text = fresh("_id", docs), fresh("_said", docs)
     bounded_batches(docs.sparkSession)
     with scratch() as keep:
-        found = settle(_classes(docs))
+        found = settle(classes(docs))
         found = found.where("doc_id is not null")
         place = F.struct("doc_id", "id")
         best = settle(found.groupBy("class").agg(F.min(place).alias("best")))
