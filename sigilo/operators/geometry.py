@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigilo.functions import text as T
 
-from . import grams
 from .spans import ordered_union
 
 
@@ -18,11 +19,63 @@ def band(y: Column, height: float = 5.0) -> Column:
     return F.bround(y / height) * height
 
 
-def in_order(words: DataFrame) -> DataFrame:
-    """(doc_id, pagina, seq, t, pos, page_first): normal words with their places in the page's reading order, from 1, and the page's smallest seq."""
-    page = Window.partitionBy("doc_id", "pagina")
-    order = page.orderBy(band(F.col("y0")), "x0", "seq")
-    return words.select("doc_id", "pagina", "seq", T.normal(F.col("texto")).alias("t"), F.row_number().over(order).alias("pos"), F.min("seq").over(page).alias("page_first"))
+def _cut(columns: list[pa.Array]) -> list[int]:
+    """The rows from which on one of the columns isn't as in the row ahead, nulls being alike, and the number of rows."""
+    n = len(columns[0])
+    new = pa.array([False] * max(n - 1, 0), pa.bool_())
+    for c in columns:
+        one, two = c[1:], c[:-1]
+        unlike = pc.fill_null(pc.not_equal(one, two), False)
+        new = pc.or_(new, pc.or_(unlike, pc.xor(pc.is_null(one), pc.is_null(two))))
+    return [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), n] if n else [0]
+
+
+def pages(words: DataFrame, columns: list[str]) -> DataFrame:
+    """(doc_id, pagina, and an array of each of the columns): the words of a page that come one after the other in a row.
+
+    Where words come page by page, as a reader gives them, a page is a row or two, in whatever order else, a row for each word. So what is shuffled after it is
+    little more than the words. Nothing is looked at across tasks: a page may be several rows.
+    """
+    types = dict(words.dtypes)
+
+    def packed(batches):
+        for b in batches:
+            at = _cut([b.column(0), b.column(1)])
+            first, ends = pa.array(at[:-1], pa.int64()), pa.array(at, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, c) for c in b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(first), b.column(1).take(first), *lists], names=["doc_id", "pagina", *columns])
+
+    fields = ", ".join(f"`{c}` array<{types[c]}>" for c in columns)
+    return words.select("doc_id", "pagina", *columns).mapInArrow(packed, f"doc_id {types['doc_id']}, pagina {types['pagina']}, {fields}")
+
+
+def whole_pages(words: DataFrame, columns: list[str]) -> DataFrame:
+    """The same with one row for each page: rows of `pages` are dealt and sorted, which spills, and those of a page are put together as they go by."""
+    types = dict(words.dtypes)
+    dealt = pages(words, columns).repartition("doc_id", "pagina").sortWithinPartitions("doc_id", "pagina")
+
+    def joined(batches):
+        held = None
+        for b in batches:
+            b = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+            if not b.num_rows:
+                continue
+            at = _cut([c.combine_chunks() for c in b.columns[:2]])
+            yield from merged(b, at[:-1])
+            held = b.slice(at[-2]).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield from merged(pa.Table.from_batches([held]), [0, held.num_rows])
+
+    def merged(b, at):
+        if len(at) > 1:
+            first = pa.array(at[:-1], pa.int64())
+            lists = [c.combine_chunks() for c in b.columns[2:]]
+            ends = [c.offsets.take(pa.array(at, pa.int64())) for c in lists]
+            lists = [pa.ListArray.from_arrays(pc.subtract(e, e[0]), c.values.slice(e[0].as_py(), e[-1].as_py() - e[0].as_py())) for c, e in zip(lists, ends)]
+            yield pa.RecordBatch.from_arrays([b.column(0).combine_chunks().take(first), b.column(1).combine_chunks().take(first), *lists], names=["doc_id", "pagina", *columns])
+
+    fields = ", ".join(f"`{c}` array<{types[c]}>" for c in columns)
+    return dealt.mapInArrow(joined, f"doc_id {types['doc_id']}, pagina {types['pagina']}, {fields}")
 
 
 def _asked(entities: DataFrame) -> DataFrame:
@@ -33,23 +86,8 @@ def _asked(entities: DataFrame) -> DataFrame:
 def multiword(words: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, ent, pagina, run, seq) of every word of every run of consecutive words of a page that reads as an entity of
     several words; run is the seq of its first word.
-
-    The first word is joined by equality, which finds where a run may start; each word after it is joined by equality with its place.
     """
-    e = _asked(entities).where(F.size("ws") > 1)
-    w = in_order(words)
-    starts = w.join(e.withColumn("head", F.col("ws")[0]), ["doc_id"]).where(F.col("t") == F.col("head"))
-    return _runs(starts.select("doc_id", "ent", "ws", "pagina", "pos", "seq", "page_first"), w).select("doc_id", "ent", "pagina", "run", "seq")
-
-
-def _runs(starts: DataFrame, w: DataFrame) -> DataFrame:
-    """The starts whose further words follow, one row a word: doc_id, ent, pagina, run, page_first, pos (of the start), seq."""
-    further = starts.select("doc_id", "ent", "pagina", "page_first", "pos", F.col("seq").alias("run"), F.size("ws").alias("n"), F.posexplode("ws").alias("k", "word"))
-    then = w.select(F.col("doc_id").alias("_d"), F.col("pagina").alias("_p"), F.col("pos").alias("_pos"), F.col("t").alias("_t"), "seq")
-    same = (F.col("doc_id") == F.col("_d")) & F.col("pagina").eqNullSafe(F.col("_p")) & (F.col("pos") + F.col("k") == F.col("_pos")) & (F.col("word") == F.col("_t"))
-    run = ["doc_id", "ent", "pagina", "page_first", "pos", "run"]
-    found = further.join(then, same).groupBy(*run).agg(F.collect_list("seq").alias("seqs"), F.first("n").alias("n"))  # the words of one entity
-    return found.where(F.size("seqs") == F.col("n")).select(*run, F.explode("seqs").alias("seq"))
+    return _placed(words, entities, [3], False).select("doc_id", "ent", "pagina", "run", "seq")
 
 
 def locate(words: DataFrame, entities: DataFrame, occurrence: str = "first") -> DataFrame:
@@ -59,33 +97,104 @@ def locate(words: DataFrame, entities: DataFrame, occurrence: str = "first") ->
     of the entity is covered; a word that equals its first word or begins with that and a blank.
     occurrence 'first' gives the first place of the best tier (runs: the first page, then reading order), 'all' every place.
 
-    Tiers 1, 3 and 4 start at a word whose first part is the entity's first word, one join by equality. Only what tier 1 has
-    not placed is looked for inside of words, which it meets by its rarest gram.
+    A page tells the places of the best tier that it has, the first ones if those are asked for; the document's best are among them.
     """
-    w = in_order(words)
-    e = _asked(entities).withColumn("head", F.col("ws")[0])
-    keyed = w.withColumn("head", F.split("t", " ", 2)[0])
-    begun = keyed.join(e, ["doc_id", "head"])
-    place = ["doc_id", "ent", "pagina", "seq"]
-    whole = begun.where(F.col("t") == F.col("v")).select(*place, F.lit(1).alias("tier"), F.lit(0).alias("r1"), F.col("seq").alias("r2"))
-    open_ = e.join(whole.select("doc_id", "ent").distinct(), ["doc_id", "ent"], "left_anti")
-    within = grams.contained(open_.select("doc_id", F.col("v").alias("part")), w.select("doc_id", F.col("t").alias("whole")), ["doc_id"]).toDF("doc_id", "v", "t")
-    inside = w.join(within, ["doc_id", "t"]).join(open_.select("doc_id", "ent", "v"), ["doc_id", "v"]).select(*place, F.lit(2).alias("tier"), F.lit(0).alias("r1"), F.col("seq").alias("r2"))
-    starts = begun.where((F.size("ws") > 1) & (F.col("t") == F.col("head"))).select("doc_id", "ent", "ws", "pagina", "pos", "seq", "page_first")
-    runs = _runs(starts, w).select(*place, F.lit(3).alias("tier"), F.col("page_first").alias("r1"), F.col("pos").alias("r2"))
-    first = begun.select(*place, F.lit(4).alias("tier"), F.lit(0).alias("r1"), F.col("seq").alias("r2"))
-    every = whole.unionByName(inside).unionByName(runs).unionByName(first)
+    every = _placed(words, entities, [1, 2, 3, 4], occurrence == "first")
     best = F.struct("tier", "r1", "r2") if occurrence == "first" else F.col("tier")
     return every.withColumn("_b", F.min(best).over(Window.partitionBy("doc_id", "ent"))).where(best == F.col("_b")).select("doc_id", "ent", "tier", "pagina", "seq")
 
 
+def _placed(words: DataFrame, entities: DataFrame, tiers: list[int], first: bool) -> DataFrame:
+    """(doc_id, ent, pagina, tier, r1, r2, run, seq): for each page and entity the words of its places of the first of the tiers that has one there.
+
+    Pages, packed, and entities are dealt by document, and sorted: a document's entities first, then page after page, of which one is held at a time.
+    """
+    types, asked = dict(words.dtypes), dict(entities.dtypes)
+    boxes = pages(words.select("doc_id", "pagina", T.normal(F.col("texto")).alias("t"), band(F.col("y0")).cast("double").alias("y"), F.col("x0").cast("double").alias("x"), "seq"), ["t", "y", "x", "seq"])
+    e = _asked(entities)
+    e = (e.where(F.size("ws") > 1) if tiers == [3] else e).select("doc_id", F.lit(0).alias("side"), "ent", "v", "ws")
+    rows = e.unionByName(boxes.withColumn("side", F.lit(1)), allowMissingColumns=True).where("doc_id is not null")
+    dealt = rows.select("doc_id", "side", "pagina", "ent", "v", "ws", "t", "y", "x", "seq").repartition("doc_id").sortWithinPartitions("doc_id", "side", "pagina")
+
+    def run(batches):
+        doc, own, page, held = None, [], None, []
+
+        def told() -> list[tuple]:
+            if not (own and held):
+                return []
+            t, y, x, seq = ([v for part in column for v in part] for column in zip(*held))
+            return [(doc, ent, page, *place) for ent, *place in _on_page(t, _order(y, x, seq), seq, own, tiers, first)]
+
+        kinds = None
+        for b in batches:
+            kinds = [b.schema.field(c).type for c in ("doc_id", "ent", "pagina")] + [pa.int32(), pa.int64(), pa.int64()] + [b.schema.field("seq").type.value_type] * 2
+            out = []
+            for here, side, pagina, ent, v, ws, *rest in zip(*(c.to_pylist() for c in b.columns)):
+                if here != doc or side == 0 or pagina != page:
+                    out += told()
+                    held.clear()
+                if here != doc:
+                    own.clear()
+                doc, page = here, pagina
+                if side == 0:
+                    own.append((ent, v, ws))
+                else:
+                    held.append(rest)
+            yield _rows(out, kinds)
+        if kinds:
+            yield _rows(told(), kinds)
+
+    seq = types["seq"]
+    return dealt.mapInArrow(run, f"doc_id {types['doc_id']}, ent {asked['ent']}, pagina {types['pagina']}, tier int, r1 long, r2 long, run {seq}, seq {seq}")
+
+
+def _rows(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "ent", "pagina", "tier", "r1", "r2", "run", "seq"])
+
+
+def _order(*keys: list) -> list[int]:
+    """The places of the rows by the keys, nulls first, as Spark sorts them."""
+    if not any(None in k for k in keys):
+        return np.lexsort([np.array(k) for k in reversed(keys)]).tolist()
+    rank = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    return sorted(range(len(keys[0])), key=lambda i: tuple(rank(k[i]) for k in keys))
+
+
+def _on_page(t: list[str], order: list[int], seq: list, own: list[tuple], tiers: list[int], first: bool) -> list[tuple]:
+    """(ent, tier, r1, r2, run, seq) of a page's words in reading order, for each entity (ent, v, ws): the places of the first tier that has one."""
+    t, seq = [t[i] for i in order], [seq[i] for i in order]
+    least = min((s for s in seq if s is not None), default=None)
+    at, heads = {}, {}
+    for k, word in enumerate(t):
+        if word is not None:
+            at.setdefault(word, []).append(k)
+    for word in at:
+        heads.setdefault(word.split(" ", 1)[0], []).append(word)
+    every, out = "\0".join(at), []
+    for ent, v, ws in own:
+        for tier in tiers:
+            if tier == 3:
+                found = [(least, k + 1, k, range(k, k + len(ws))) for k in at.get(ws[0], ()) if t[k : k + len(ws)] == ws] if len(ws) > 1 else []
+            else:
+                named = [v] if tier == 1 else heads.get(ws[0], ()) if tier == 4 else [w for w in at if v in w] if v in every else []
+                found = [(0, seq[k], k, (k,)) for word in named for k in at.get(word, ())]
+            if found:
+                if first:
+                    best = min(found, key=lambda f: [(x is not None, x) for x in f[:2]])[:2]
+                    found = [f for f in found if f[:2] == best]
+                out += [(ent, tier, r1, r2, seq[k], seq[j]) for r1, r2, k, js in found for j in js]
+                break
+    return out
+
+
 def lines(boxes: DataFrame, height: int = 20, apart: int = 15) -> DataFrame:
     """(doc_id, pagina, linha, texto): boxes in bands, a new line where the top is further from the line's start than `apart`.
 
     The start of a line depends on the lines before it, so a page's boxes, which a page bounds, are read one after the other.
     """
-    read = F.sort_array(F.collect_list(F.struct(F.floor(F.col("y") / height).alias("band"), "x", "seq", "y", "texto")))
-    page = boxes.groupBy("doc_id", "pagina").agg(read.alias("b"))
+    read = F.array_sort(F.arrays_zip("band", "x", "seq", "y", "texto"))
+    page = whole_pages(boxes.withColumn("band", F.floor(F.col("y") / height)), ["band", "x", "seq", "y", "texto"]).select("doc_id", "pagina", read.alias("b"))
     told = page.select("doc_id", "pagina", F.col("b.y").alias("y"), F.col("b.texto").alias("texto"))
     types = dict(boxes.dtypes)
 

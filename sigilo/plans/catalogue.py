@@ -473,10 +473,10 @@ def boxes(spark, sf) -> DataFrame:
 
 def asked(spark, sf) -> DataFrame:
     """The document's third word, and its third and fourth, as entities."""
-    w = boxes(spark, sf)
-    third = w.where("seq = 3").select("doc_id", F.lit(1).alias("ent"), F.col("texto").alias("valor"))
-    both = w.where("seq in (3, 4)").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "texto"))), lambda s: s["texto"]), " ").alias("valor"), F.count(F.lit(1)).alias("n")).where("n = 2")
-    return third.union(both.select("doc_id", F.lit(2).alias("ent"), "valor"))
+    w = boxes(spark, sf).where("seq in (3, 4)").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "texto"))).alias("w"))
+    third = F.transform(F.filter("w", lambda s: s["seq"] == 3), lambda s: F.struct(F.lit(1).alias("ent"), s["texto"].alias("valor")))
+    both = F.when(F.size("w") == 2, F.array(F.struct(F.lit(2).alias("ent"), F.array_join("w.texto", " ").alias("valor"))))
+    return w.select("doc_id", F.explode(F.concat(third, F.coalesce(both, F.array().cast("array<struct<ent:int,valor:string>>")))).alias("e")).select("doc_id", "e.*")
 
 
 ASKED = f"(SELECT doc_id, 1 AS ent, texto AS valor FROM ({BOXES}) WHERE seq = 3 UNION ALL SELECT doc_id, 2, string_agg(texto, ' ' ORDER BY seq) FROM ({BOXES}) WHERE seq IN (3, 4) GROUP BY doc_id HAVING count(*) = 2)"

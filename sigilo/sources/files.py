@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigilo.functions import text as T
+from sigilo.operators import geometry
 
 AUDIT = (
     "job_id string, timestamp string, arquivo_original string, hash_original string, arquivo_anonimizado string, hash_anonimizado string, total_redacoes int, "
@@ -146,7 +147,9 @@ def metrics_json(rows: DataFrame) -> DataFrame:
 
 def pages_text(words: DataFrame) -> DataFrame:
     """(doc_id, pagina, texto) of word boxes, words in reading order."""
-    return words.groupBy("doc_id", "pagina").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "texto"))), lambda s: s["texto"]), " ").alias("texto"))
+    page = geometry.whole_pages(words, ["seq", "texto"])
+    said = F.transform(F.array_sort(F.arrays_zip("seq", "texto")), lambda s: s["texto"])
+    return page.select("doc_id", "pagina", F.array_join(said, " ").alias("texto"))
 
 
 def full_text(pages: DataFrame) -> DataFrame:

@@ -5,12 +5,14 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from sigilo.llm import simhash
+from sigilo.operators import detect, evaluate, geometry
 
 
 def agrees(spark, folder, name, *tables):
@@ -70,3 +72,40 @@ def test_pipeline_takes_near_copies_by_simhash(spark):
     classes = [component[f"{simhash.fingerprint((r.text or '').encode()):016x}"] for r in kept]
     assert sorted(classes) == sorted(set(component.values())) and all(r.doc_id == c for r, c in zip(kept, classes))
     assert len(kept) < 60 and {800, 801} & {r.doc_id for r in kept} == {800}
+
+
+def test_pages_are_packed_as_they_come(spark):
+    """Words that come page by page are a row a page; in another order whole pages are the same."""
+    kinds = [(d, p) for d in (1, None, 2) for p in (1, None, 2) if d or p]
+    rows = [(d, p, 50 * i + k, f"w{k}") for i, (d, p) in enumerate(kinds) for k in range(50)]
+    ddl = "doc_id long, pagina int, seq long, texto string"
+    assert geometry.pages(spark.createDataFrame(rows, ddl).coalesce(1), ["seq", "texto"]).count() == 8
+    wanted = sorted((str((d, p)), sorted((s, t) for a, b, s, t in rows if (a, b) == (d, p))) for d, p in {r[:2] for r in rows})
+    for some in (rows, random.Random(1).sample(rows, len(rows))):
+        got = geometry.whole_pages(spark.createDataFrame(some, ddl), ["seq", "texto"]).collect()
+        assert sorted((str((r.doc_id, r.pagina)), sorted(zip(r.seq, r.texto))) for r in got) == wanted
+
+
+def test_greedy_matches_of_one_place_make_no_pairs(spark):
+    """30 000 truths and as many detections at one place: 900 million pairs."""
+    at = ["1L AS doc_id", "id AS seq", "'CPF' AS tipo", "10 AS ini", "20 AS fim"]
+    got = evaluate.match(spark.range(30_000).selectExpr(*at), spark.range(5, 30_005).selectExpr(*at)).collect()
+    assert sorted((r.gt, r.det) for r in got) == [(k, k + 5) for k in range(30_000)]
+
+
+def test_places_of_pieces_are_held_in_few_bytes(spark):
+    """A recogniser that reads 200 000 texts and then tells what the worker holds beside it."""
+
+    def extract(frames):
+        import tracemalloc
+
+        tracemalloc.start()
+        for f in frames:
+            last = f["doc_id"].iloc[-1]
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        yield pd.DataFrame([(last, "X", "x", 0, 1, float(held))], columns=["doc_id", "tipo", "valor", "ini", "fim", "score"])
+
+    docs = spark.range(200_000, numPartitions=1).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    (r,) = detect.recognised(docs, extract).collect()
+    assert r.doc_id == 199_999 and r.score < 20e6
