@@ -398,7 +398,8 @@ def class_weights(spark, sf):
 
 def graded(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Truth every 20 characters; detections shifted by seq % 4, every seventh dropped, every eleventh twice."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct().select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("seq"), (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("k"))
+    keys = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    li = keys.repartition(evaluate.tasks_for(keys), "l_orderkey", "l_linenumber").distinct().select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("seq"), (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("k"))
     tipo = F.expr("CASE k % 3 WHEN 0 THEN 'PESSOA' WHEN 1 THEN 'LOCAL' ELSE 'ORGANIZACAO' END")
     truth = li.select("doc_id", "seq", tipo.alias("tipo"), (F.col("seq") * 20).alias("ini"), (F.col("seq") * 20 + 10).alias("fim"))
     moved = li.where("k % 7 > 0").select("doc_id", "seq", tipo.alias("tipo"), (F.col("seq") * 20 + F.col("k") % 5).alias("ini"), (F.col("seq") * 20 + 10 + F.col("k") % 5).alias("fim"))
