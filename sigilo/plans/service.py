@@ -96,11 +96,11 @@ SPOTS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS seq, CAST(
 
 @query(f"SELECT doc_id, seq, ini, fim, tipo FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ini, fim ORDER BY seq) AS r FROM ({SPOTS})) WHERE r = 1")
 def preannotation_dedupe(spark, sf):
-    """Lines repeat an order's line numbers: of equal ones the first in the table counts, by file and row."""
+    """Lines repeat an order's line numbers: of equal ones the first in the table counts, by file and row. Lines without a number come last, as in SQL."""
     lines = table(spark, sf, "lineitem").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     lines.createOrReplaceTempView("_lineitem")
     spots = spark.sql(SPOTS.replace("FROM lineitem", ", _file, _row FROM _lineitem"))
-    return dataset.preannotated(spots, ["seq", "_file", "_row"]).drop("_file", "_row")
+    return dataset.preannotated(spots, [F.col("seq").asc_nulls_last(), "_file", "_row"]).drop("_file", "_row")
 
 
 @query(f"SELECT doc_id, seq, ini, fim FROM ({SPOTS}) WHERE seq <= 2 UNION ALL SELECT doc_id, seq, ini, fim FROM ({SPOTS}) h WHERE seq > 2 AND NOT EXISTS (SELECT 1 FROM ({SPOTS}) e WHERE e.seq <= 2 AND e.doc_id = h.doc_id AND h.ini < e.fim AND h.fim > e.ini)")
